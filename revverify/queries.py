@@ -1,5 +1,442 @@
-"""All queries of the engine and their SQL."""
+"""All queries of the engine over the given tables, and the DuckDB SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as fn
+from .operators import clauses, diff, entities, evaluate, events, grid, mutate, rules
+from .plans.materialize import kept
+from .sources import corpus
+from .sources.corpus import PARAGRAPHS_SQL, contract_paragraphs, declared_edits, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-FLAGSHIP = ""
+FLAGSHIP = "clause_changes_by_kind"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+EDITS_SQL = """edits AS (SELECT contract_id, regexp_extract(text, 'within (\\d+) days', 1) || ' days' AS before,
+  (regexp_extract(text, 'within (\\d+) days', 1)::INTEGER + 15) || ' days' AS after FROM para WHERE ordinal = 4)"""
+AUTH_SQL = "auth AS (SELECT contract_id, ordinal, coalesce(replace(text, before, after), text) AS text FROM para LEFT JOIN edits USING (contract_id))"
+MARKER_SQL = """mark AS (SELECT *, CASE WHEN regexp_matches(text, '^Article +([0-9]+|[IVXLC]+)( |$)') THEN 'article' WHEN regexp_matches(text, '^[0-9]+([.][0-9]+)* ') THEN 'decimal' END AS scheme,
+  CASE WHEN regexp_matches(text, '^Article +([0-9]+|[IVXLC]+)( |$)') THEN regexp_extract(text, '^(Article +[0-9IVXLC]+)', 1) WHEN regexp_matches(text, '^[0-9]+([.][0-9]+)* ') THEN regexp_extract(text, '^([0-9.]+)', 1) END AS printed FROM para)"""
+SEG_SQL = "seg AS (SELECT *, sum(CASE WHEN scheme IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY contract_id ORDER BY ordinal)::INTEGER AS clause_no FROM mark)"
+
+
+def _pair(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("contract_id", "pair_id")
+
+
+@query(
+    f"""WITH {PARAGRAPHS_SQL}, {EDITS_SQL}, {AUTH_SQL}, {MARKER_SQL}, {SEG_SQL},
+cand AS (SELECT contract_id, ordinal, CASE WHEN ordinal = 6 THEN 'The monthly fee is USD ' || (regexp_extract(text, 'USD ([0-9]+)', 1)::BIGINT + 1) || regexp_extract(text, 'USD [0-9]+(.*)', 1) ELSE text END AS text FROM auth),
+d AS (SELECT s.contract_id, s.clause_no, bool_or(s.text <> c.text) AS changed FROM seg s JOIN cand c USING (contract_id, ordinal) GROUP BY ALL)
+SELECT contract_id AS pair_id, 0::BIGINT AS added, 0::BIGINT AS removed, count(*) AS modified, 0::BIGINT AS moved, 0::BIGINT AS unresolved, count(*) AS total FROM d WHERE changed GROUP BY 1"""
+)
+def clause_changes_by_kind(spark, sf_dir):
+    """Minimum slice: contracts with a money change to clauses, pairs and counts of changes by kind."""
+    p = contract_paragraphs(spark, sf_dir)
+    cand = mutate.candidates(p, declared_edits(p), "money_change")
+    base = _pair(p.join(cand.select("contract_id").distinct(), "contract_id", "left_semi"))
+    return diff.change_summary(diff.clause_changes(kept(clauses.clauses_of(base, "pair_id")), kept(clauses.clauses_of(_pair(cand), "pair_id"))))
+
+
+@query(r"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS ordinal, t AS text FROM (
+SELECT doc_id, pos, trim(regexp_replace(p, '[ \t\n\r\f\x0b]+', ' ', 'g')) AS t FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS pos FROM (SELECT doc_id, string_split_regex(text, '\n[ \t\r\f\x0b]*\n') AS l FROM documents))) WHERE t <> ''""")
+def src_paragraphs(spark, sf_dir):
+    """SRC-01 over documents."""
+    return corpus.read_paragraphs(documents(spark, sf_dir))
+
+
+@query(f"""WITH {PARAGRAPHS_SQL}, {EDITS_SQL}
+SELECT contract_id, before, after, sum(n) = 1 AND count(*) FILTER (n > 0) = 1 AS ok FROM (SELECT contract_id, before, after, (len(text) - len(replace(text, before, ''))) // len(before) AS n FROM edits JOIN para USING (contract_id)) GROUP BY 1, 2, 3""")
+def src_declared_edits(spark, sf_dir):
+    """SRC-02 over the contract corpus."""
+    p = contract_paragraphs(spark, sf_dir)
+    return corpus.load_edits(declared_edits(p), p)
+
+
+@query("SELECT doc_id, lang, source FROM documents ORDER BY sha256(concat_ws(chr(0), '7', doc_id::VARCHAR)), doc_id LIMIT 100")
+def src_seeded_sample(spark, sf_dir):
+    """SRC-05: a sample is what it returns."""
+    return corpus.sample_corpus(table(spark, sf_dir, "documents"), "7", 100).select("doc_id", "lang", "source")
+
+
+@query(f"""WITH {PARAGRAPHS_SQL}, {MARKER_SQL} SELECT contract_id, ordinal, scheme, printed,
+(CASE scheme WHEN 'article' THEN 1 ELSE len(printed) - len(replace(printed, '.', '')) + 1 END)::INTEGER AS level, trim(substr(text, len(printed) + 1)) AS heading FROM mark WHERE scheme IS NOT NULL""")
+def prj_clause_markers(spark, sf_dir):
+    """PRJ-04 over all contract paragraphs."""
+    return contract_paragraphs(spark, sf_dir).withColumn("m", clauses.parse_marker(F.col("text"))).where("m IS NOT NULL").select("contract_id", "ordinal", "m.scheme", "m.printed", "m.level", "m.heading")
+
+
+@query("""SELECT doc_id, CASE WHEN starts_with(n, 'signature') OR starts_with(n, 'signed by') THEN 'signature' WHEN starts_with(n, 'seal') THEN 'seal'
+WHEN starts_with(n, 'attachment') OR starts_with(n, 'appendix') OR starts_with(n, 'annex') OR starts_with(n, 'schedule') OR starts_with(n, 'exhibit') THEN 'attachment' END AS region_kind
+FROM (SELECT doc_id, lower(trim(text)) AS n FROM documents)""")
+def prj_region_tags(spark, sf_dir):
+    """PRJ-05 over documents."""
+    return clauses.tag_regions(documents(spark, sf_dir).withColumn("content_type", F.lit("paragraph"))).select("doc_id", "region_kind")
+
+
+@query(f"""WITH {PARAGRAPHS_SQL}, {MARKER_SQL}, {SEG_SQL} SELECT contract_id, ordinal, clause_no FROM seg""")
+def win_segments(spark, sf_dir):
+    """WIN-01 over the contract corpus."""
+    p = contract_paragraphs(spark, sf_dir).withColumn("content_type", F.lit("paragraph"))
+    return clauses.segment(p, "contract_id").select("contract_id", "ordinal", "clause_no")
+
+
+@query(f"""WITH {PARAGRAPHS_SQL}, {MARKER_SQL}, {SEG_SQL} SELECT contract_id, clause_no, sha256(lower(trim(regexp_replace(string_agg(text, chr(10) ORDER BY ordinal), '\\s+', ' ', 'g')))) AS fp FROM seg GROUP BY 1, 2""")
+def agg_clause_fingerprints(spark, sf_dir):
+    """AGG-02, FN-02 over the contract corpus."""
+    p = contract_paragraphs(spark, sf_dir).withColumn("content_type", F.lit("paragraph"))
+    return clauses.assemble_clauses(clauses.segment(p, "contract_id"), "contract_id").select("contract_id", "clause_no", "fp")
+
+
+@query(f"""WITH {PARAGRAPHS_SQL}, {MARKER_SQL}, {SEG_SQL}, c AS (SELECT contract_id, clause_no, max(scheme) AS scheme, max(CASE WHEN scheme IS NOT NULL THEN trim(substr(text, len(printed) + 1)) END) AS heading FROM seg GROUP BY 1, 2)
+SELECT contract_id, clause_no, CASE WHEN scheme = 'decimal' THEN max(CASE WHEN scheme = 'article' THEN clause_no END) OVER w END AS parent_no FROM c WINDOW w AS (PARTITION BY contract_id ORDER BY clause_no)""")
+def win_clause_tree(spark, sf_dir):
+    """WIN-02 over the contract corpus."""
+    return clauses.clauses_of(contract_paragraphs(spark, sf_dir), "contract_id").select("contract_id", "clause_no", "parent_no")
+
+
+@query()
+def win_clause_ids(spark, sf_dir):
+    """WIN-03, AGG-03: ids of all clauses and of their children."""
+    c = clauses.clauses_of(contract_paragraphs(spark, sf_dir), "contract_id")
+    return c.join(clauses.child_ids(c, "contract_id"), ["contract_id", "clause_no"], "left").select("contract_id", "clause_no", "clause_id", "child_ids")
+
+
+@query("""SELECT doc_id, sum(len(regexp_replace(text, '[^\\x{3400}-\\x{9FFF}]', '', 'g')))::BIGINT AS han, sum(len(regexp_replace(text, '[^A-Za-z]', '', 'g')))::BIGINT AS latin,
+CASE WHEN len(regexp_replace(text, '[^A-Za-z]', '', 'g')) = 0 THEN 'other' ELSE 'en' END AS language FROM documents GROUP BY doc_id, text""")
+def agg_language_profile(spark, sf_dir):
+    """AGG-04 over documents."""
+    return clauses.language_profile(documents(spark, sf_dir))
+
+
+@query(r"SELECT doc_id, sha256(replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), 'ß', 'ss')) AS fp FROM documents")
+def fn_fingerprint(spark, sf_dir):
+    """FN-01, FN-02, UDF-01 over documents."""
+    return documents(spark, sf_dir).select("doc_id", fn.fp(fn.normalized(F.col("text"))).alias("fp"))
+
+
+@query("SELECT doc_id, ((len(text) - len(replace(text, 'the', ''))) // 3)::INTEGER AS n, strpos(text, 'the')::INTEGER - 1 AS first FROM documents")
+def fn_occurrences(spark, sf_dir):
+    """FN-03, FN-04 over documents."""
+    t, part = F.col("text"), F.lit("the")
+    spans = fn.find_spans(t, part)
+    return documents(spark, sf_dir).select("doc_id", fn.count_occ(t, part).alias("n"), F.coalesce(F.try_element_at(spans, F.lit(1))["start"], F.lit(-1)).alias("first"))
+
+
+@query("""SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, sha256(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))) AS host_sha256, sha256(url) AS target_sha256 FROM pages""")
+def fn_uri_facts(spark, sf_dir):
+    """FN-21 over pages."""
+    return table(spark, sf_dir, "pages").select("page_id", fn.uri_facts(F.col("url")).alias("u")).select("page_id", "u.*")
+
+
+@query(r"SELECT doc_id, sha256(regexp_replace(replace(translate(text, '‘’“”–—', '''''\"\"--'), '…', '...'), '[^\x00-\xFF]', '?', 'g')) AS safe_sha256 FROM documents".replace('\\"', '"'))
+def fn_latin1_safe(spark, sf_dir):
+    """FN-20 over documents."""
+    return documents(spark, sf_dir).select("doc_id", F.sha2(fn.latin1_safe(F.col("text")), 256).alias("safe_sha256"))
+
+
+@query(f"""WITH {PARAGRAPHS_SQL}, e AS (
+SELECT contract_id, ordinal, 'party' AS kind, strpos(text, 'Party A')::INTEGER - 1 AS pos, trim(regexp_extract(text, 'Party A: ([^;]+)', 1)) AS value FROM para WHERE ordinal = 2
+UNION ALL SELECT contract_id, ordinal, 'currency', strpos(text, 'USD')::INTEGER - 1, 'USD' FROM para WHERE ordinal = 6
+UNION ALL SELECT contract_id, ordinal, 'money', strpos(text, 'USD')::INTEGER - 1, regexp_extract(text, 'USD ([0-9]+)', 1) FROM para WHERE ordinal = 6
+UNION ALL SELECT contract_id, ordinal, 'percentage', strpos(text, regexp_extract(text, '[0-9]+%'))::INTEGER - 1, regexp_extract(text, '([0-9]+)%', 1) FROM para WHERE ordinal = 6
+UNION ALL SELECT contract_id, ordinal, 'duration', strpos(text, regexp_extract(text, '[0-9]+ days'))::INTEGER - 1, regexp_extract(text, '([0-9]+) days', 1) || ' day' FROM para WHERE ordinal = 4
+UNION ALL SELECT contract_id, ordinal, 'date', strpos(text, regexp_extract(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))::INTEGER - 1, regexp_extract(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') FROM para WHERE regexp_matches(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))
+SELECT * FROM e""")
+def ent_extract(spark, sf_dir):
+    """ENT-01 to ENT-10, JN-06 over all contract paragraphs."""
+    e = entities.extract(contract_paragraphs(spark, sf_dir), ["contract_id", "ordinal"])
+    return e.select("contract_id", "ordinal", "kind", "pos", "value")
+
+
+@query(f"""WITH {PARAGRAPHS_SQL}, e AS (SELECT contract_id, 'date' AS kind, regexp_extract(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS value FROM para WHERE regexp_matches(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))
+SELECT contract_id, kind, value, count(*) AS n FROM e GROUP BY ALL""")
+def agg_date_counts(spark, sf_dir):
+    """AGG-05: dates of each contract with their counts."""
+    e = entities.extract(contract_paragraphs(spark, sf_dir), ["contract_id", "ordinal"]).where("kind = 'date'")
+    return entities.entity_counts(e, ["contract_id"])
+
+
+# Mutations: candidates of every operator, with SQL.
+def _site_sql(name: str, pattern: str, found: str, new: str) -> str:
+    return f"""WITH {PARAGRAPHS_SQL}, {EDITS_SQL}, {AUTH_SQL},
+site AS (SELECT contract_id, arg_min(ordinal, sha256(concat_ws(chr(0), '1', contract_id::VARCHAR, '{name}', ordinal::VARCHAR))) AS site FROM auth WHERE regexp_matches(text, '{pattern}') GROUP BY 1),
+f AS (SELECT contract_id, ordinal, site, text, regexp_extract(text, '{found}') AS m FROM auth JOIN site USING (contract_id))
+SELECT contract_id, ordinal, CASE WHEN ordinal = site THEN left(text, strpos(text, m) - 1) || {new} || substr(text, strpos(text, m) + len(m)) ELSE text END AS text FROM f"""
+
+
+_INC = "regexp_extract(m, '^([^0-9]*)[0-9]+', 1) || (regexp_extract(m, '([0-9]+)', 1)::BIGINT + 1) || regexp_extract(m, '^[^0-9]*[0-9]+(.*)$', 1)"
+_SITE = mutate.SITES
+_HEAD = f"WITH {PARAGRAPHS_SQL}, {EDITS_SQL}, {AUTH_SQL}"
+_PARTS = "p AS (SELECT contract_id, ordinal, text AS t, strpos(text, after) > 0 AS here, left(text, strpos(text, after) + len(after) - 1) AS head, substr(text, strpos(text, after) + len(after)) AS tail, after FROM auth LEFT JOIN edits USING (contract_id))"
+MUTATION_SQL = {
+    "authorized": f"{_HEAD} SELECT * FROM auth",
+    "missing_edit": f"WITH {PARAGRAPHS_SQL} SELECT * FROM para",
+    "wrong_value": f"{_HEAD} SELECT contract_id, ordinal, coalesce(replace(text, before, (split_part(after, ' ', 1)::INTEGER + 1) || ' days'), text) AS text FROM para LEFT JOIN edits USING (contract_id)",
+    "unit_change": f"{_HEAD} SELECT contract_id, ordinal, coalesce(replace(text, before, replace(after, ' days', ' business days')), text) AS text FROM para LEFT JOIN edits USING (contract_id)",
+    "same_para_number": f"{_HEAD}, {_PARTS} SELECT contract_id, ordinal, CASE WHEN here AND regexp_matches(tail, '[0-9]') THEN head || regexp_extract(tail, '^([^0-9]*)', 1) || (regexp_extract(tail, '([0-9]+)', 1)::BIGINT + 1) || regexp_extract(tail, '^[^0-9]*[0-9]+(.*)$', 1) ELSE t END AS text FROM p",
+    "same_para_negation": f"{_HEAD}, {_PARTS} SELECT contract_id, ordinal, CASE WHEN here THEN regexp_replace(t, 'shall ', 'shall not ') ELSE t END AS text FROM p",
+    "same_para_sentence_delete": f"{_HEAD}, {_PARTS} SELECT contract_id, ordinal, CASE WHEN here THEN regexp_replace(t, '([.;])\\s+[^.;]*[.;]?$', '\\1') ELSE t END AS text FROM p",
+    "money_change": _site_sql("money_change", _SITE["money_change"], _SITE["money_change"], _INC),
+    "duration_change": _site_sql("duration_change", _SITE["duration_change"], _SITE["duration_change"], _INC),
+    "percentage_change": _site_sql("percentage_change", _SITE["percentage_change"], _SITE["percentage_change"], _INC),
+    "date_change": _site_sql("date_change", _SITE["date_change"], _SITE["date_change"], "strftime(CASE WHEN m::DATE = last_day(m::DATE) THEN m::DATE - 1 ELSE m::DATE + 1 END, '%Y-%m-%d')"),
+    "party_change": _site_sql("party_change", "Party [AB]: [^;]+", "Party [AB]: [^;]+", "m || ' Holdings'"),
+    "negation_insert": _site_sql("negation_insert", "\\bshall (n[^o]|[^n])", "\\bshall ", "'shall not '"),
+    "negation_remove": _site_sql("negation_remove", "\\bshall not\\b", "\\bshall not\\b", "'shall'"),
+    "modal_swap": _site_sql("modal_swap", "\\bmay\\b", "\\bmay\\b", "'shall'"),
+    "sentence_insert": f"{_HEAD} SELECT contract_id, ordinal, CASE WHEN ordinal = max(ordinal) OVER (PARTITION BY contract_id) THEN text || ' The Supplier may assign this agreement.' ELSE text END AS text FROM auth",
+    "sentence_delete": f"{_HEAD}, s AS (SELECT *, max(CASE WHEN regexp_matches(text, '[.;]\\s+\\S') THEN ordinal END) OVER (PARTITION BY contract_id) AS site FROM auth) SELECT contract_id, ordinal, CASE WHEN ordinal = site THEN regexp_replace(text, '([.;])\\s+[^.;]*[.;]?$', '\\1') ELSE text END AS text FROM s",
+    "paragraph_delete": f"{_HEAD}, s AS (SELECT *, max(ordinal) OVER (PARTITION BY contract_id) AS last FROM auth) SELECT contract_id, ordinal, text FROM s WHERE ordinal < last",
+}
+
+
+def _mutation(name: str):
+    def run(spark, sf_dir):
+        p = contract_paragraphs(spark, sf_dir)
+        return mutate.candidates(p, declared_edits(p), name).select("contract_id", "ordinal", "text")
+
+    run.__name__, run.__doc__ = f"mut_{name}", f"Candidate paragraphs of operator {name} over the contract corpus."
+    query(MUTATION_SQL[name])(run)
+
+
+for _name in mutate.OPERATORS:
+    _mutation(_name)
+
+
+def _verdict(name: str):
+    def run(spark, sf_dir):
+        p = contract_paragraphs(spark, sf_dir)
+        e = declared_edits(p)
+        cand = mutate.candidates(p, e, name)
+        base = p.join(cand.select("contract_id").distinct(), "contract_id", "left_semi")
+        _, v = rules.verdicts(_pair(base), _pair(cand), _pair(e).join(_pair(cand).select("pair_id").distinct(), "pair_id", "left_semi"))
+        return v.select("pair_id", "verdict")
+
+    run.__name__, run.__doc__ = f"rul_verdict_{name}", f"RUL-17: verdict of every contract's {name} candidate."
+    # By definition a candidate passes when it is the baseline with the declared edit and nothing else.
+    sql = f"WITH c AS ({MUTATION_SQL[name]}), a AS ({MUTATION_SQL['authorized']}), k AS (SELECT DISTINCT contract_id FROM c) SELECT contract_id AS pair_id, CASE WHEN bool_and(a.text IS NOT DISTINCT FROM c.text) THEN 'pass' ELSE 'fail' END AS verdict FROM a JOIN k USING (contract_id) LEFT JOIN c USING (contract_id, ordinal) GROUP BY 1"
+    query(sql)(run)
+
+
+for _name in ("authorized", "missing_edit", "money_change", "negation_remove", "sentence_insert", "paragraph_delete"):
+    _verdict(_name)
+
+
+@query(f"""WITH {PARAGRAPHS_SQL}, c AS ({MUTATION_SQL["date_change"]}),
+b AS (SELECT *, row_number() OVER (PARTITION BY contract_id, text ORDER BY ordinal) AS occ FROM para),
+a AS (SELECT *, row_number() OVER (PARTITION BY contract_id, text ORDER BY ordinal) AS occ FROM c),
+j AS (SELECT coalesce(b.contract_id, a.contract_id) AS pair_id, CASE WHEN a.ordinal IS NULL THEN 'removed' ELSE 'added' END AS kind, b.ordinal AS b, a.ordinal AS a FROM b FULL JOIN a USING (contract_id, text, occ) WHERE a.ordinal IS NULL OR b.ordinal IS NULL)
+SELECT j.* FROM j JOIN (SELECT DISTINCT contract_id FROM c) k ON k.contract_id = j.pair_id""")
+def set_block_diff(spark, sf_dir):
+    """SET-01, SET-02: block changes of every contract with a date change."""
+    p = contract_paragraphs(spark, sf_dir)
+    cand = mutate.candidates(p, declared_edits(p), "date_change")
+    base = p.join(cand.select("contract_id").distinct(), "contract_id", "left_semi")
+    side = lambda df: _pair(df).withColumnRenamed("text", "key")
+    return diff.block_diff(side(base), side(cand)).select("pair_id", "kind", "b", "a")
+
+
+@query(f"""WITH {PARAGRAPHS_SQL}, {EDITS_SQL} SELECT contract_id AS pair_id, split_part(before, ' ', 1) || ' day' AS before, split_part(after, ' ', 1) || ' day' AS after FROM edits""")
+def set_entity_changes(spark, sf_dir):
+    """SET-04: changed durations between every contract and its authorized edit."""
+    p = contract_paragraphs(spark, sf_dir)
+    e = lambda df: entities.extract(_pair(df), ["pair_id", "ordinal"]).withColumnRenamed("ordinal", "b")
+    return diff.entity_diff(e(p), e(mutate.authorized(p, declared_edits(p)))).where("kind = 'duration'").select("pair_id", "before", "after")
+
+
+LOG_SQL = """log AS (SELECT user_id AS bundle_id, row_number() OVER w AS sequence, event_id, event_id % 7 AS finding_id, CASE WHEN event_type = 'error' THEN 'reject' ELSE 'approve' END AS decision,
+  sha256(user_id || '|' || event_id || '|' || event_type) AS event_digest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT DISTINCT user_id AS bundle_id, event_id % 11 AS finding_id, CASE event_id % 11 WHEN 0 THEN 'pass' WHEN 10 THEN CASE WHEN user_id % 5 = 0 THEN 'fail' ELSE 'review' END ELSE 'review' END AS outcome FROM events)"""
+
+
+def _findings(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("bundle_id"), (F.col("event_id") % 11).alias("finding_id")).distinct()
+    last = F.when(F.col("bundle_id") % 5 == 0, "fail").otherwise("review")
+    return e.withColumn("outcome", F.when(F.col("finding_id") == 0, "pass").when(F.col("finding_id") == 10, last).otherwise("review")).withColumn("approvable", F.col("finding_id") % 2 == 1)
+
+
+@query(f"""WITH {LOG_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, finding_id ORDER BY sequence, event_id) AS nth FROM log)
+SELECT bundle_id, sequence, CASE WHEN nth > 1 THEN 'repeated-finding' END AS error, bool_and(nth = 1) OVER (PARTITION BY bundle_id ORDER BY sequence) AS valid FROM n""")
+def win_event_chain(spark, sf_dir):
+    """WIN-08 over the decision logs derived from events."""
+    return events.validate_chain(events.decision_log(table(spark, sf_dir, "events"))).select("bundle_id", "sequence", "error", "valid")
+
+
+@query(f"""WITH {LOG_SQL} SELECT bundle_id, finding_id FROM f WHERE outcome = 'review' AND NOT EXISTS (SELECT 1 FROM log WHERE log.bundle_id = f.bundle_id AND log.finding_id = f.finding_id AND decision = 'approve')""")
+def jn_remaining_reviews(spark, sf_dir):
+    """JN-15 over the decision logs."""
+    return events.remaining_reviews(_findings(spark, sf_dir), events.decision_log(table(spark, sf_dir, "events"))).select("bundle_id", "finding_id")
+
+
+@query(f"""WITH {LOG_SQL}, e AS (SELECT log.*, row_number() OVER (PARTITION BY bundle_id, finding_id ORDER BY sequence, event_id) AS n FROM log JOIN f USING (bundle_id, finding_id) WHERE outcome = 'review' AND finding_id % 2 = 1)
+SELECT bundle_id, finding_id, sequence, decision FROM e WHERE n = 1""")
+def jn_eligible_events(spark, sf_dir):
+    """JN-18 over the decision logs."""
+    return events.eligible_events(events.decision_log(table(spark, sf_dir, "events")), _findings(spark, sf_dir)).select("bundle_id", "finding_id", "sequence", "decision")
+
+
+@query(f"""WITH {LOG_SQL}, g AS (SELECT f.*, EXISTS (SELECT 1 FROM log WHERE log.bundle_id = f.bundle_id AND log.finding_id = f.finding_id AND decision = 'approve') AS yes FROM f)
+SELECT bundle_id, CASE WHEN bool_or(outcome = 'fail') THEN 'fail' WHEN bool_or(outcome = 'review' AND NOT yes) THEN 'review' ELSE 'pass' END AS verdict,
+count(*) FILTER (outcome = 'review' AND yes) AS approved, count(*) FILTER (outcome = 'review' AND NOT yes) AS open FROM g GROUP BY 1""")
+def agg_effective_verdict(spark, sf_dir):
+    """AGG-10 over the decision logs."""
+    v = events.effective_verdict(_findings(spark, sf_dir), events.decision_log(table(spark, sf_dir, "events")))
+    return v.select("bundle_id", "verdict", F.size("approved").cast("long").alias("approved"), F.size("open").cast("long").alias("open"))
+
+
+@query("""WITH r AS (SELECT user_id, event_id, row_number() OVER w AS n, sum(event_id % 1000) OVER w AS s, max((event_id % 1000 > 990)::INTEGER) OVER w AS stop FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, n::INTEGER AS n, s::BIGINT AS sum FROM r WHERE n <= 20 AND s <= 6000 AND stop = 0""")
+def win_budget(spark, sf_dir):
+    """WIN-12: each user's events within a budget."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 1000).alias("size"))
+    return events.budget(e, "user_id", "event_id", "size", total=6000, one=990).select("user_id", "event_id", "n", "sum")
+
+
+def _payloads(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("size_bytes"), F.max("l_returnflag").alias("flag"))  # noqa: E741
+    l = l.select(F.col("l_orderkey").alias("bundle_id"), F.format_string("line-%d", "l_linenumber").alias("path"), F.sha2(F.concat_ws("|", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), 256).alias("sha256"), "size_bytes", "flag")  # noqa: E741
+    sha = F.when(F.col("size_bytes") % 10 == 0, F.sha2(F.col("sha256"), 256)).otherwise(F.col("sha256")).alias("sha256")
+    return l.where("flag <> 'A'").drop("flag"), l.where("flag <> 'R'").select("bundle_id", "path", sha, "size_bytes")
+
+
+PAYLOAD_SQL = "l AS (SELECT l_orderkey AS bundle_id, 'line-' || l_linenumber AS path, sha256(l_orderkey || '|' || l_linenumber) AS sha, sum(l_quantity)::BIGINT AS size_bytes, max(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+@query(f"WITH {PAYLOAD_SQL} SELECT bundle_id, path, CASE flag WHEN 'R' THEN 'missing' WHEN 'A' THEN 'unlisted' ELSE 'digest' END AS error FROM l WHERE flag IN ('R', 'A') OR size_bytes % 10 = 0")
+def jn_reconcile_payloads(spark, sf_dir):
+    """JN-09: manifests and payloads derived from line items."""
+    return events.reconcile_payloads(*_payloads(spark, sf_dir))
+
+
+@query(f"WITH {PAYLOAD_SQL} SELECT bundle_id, sha256(string_agg(path || '|' || sha || '|' || size_bytes, chr(10) ORDER BY path, sha, size_bytes)) AS digest FROM l WHERE flag <> 'A' GROUP BY 1")
+def agg_manifest_digest(spark, sf_dir):
+    """AGG-20 over payload lists derived from line items."""
+    return events.manifest_digest(_payloads(spark, sf_dir)[0])
+
+
+CELL_SQL = "cell AS (SELECT vec_id AS page_id, (i - 1) % 8 AS x, (i - 1) // 8 AS y, least(255, floor(abs(embedding[i]::DOUBLE) * 255))::INTEGER AS v FROM embeddings, range(1, 65) r(i)), bad AS (SELECT a.page_id, a.x, a.y FROM cell a JOIN cell b ON b.page_id = a.page_id + 1 AND a.x = b.x AND a.y = b.y WHERE abs(a.v - b.v) > 20)"
+
+
+def _grids(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Each vector as a page, and the vector after it as its other side."""
+    c = grid.vector_cells(table(spark, sf_dir, "embeddings"))
+    after = c.withColumn("page_id", F.col("page_id") - 1)
+    both = c.select("page_id").distinct().join(after.select("page_id").distinct(), "page_id", "left_semi")
+    return c.join(both, "page_id", "left_semi"), after.join(both, "page_id", "left_semi")
+
+
+@query(f"WITH {CELL_SQL} SELECT page_id, count(b.x) AS changed, count(b.x) / 64.0::DOUBLE AS ratio FROM (SELECT a.vec_id AS page_id FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) p LEFT JOIN bad b USING (page_id) GROUP BY 1")
+def agg_grid_change(spark, sf_dir):
+    """AGG-23 over vectors read as 8 x 8 grids, each against the next."""
+    return grid.grid_change(*_grids(spark, sf_dir), 20)
+
+
+@query(f"WITH {CELL_SQL} SELECT page_id, (x // 2)::INTEGER AS tx, (y // 2)::INTEGER AS ty, min(x)::INTEGER AS x0, min(y)::INTEGER AS y0, max(x)::INTEGER + 1 AS x1, max(y)::INTEGER + 1 AS y1 FROM bad GROUP BY 1, 2, 3")
+def agg_changed_tiles(spark, sf_dir):
+    """AGG-24 over the same grids."""
+    return grid.changed_tiles(grid.changed_cells(*_grids(spark, sf_dir), 20), 2)
+
+
+@query(f"""WITH {CELL_SQL}, t AS (SELECT DISTINCT page_id, (x // 2)::INTEGER AS tx, (y // 2)::INTEGER AS ty FROM bad),
+r AS (SELECT *, tx - row_number() OVER (PARTITION BY page_id, ty ORDER BY tx) AS run FROM t), s AS (SELECT page_id, ty, min(tx) AS x0, max(tx) + 1 AS x1 FROM r GROUP BY page_id, ty, run),
+q AS (SELECT *, ty - row_number() OVER (PARTITION BY page_id, x0, x1 ORDER BY ty) AS pile FROM s) SELECT page_id, x0, min(ty) AS y0, x1, max(ty) + 1 AS y1 FROM q GROUP BY page_id, x0, x1, pile""")
+def win_coalesce_tiles(spark, sf_dir):
+    """WIN-09 over the same grids."""
+    return grid.coalesce_tiles(grid.changed_tiles(grid.changed_cells(*_grids(spark, sf_dir), 20), 2))
+
+
+CASE_SQL = """cases AS (SELECT o_orderpriority AS source, o_custkey AS contract_id, CASE WHEN o_orderkey % 2 = 0 THEN 'docx' ELSE 'pdf' END AS format,
+CASE o_orderkey % 4 WHEN 0 THEN 'authorized' WHEN 1 THEN 'money_change' WHEN 2 THEN 'modal_swap' ELSE 'party_change' END AS operator, CASE WHEN o_orderkey % 4 = 0 THEN 'accept' ELSE 'block' END AS expectation,
+CASE o_orderstatus WHEN 'F' THEN 'fail' WHEN 'O' THEN 'review' ELSE 'pass' END AS text_verdict, CASE WHEN o_orderkey % 50 = 0 THEN 'timeout' END AS error, floor(o_totalprice / 50)::BIGINT AS chars, o_totalprice / 1000 AS duration_s, o_orderstatus FROM orders)"""
+
+
+def _cases(spark, sf_dir) -> DataFrame:
+    """Case results derived from orders."""
+    k = F.col("o_orderkey")
+    op = F.element_at(F.array(*map(F.lit, ("authorized", "money_change", "modal_swap", "party_change"))), (k % 4 + 1).cast("int"))
+    verdict = F.when(F.col("o_orderstatus") == "F", "fail").when(F.col("o_orderstatus") == "O", "review").otherwise("pass")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("contract_id"), F.when(k % 2 == 0, "docx").otherwise("pdf").alias("format"), op.alias("operator"), F.when(k % 4 == 0, "accept").otherwise("block").alias("expectation"), verdict.alias("text_verdict"),
+        F.array(F.concat(F.lit("rule."), F.lower("o_orderstatus")), F.lit("rule.any")).alias("rule_ids"), F.floor(F.col("o_totalprice") / 50).alias("chars"), (F.col("o_totalprice") / 1000).alias("duration_s"), F.when(k % 50 == 0, "timeout").alias("error"),
+    )
+
+
+@query(f"""WITH {CASE_SQL}, g AS (SELECT CASE WHEN grouping(operator) = 0 THEN 'operator' WHEN grouping(format) = 0 THEN 'format' ELSE 'overall' END AS level, format, operator, count(*) FILTER (text_verdict = 'pass') AS passed, count(*) AS total
+FROM cases WHERE expectation = 'block' AND error IS NULL GROUP BY GROUPING SETS ((), (format), (operator))), w AS (SELECT *, passed / total AS p, 1.96 AS z, 1 + 1.96 * 1.96 / total AS d FROM g)
+SELECT level, format, operator, passed, total, round(greatest(0, (p + z * z / (2 * total)) / d - z * sqrt(p * (1 - p) / total + z * z / (4 * total * total)) / d), 6)::DOUBLE AS lo, round(least(1, (p + z * z / (2 * total)) / d + z * sqrt(p * (1 - p) / total + z * z / (4 * total * total)) / d), 6)::DOUBLE AS hi FROM w""")
+def agg_false_pass(spark, sf_dir):
+    """AGG-11, FN-18."""
+    return evaluate.false_pass(_cases(spark, sf_dir))
+
+
+@query(f"WITH {CASE_SQL} SELECT operator, count(*) FILTER (text_verdict = 'fail') AS failed, count(*) FILTER (text_verdict = 'review') AS review FROM cases WHERE expectation = 'block' AND error IS NULL GROUP BY 1")
+def agg_blocked_split(spark, sf_dir):
+    """AGG-12."""
+    return evaluate.blocked_split(_cases(spark, sf_dir))
+
+
+@query(f"WITH {CASE_SQL} SELECT count(*) FILTER (text_verdict = 'pass' AND error IS NULL) AS accepted, count(*) AS total FROM cases WHERE expectation = 'accept'")
+def agg_acceptance(spark, sf_dir):
+    """AGG-13."""
+    return evaluate.acceptance(_cases(spark, sf_dir))
+
+
+@query(f"""WITH {CASE_SQL} SELECT rule_id, count(*) AS n FROM (SELECT unnest(CASE WHEN error IS NOT NULL THEN ['runner-error'] ELSE ['rule.' || lower(o_orderstatus), 'rule.any'] END) AS rule_id
+FROM cases WHERE expectation = 'accept' AND (text_verdict <> 'pass' OR error IS NOT NULL)) GROUP BY 1""")
+def agg_block_reasons(spark, sf_dir):
+    """AGG-13, ORD-04."""
+    return evaluate.false_block_reasons(_cases(spark, sf_dir))
+
+
+@query(f"""WITH {CASE_SQL} SELECT bucket, count(chars) FILTER (text_verdict = 'pass' AND error IS NULL) AS accepted, count(chars) AS total FROM (VALUES ('<1k'), ('1-2k'), ('2-5k'), ('>5k')) d(bucket) LEFT JOIN cases
+ON expectation = 'accept' AND bucket = CASE WHEN chars < 1000 THEN '<1k' WHEN chars < 2000 THEN '1-2k' WHEN chars < 5000 THEN '2-5k' ELSE '>5k' END GROUP BY 1""")
+def agg_acceptance_by_bucket(spark, sf_dir):
+    """AGG-14, JN-16, FN-19."""
+    return evaluate.acceptance_by_bucket(_cases(spark, sf_dir))
+
+
+@query(f"""WITH {CASE_SQL} SELECT source, contract_id, format, operator FROM cases c WHERE expectation = 'block' AND EXISTS (SELECT 1 FROM cases a WHERE a.operator = 'authorized' AND a.text_verdict = 'pass' AND a.error IS NULL AND a.source = c.source AND a.contract_id = c.contract_id AND a.format = c.format)""")
+def jn_discriminating(spark, sf_dir):
+    """JN-14."""
+    return evaluate.discriminating(_cases(spark, sf_dir)).select("source", "contract_id", "format", "operator")
+
+
+@query(f"WITH {CASE_SQL} SELECT median(duration_s) AS median, quantile_disc(duration_s, 0.95) AS p95 FROM cases")
+def agg_durations(spark, sf_dir):
+    """AGG-17."""
+    return evaluate.durations(_cases(spark, sf_dir))
+
+
+@query(f"""WITH {CASE_SQL}, g AS (SELECT count(*) AS cases, count(error) AS errors, count(*) FILTER (expectation = 'block' AND text_verdict = 'pass' AND error IS NULL) AS false_passes,
+count(*) FILTER (expectation = 'accept' AND (text_verdict <> 'pass' OR error IS NOT NULL)) AS held_back, count(DISTINCT operator) AS operators FROM cases) SELECT *, errors = 0 AND false_passes = 0 AND held_back = 0 AS gate FROM g""")
+def agg_run_counts(spark, sf_dir):
+    """AGG-18, AGG-26."""
+    return evaluate.run_counts(_cases(spark, sf_dir))
+
+
+@query("""SELECT source, contract_id, format, operator FROM (SELECT DISTINCT o_orderpriority AS source, o_custkey AS contract_id FROM orders), (VALUES ('docx'), ('pdf')) f(format), (VALUES ('authorized'), ('money_change'), ('modal_swap')) o(operator)""")
+def jn_case_grid(spark, sf_dir):
+    """JN-13."""
+    c = _cases(spark, sf_dir).select("source", "contract_id").distinct()
+    return evaluate.case_grid(c.withColumn("both", F.struct("source", "contract_id")).withColumn("contract_id", F.col("both")), ["docx", "pdf"], ["authorized", "money_change", "modal_swap"]).select("contract_id.source", "contract_id.contract_id", "format", "operator")
