@@ -1,22 +1,24 @@
 """Operator 5: exact Jaccard join of documents on n-word shingles, as a metric-space join.
 
-Jaccard distance d = 1 - J is a metric, and two documents link when d <= r = 1 - t. Whole documents as
-top-level pivots do not work on text: nearly all distances to them lie at 0.95 to 1, so windows of 2 r copy
-every document into every region. The join therefore takes its metric on restrictions first:
-
-1. *Regions.* The shingle universe is cut by hash into B disjoint parts. For a linked pair x, y of sizes a, b
-   the symmetric difference is at most D = floor((1-t)/(1+t) * (a+b)), so of B > D parts at least one has
-   restrictions at distance 0: that restriction is the region's pivot, and each document lies in the
-   Voronoi cell (distance 0) of its own B restrictions. B depends on the size class of the larger document;
-   *windows*: by the triangle inequality through the empty set, | |x| - |y| | <= D, so a document whose size lies
-   within that of the next class's border is copied into the next class's regions too. A document with so
-   many empty parts that the count fails (at most D non-empty ones) is also dealt to regions of its empty parts.
-2. *Inside a region* the smallest document p is the pivot; its distance to all others is computed exactly
-   and those within r link to it. Two others x, y can only link when |d(x,p) - d(y,p)| <= r, and need no
-   look when already connected. Regions of one connected component are finished.
-3. *Recursion.* What is left of a region is joined pair by pair when it has at most ``leaf`` documents; a larger
-   one gets more pivots from the documents outside its pivot's component, which are compared with all that
-   the window allows and then leave the region. This ends when no region holds two components.
+Jaccard distance d = 1 - J is a metric, and two documents link when d <= r = 1 - t, that is when their symmetric
+difference is at most D = floor((1-t)/(1+t) * (a+b)) for sizes a, b. Whole documents as top-level pivots do not work on text: nearly all
+distances to them lie at 0.95 to 1, so windows of 2 r copy every document into every region. The join therefore
+takes its metric on restrictions first, and whole pivots inside the regions that these leave:
+
+1. *Cells.* The shingle universe is cut by hash into B > D disjoint parts, so of a linked pair at least one part has
+   restrictions at distance 0: each document lies in the Voronoi cells (distance 0) of its own B restrictions. B depends on
+   the size class of the larger document; *windows*: by the triangle inequality through the empty set | |x| - |y| | <= D, so a
+   document whose size lies within that of the next class's border is copied into that class's cells too. A document with
+   so many empty parts that the count fails (at most D non-empty ones) is also dealt to the cells of its empty parts.
+2. *Regions* are the connected unions of cells with more than one document; no link leaves its region. Each region gets a
+   *pivot* p: the shingles that most of a bounded sample of its documents hold (any set is a right pivot; a central one prunes best). With the
+   residual e(x) = x symmetric-difference p, the distance of x and y is |e(x) sym-diff e(y)|, which by the triangle inequality lies between
+   | |e(x)| - |e(y)| | and |e(x)| + |e(y)|.
+3. *Inside the ball*: where |e(x)| + |e(y)| <= D the pair links for certain. For connectivity it is enough to link every document
+   with the most central document of each size within the size window (the chain x - c(|y|) - c(|x|) - y holds).
+4. *Recursion* outside it: a linked pair must share (|e(x)| + |e(y)| - D) / 2 residual shingles, so it meets in the sub-region of one of
+   the first D + 1 residual shingles of both, those that are rare in the region first. Pairs that meet there, are not yet
+   connected and pass the bounds are compared exactly.
 
 Nothing is dropped: a pair is skipped only when the bounds prove it unlinked or it is already connected, so
 components are exact. Equal shingle sets are joined first as one, so copies are never compared.
@@ -24,9 +26,8 @@ components are exact. Equal shingle sets are joined first as one, so copies are
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,8 +72,8 @@ def _three_sums(gid: np.ndarray, m: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _region_keys(u: np.ndarray, offs: np.ndarray, num: int, den: int, classes: list[int], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the regions of each set, and their offsets."""
+def _cell_keys(u: np.ndarray, offs: np.ndarray, num: int, den: int, classes: list[int], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the cells of each set, and their offsets."""
     sizes = np.diff(offs)
     m1 = mix(u ^ U64(0x8BB84B93962EACC9))
     owners, found = [], []
@@ -113,7 +114,7 @@ def _region_keys(u: np.ndarray, offs: np.ndarray, num: int, den: int, classes: l
 
 
 def shingle_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """A row (id, n, d1, d2, keys) for each row (id, text): set size, 128-bit digest of the set, region keys."""
+    """A row (id, n, d1, d2, keys) for each row (id, text): set size, 128-bit digest of the set, cell keys."""
     classes = size_classes()
     parts = np.append(parts_of_class(classes, num, den), [0, 0, 0])
     bounds = classes + [classes[-1] * 2] * 3
@@ -126,7 +127,7 @@ def shingle_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 d1 = _three_sums(owner, mix(u ^ U64(0x5851F42D4C957F2D)), len(sizes)) ^ sizes.astype(U64)
                 d2 = _three_sums(owner, mix(u ^ U64(0x14057B7EF767814F)), len(sizes))
-                keys, at = _region_keys(u, offs, num, den, bounds, parts)
+                keys, at = _cell_keys(u, offs, num, den, bounds, parts)
                 yield pa.record_batch(
                     [
                         x["id"],
@@ -174,76 +175,103 @@ def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long, either long")
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, leaf: int = 64, pivots: int = 16) -> tuple[DataFrame, DataFrame]:
+def _pivots(sets: DataFrame, sample: int) -> DataFrame:
+    """A row (g, pivot, common) for each region of sets (g, id, shingles): what most of at most ``sample`` documents hold, and what others of at least two hold."""
+    place = F.row_number().over(W.Window.partitionBy("g").orderBy(F.xxhash64("id"), "id"))
+    few = sets.withColumn("k", place).where(F.col("k") <= sample)
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        value, count = np.unique(np.concatenate([np.frombuffer(x, U64) for x in df["shingles"]]), return_counts=True)
+        core = 2 * count > len(df)
+        return pd.DataFrame({"g": [df["g"].iloc[0]], "pivot": [value[core].tobytes()], "common": [value[~core & (count > 1)].tobytes()]})
+
+    return few.select("g", "shingles").groupBy("g").applyInPandas(run, "g long, pivot binary, common binary")
+
+
+def _residuals(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of each document (g, id, shingles, pivot, common): its size n, the size e of its residual, and the first residual shingles, rare ones first."""
+
+    def inside(x: np.ndarray, ref: np.ndarray) -> np.ndarray:
+        if not len(ref):
+            return np.zeros(len(x), bool)
+        at = np.searchsorted(ref, x)
+        at[at == len(ref)] = 0
+        return ref[at] == x
+
+    def run(batches):
+        for batch in batches:
+            n, e, first = [], [], []
+            for x, p, c in zip(batch["shingles"], batch["pivot"], batch["common"], strict=True):
+                x, p, c = (np.frombuffer(v.as_buffer(), U64) for v in (x, p, c))
+                new, gone = x[~inside(x, p)], p[~inside(p, x)]
+                usual = inside(new, c)
+                order = np.concatenate([new[~usual], new[usual], gone])
+                n.append(len(x))
+                e.append(len(order))
+                first.append(order[: len(x) * (den - num) // num + 1].view(np.int64))
+            yield pa.record_batch([batch["g"], batch["id"], pa.array(n, pa.int64()), pa.array(e, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["g", "id", "n", "e", "first"])
+
+    return sets.select("g", "id", "shingles", "pivot", "common").mapInArrow(run, "g long, id long, n long, e long, first array<long>")
+
+
+def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, sample: int = 64) -> tuple[DataFrame, DataFrame]:
     """Links of all documents (id, text) with Jaccard similarity of at least num / den on ``words``-word shingles.
 
     Returns (members, links). members: a row (id, n, component) for each input row; n is the set's size, component
-    the smallest id reachable by links. links: verified pairs (a, b) of class representatives that connect them.
+    the smallest id reachable by links. links: pairs (a, b) of class representatives that link and connect them.
     White space is ASCII, A-Z count as a-z. A text of fewer words than ``words`` is one shingle; an
     empty, blank or null text has no shingles and links with nothing. Rows that repeat an id are one
-    node with all their texts; a null id stays alone (component null). Other columns are ignored.
+    node with all their texts; a null id stays alone (component null). Other columns are ignored. ``sample`` bounds the documents
+    that choose a region's pivot; it has no part in the result.
     """
     assert 0 < num < den
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = stored(shingle_sets(docs, words, num, den))
     solid = sets.where("n > 0 AND id IS NOT NULL")
-    classes = stored(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    classes = stored(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep")))
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    dealt = solid.select("id", "n", "keys").join(reps, "id", "left_semi").select("id", "n", F.explode("keys").alias("region"))
-    pivot = (
-        dealt.groupBy("region").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("last")).where("p.id <> last").select("region", F.col("p.id").alias("p"), F.col("p.n").alias("pn"))
-    )
-    cells = stored(dealt.join(pivot.hint("shuffle_hash"), "region").distinct())
-    fits = f"least({{0}}, {{1}}) * {den}L >= greatest({{0}}, {{1}}) * {num}L"
-    wanted = stored(cells.where(fits.format("n", "pn")).where("id <> p").select("id").union(cells.where(fits.format("n", "pn")).where("id <> p").select("p")).union(cells.where("id <> p").select("id")).distinct())
-    whole = stored(_whole_sets(docs.join(small_side(wanted, wanted.count()), "id", "left_semi"), words))
-    linked = f"both * {den}L >= either * {num}L"
-    # Equal sets are one class already, but an id with several rows joins its classes.
+    dealt = solid.select("id", "keys").join(reps, "id", "left_semi").select("id", F.explode("keys").alias("cell"))
+    first = dealt.groupBy("cell").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p <> last").select("cell", "p")
+    near = stored(dealt.join(first.hint("shuffle_hash"), "cell").where("id <> p").select(F.col("id").alias("src"), F.col("p").alias("dst")).distinct())
+    regions = stored(components(near)).select("id", F.col("root").alias("g"))
+    n = regions.count()
+    whole = stored(_whole_sets(docs.join(small_side(regions.select("id"), n), "id", "left_semi"), words))
+    placed = whole.join(small_side(regions, n), "id")
+    both = placed.join(stored(_pivots(placed, sample)), "g")
+    rest = stored(_residuals(both, num, den))
+    # Rows that repeat an id join their classes.
     joined = solid.join(classes, ["d1", "d2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     twice = solid.groupBy("id").count().where("count > 1").select(F.col("id").alias("a"))
-    links = [joined.join(twice, "a", "left_semi").where("a <> b")]
-
-    checked = stored(_shared(cells.where("id <> p").where(fits.format("n", "pn")).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), whole))
-    links.append(checked.where(linked).select("a", "b"))
-    far = checked.select(F.col("a").alias("p"), F.col("b").alias("id"), (1 - F.col("both") / F.col("either")).alias("d"))
-    left = cells.join(far, ["p", "id"], "left").select("region", "id", "n", F.when(F.col("id") == F.col("p"), 0.0).otherwise(F.col("d")).alias("d"))
-    left = left.groupBy("region", "id", "n").agg(F.min("d").alias("d"))
-    r = (den - num) / den + 1e-9
-    while True:
-        found = links[0]
-        for x in links[1:]:
-            found = found.union(x)
-        found = stored(found.distinct())
-        links = [found]
-        comp = stored(components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-        now = left.join(comp, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-        open_ = now.groupBy("region").agg(F.count("*").alias("c"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("region", "c", "c0")
-        now = stored(now.join(open_, "region"))
-        if not now.take(1):
-            break
-        side = lambda df, s: df.select("region", *(F.col(c).alias(c + s) for c in ("id", "n", "d", "comp")))
-        window = f"comp1 <> comp2 AND {fits.format('n1', 'n2')} AND (abs(d1 - d2) <= {r} OR d1 IS NULL OR d2 IS NULL)"
-        few, many = now.where(F.col("c") <= leaf), now.where(F.col("c") > leaf)
-        pairs = side(few, "1").join(side(few, "2"), "region").where("id1 < id2").where(window).where("d1 <> 0 OR d1 IS NULL").where("d2 <> 0 OR d2 IS NULL")
-        pairs = pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"))
-        left = None
-        if many.take(1):
-            outside = many.where("comp <> c0")
-            rank = F.row_number().over(W.Window.partitionBy("region").orderBy("id"))
-            chosen = stored(outside.withColumn("k", rank).where(F.col("k") <= pivots).drop("k"))
-            more = side(chosen, "1").join(side(many, "2"), "region").where("id1 <> id2").where(window)
-            pairs = pairs.union(more.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")))
-            left = many.join(chosen.select("region", "id"), ["region", "id"], "left_anti").select("region", "id", "n", "d")
-        checked = stored(_shared(pairs.distinct(), whole))
-        links.append(checked.where(linked).select("a", "b"))
-        if left is None:
-            found = stored(found.union(links[1]).distinct())
-            comp = stored(components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-            break
-        left = stored(left)
-    members = sets.join(classes, ["d1", "d2"], "left").join(comp.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    links = joined.join(twice, "a", "left_semi").where("a <> b")
+
+    side = lambda df, s, *more: df.select("g", *(F.col(c).alias(c + s) for c in ("id", "n", "e")), *more)
+    sizes = f"least(n1, n2) * {den}L >= greatest(n1, n2) * {num}L"
+    limit = f"(n1 + n2) * {den - num}L"  # (den + num) x the largest difference of a linked pair
+    inner = rest.where(f"e * {num}L <= n * {den - num}L")
+    step = F.floor(F.log(F.col("n")) / float(np.log(den / num)) + 1e-9)
+    centres = inner.groupBy("g", "n").agg(F.min(F.struct("e", "id")).alias("c")).select("g", "n", "c.e", "c.id")
+    centres = side(centres.withColumn("step", F.explode(F.array(step - 1, step, step + 1))), "2", "step")
+    ball = side(inner.withColumn("step", step), "1", "step").join(centres, ["g", "step"]).where("id1 <> id2").where(sizes).where(f"(e1 + e2) * {den + num}L <= {limit}")
+    links = stored(links.union(ball.select(F.col("id1").alias("a"), F.col("id2").alias("b"))).distinct())
+
+    graph = lambda x: stored(components(x.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    comp = graph(links)
+    known = rest.join(comp, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+    open_ = known.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("g")
+    met = stored(known.join(open_, "g").select("g", "id", "n", "e", "comp", F.posexplode("first").alias("at", "key")))
+    left, right = side(met, "1", "key", F.col("at").alias("at1"), F.col("comp").alias("comp1")), side(met, "2", "key", F.col("at").alias("at2"), F.col("comp").alias("comp2"))
+    # Twice the shared residual shingles that a linked pair needs, and those that can still come from this one on.
+    needed = f"((e1 + e2) * {den + num}L - {limit})"
+    pairs = left.join(right, ["g", "key"]).where("id1 < id2 AND comp1 <> comp2").where(sizes)
+    pairs = pairs.where(f"2 * (e1 - at1) * {den + num}L >= {needed} AND 2 * (e2 - at2) * {den + num}L >= {needed} AND abs(e1 - e2) * {den + num}L <= {limit}")
+    checked = stored(_shared(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct(), whole))
+    more = checked.where(f"both * {den}L >= either * {num}L").select("a", "b")
+    if more.take(1):
+        links = stored(links.union(more))
+        comp = graph(links)
+    members = sets.drop("keys").join(classes, ["d1", "d2"], "left").join(comp.select(F.col("id").alias("rep"), "root"), "rep", "left")
     members = members.select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", F.when(F.col("id").isNotNull(), F.col("rep")))).otherwise(F.col("id")).alias("component"))
-    return members.withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))), found
+    return members.withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))), links
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
