@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Text bytes that are worked on at once; a longer text is worked on alone.
-SLICE = 4 << 20
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _pow: dict[int, np.ndarray] = {}

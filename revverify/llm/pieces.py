@@ -70,7 +70,7 @@ class PieceModel:
         cont = np.arange(1 << 16) & 0xC0 == 0x80
         self.apart &= ~cont  # characters stay whole
         self.deep = np.unique(self.low[self.length > 8, 0])
-        self.known = IdTable(np.uint16 if len(self.text_of) < 1 << 16 else np.uint32, 700_000)
+        self.known = IdTable(np.uint16 if len(self.text_of) < 1 << 16 else np.uint32, 250_000)
 
     @staticmethod
     def _keys(words: list[bytes], pad: int, fill: bytes) -> np.ndarray:
@@ -257,7 +257,7 @@ def encode_pieces(docs: DataFrame, path: str, digest: bool = False) -> DataFrame
     def run(batches):
         m = model_of(path)
         for batch in batches:
-            for x in pieces(batch):
+            for x in pieces(batch, most=3 << 20):  # every part looks up all pieces once
                 ids, offs = m.encode(x["text"])
                 same, crc, rows = [], [], []
                 for t, a, b in zip(x["text"], offs, offs[1:], strict=False):

@@ -139,7 +139,7 @@ class WordEncoder:
         self.kind = np.uint16 if len(vocab) < 1 << 16 else np.uint32
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.known = IdTable(self.kind, 900_000)
+        self.known = IdTable(self.kind, 250_000)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
