@@ -8,6 +8,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def norm(c: Column) -> Column:
@@ -15,7 +16,7 @@ def norm(c: Column) -> Column:
     return F.lower(F.btrim(F.regexp_replace(c, r"(?U)\s+", " ")))
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def norm_unicode(texts: pa.Array) -> pa.Array:
     """UDF-01: NFKC, white space collapsed, trimmed, case folded. For rows that are not ASCII."""
     return pa.array([None if t is None else " ".join(unicodedata.normalize("NFKC", t).replace(" ", " ").split()).casefold() for t in texts.to_pylist()], pa.string())
@@ -26,7 +27,7 @@ def normalized(c: Column) -> Column:
     return F.when(c.rlike(r"^\p{ASCII}*$"), norm(c)).otherwise(norm_unicode(c))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """UDF-03: matching-block ratio of two texts."""
     return pa.array([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())

@@ -21,7 +21,7 @@ _MONTH = "(?:" + "|".join(m.capitalize() for m in MONTHS) + ")"
 PATTERNS = (
     ("party", r"(?:甲方|乙方|丙方|Party [AB])(?: ?[(（][^)）\n]*[)）])? ?[:：][^;；\n]+"),
     ("currency", rf"(?<![A-Za-z]){_CODE}(?![A-Za-z])"),
-    ("money", rf"(?<![A-Za-z]){_CODE} ?(?:{_NUMBER})(?: (?:thousand|million|billion))?(?![0-9A-Za-z])"),
+    ("money", rf"(?<![A-Za-z]){_CODE} ?(?:{_NUMBER})(?: (?:thousand|million|billion))?(?![0-9A-Za-z万亿元])"),
     ("money", rf"(?<![0-9.,A-Za-z$€£¥])(?:{_NUMBER})(?: (?:thousand|million|billion))? ?{_CODE}(?![A-Za-z0-9])"),
     ("zh_money", r"[0-9]+(?:[.][0-9]+)?(?:万|亿)?元"),
     ("date", r"(?<![0-9])[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9])"),
@@ -78,14 +78,14 @@ def extract(clauses: DataFrame, keys: list[str]) -> DataFrame:
     """
 
     def of(kind: str, pattern: str) -> Column:
-        return F.transform(matches(F.col("text"), pattern), lambda x: F.struct(F.lit(kind).alias("k"), x["pos"].alias("pos"), x["m"].alias("m")))
+        return F.transform(matches(F.col("text"), pattern), lambda x: F.struct(F.lit(kind).alias("form"), x["pos"].alias("pos"), x["m"].alias("m")))
 
     found = F.concat(*[of(kind, pattern) for kind, pattern in PATTERNS])
-    rows = clauses.select(*keys, F.explode(found).alias("x")).select(*keys, "x.k", "x.pos", F.col("x.m").alias("text"))
-    rows = rows.withColumn("value", _value(F.col("k"), F.col("text"))).where("value IS NOT NULL")
-    rows = rows.withColumn("kind", F.regexp_replace("k", "^(zh|en|dm)_", ""))
-    yuan = rows.where("k = 'zh_money'").withColumn("value", F.lit("CNY")).withColumn("kind", F.lit("currency"))
-    rows = rows.union(yuan).drop("k").withColumn("end", F.col("pos") + F.length("text"))
+    rows = clauses.select(*keys, F.explode(found).alias("x")).select(*keys, "x.form", "x.pos", F.col("x.m").alias("text"))
+    rows = rows.withColumn("value", _value(F.col("form"), F.col("text"))).where("value IS NOT NULL")
+    rows = rows.withColumn("kind", F.regexp_replace("form", "^(zh|en|dm)_", ""))
+    yuan = rows.where("form = 'zh_money'").withColumn("value", F.lit("CNY")).withColumn("kind", F.lit("currency"))
+    rows = rows.union(yuan).drop("form").withColumn("end", F.col("pos") + F.length("text"))
     rows = anti_overlap(rows, keys)
     same = W.Window.partitionBy(*keys, "kind", "value").orderBy("pos")
     return rows.withColumn("nth", F.row_number().over(same) - 1).withColumn("entity_id", stable_id("entity", *[F.col(k).cast("string") for k in keys], F.col("kind"), F.col("value"), F.col("nth").cast("string"))).drop("nth", "end")

@@ -132,7 +132,7 @@ def test_chain_and_stream(spark, tmp_path):
     rows = [(1, 1, 1, 5, "approve", head, "a"), (1, 2, 2, 6, "reject", "a", "b"), (1, 4, 3, 7, "approve", "b", "c"), (2, 1, 4, 1, "approve", "bad", "x")]
     got = {r["event_id"]: r["error"] for r in events.validate_chain(log(spark, rows)).collect()}
     assert got == {1: None, 2: None, 3: "sequence", 4: "previous-digest"}
-    log(spark, rows[:3] + [(1, 3, 9, 5, "approve", "b", "d")]).write.parquet(str(tmp_path / "in"))
+    log(spark, rows[:2] + [(1, 3, 9, 5, "approve", "b", "d"), (1, 4, 3, 7, "approve", "d", "c")]).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(log(spark, []).schema).parquet(str(tmp_path / "in"))
     q = decisions.stream_effective(stream).writeStream.format("memory").queryName("effective").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
