@@ -49,10 +49,11 @@ def scan_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     is_file = name.rlike(LICENSE_FILE)
     lines = files.where(F.col("text").rlike(CUE) | is_file).select("path", is_file.alias("file"), F.explode(F.split("text", r"\R")).alias("line"))
-    lines = stored(lines.where((F.col("line").rlike(CUE) | F.col("file")) & F.col("line").rlike("[A-Za-z0-9]")).select("path", F.btrim("line").alias("line")))
-    distinct = stored(lines.groupBy("line").agg(F.count("*").alias("n")))
-    words = distinct.select("line", "n", F.explode(_tokens(F.col("line"))).alias("w")).select("line", "n", F.btrim("w", F.lit(".-")).alias("w"))
-    words = stored(words.groupBy("line", "n", "w").agg(F.count("*").alias("tf")))
+    lines = stored(lines.where((F.col("line").rlike(CUE) | F.col("file")) & F.col("line").rlike("[A-Za-z0-9]")).select("path", F.btrim("line").alias("line")).withColumn("key", F.unhex(F.md5("line"))))
+    # A line's words meet by the 16 bytes of its MD5, so its text is not carried with each of them.
+    distinct = stored(lines.groupBy("key").agg(F.min("line").alias("line"), F.count("*").alias("n")))
+    words = distinct.select("key", "n", F.explode(_tokens(F.col("line"))).alias("w")).select("key", "n", F.btrim("w", F.lit(".-")).alias("w"))
+    words = stored(words.groupBy("key", "n", "w").agg(F.count("*").alias("tf")))
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     spark = files.sparkSession
     rows = [(i, a, b) for i, (a, b) in enumerate(TEMPLATES)]
@@ -61,17 +62,17 @@ def scan_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     weight = lambda tf, df: F.col(tf) * (F.ln((1 + F.col("total")) / (1 + F.coalesce(F.col(df), F.lit(0)))) + 1)
     df = words.groupBy("w").agg(F.sum("n").alias("df"))
     one = F.broadcast(total)  # one row
-    x = words.join(df, "w").join(one).select("line", "w", weight("tf", "df").alias("x"))
+    x = words.join(df, "w").join(one).select("key", "w", weight("tf", "df").alias("x"))
     # The templates' words are a fixed few hundred rows.
     y = stored(tpl.join(df.join(F.broadcast(tpl.select("w").distinct()), "w", "left_semi"), "w", "left").join(one).select("t", "license", "w", weight("tf", "df").alias("y")))
-    lx = x.groupBy("line").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("lx"))
+    lx = x.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("lx"))
     ly = y.groupBy("t").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ly"))
-    dot = x.join(F.broadcast(y), "w").groupBy("line", "t", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    dot = x.join(F.broadcast(y), "w").groupBy("key", "t", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     score = F.round(F.col("dot") / (F.col("lx") * F.col("ly")), 6)
-    best = dot.join(lx, "line").join(F.broadcast(ly), "t").groupBy("line").agg(F.max_by(F.struct("license", score.alias("s")), F.struct(score, F.col("license").alias("l"))).alias("b"))
-    best = best.select("line", F.col("b.license").alias("own"), F.col("b.s").alias("own_score")).where(F.col("own_score") >= least)
+    best = dot.join(lx, "key").join(F.broadcast(ly), "t").groupBy("key").agg(F.max_by(F.struct("license", score.alias("s")), F.struct(score, F.col("license").alias("l"))).alias("b"))
+    best = best.select("key", F.col("b.license").alias("own"), F.col("b.s").alias("own_score")).where(F.col("own_score") >= least)
     top = lambda: F.max_by(F.struct("own", "own_score"), F.struct("own_score", "own")).alias("b")
-    own = lines.join(best, "line").groupBy("path").agg(top()).select("path", F.col("b.own").alias("own"), F.col("b.own_score").alias("own_score"))
+    own = lines.join(best, "key").groupBy("path").agg(top()).select("path", F.col("b.own").alias("own"), F.col("b.own_score").alias("own_score"))
     own = stored(own)
     folder = lambda p: F.regexp_replace(p, "/?[^/]*$", "")
     given = own.where(name.rlike(LICENSE_FILE)).withColumn("dir", folder(F.col("path"))).groupBy("dir").agg(top()).select("dir", F.col("b.own").alias("given"))
