@@ -35,6 +35,46 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9.\-]+"), lambda w: F.length(F.btrim(w, F.lit(".-"))) > 0)
 
 
+def _let(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` and its lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _runs(words: Column) -> Column:
+    """Of a sorted array of words: each word once with its count, as array<struct<w, tf>>."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1)))))
+        run = lambda a, b: F.struct(F.element_at(w, a).alias("w"), (F.coalesce(b, n + 1) - a).alias("tf"))
+        return _let(starts, lambda s: F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), run))
+
+    return _let(words, of)
+
+
+def _likely(lines: DataFrame, y: DataFrame, least: float) -> DataFrame:
+    """The words (key, w, tf) of the lines whose cosine with a template can reach ``least``.
+
+    A word's inverse document frequency is 1 or more, so a line's norm is at least that of its template words' weights and its other
+    words' counts. This bounds every cosine from above without the frequencies of other words: lines below it need no join.
+    """
+    ly = y.groupBy("t").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ly"))
+    per = y.join(F.broadcast(ly), "t").groupBy("w").agg(F.first("idf").alias("idf"), F.map_from_entries(F.collect_list(F.struct("t", F.col("y") / F.col("ly")))).alias("y"))
+    # One row: the fixed template words with their frequency and their normed weight in each template.
+    known = per.agg(F.collect_list("w").alias("known"), F.map_from_entries(F.collect_list(F.struct("w", F.struct("idf", "y")))).alias("of"))
+    sum_of = lambda of, f: F.aggregate(of, F.lit(0.0), lambda total, r: total + f(r))
+
+    def reaches(hits: Column) -> Column:
+        norm = F.sqrt(sum_of("runs", lambda r: r["tf"] * r["tf"]) + sum_of(hits, lambda r: r["x"] * r["x"] - r["tf"] * r["tf"]))
+        dots = (sum_of(hits, lambda r, t=t: r["x"] * F.coalesce(r["y"][F.lit(t)], F.lit(0.0))) for t in range(len(TEMPLATES)))
+        return F.greatest(*dots) >= (least - 1e-6) * norm
+
+    met = F.filter("runs", lambda r: F.array_contains("known", r["w"]))
+    hits = F.transform(met, lambda r: _let(F.element_at("of", r["w"]), lambda o: F.struct(r["tf"].alias("tf"), (r["tf"] * o["idf"]).alias("x"), o["y"].alias("y"))))
+    return lines.join(F.broadcast(known)).where(_let(hits, reaches)).select("key", F.inline("runs"))
+
+
 def scan_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     """Licence of each row (path, text): path, own, own_score, inherited, inherited_from, license.
 
@@ -50,21 +90,21 @@ def scan_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     is_file = name.rlike(LICENSE_FILE)
     lines = files.where(F.col("text").rlike(CUE) | is_file).select("path", is_file.alias("file"), F.explode(F.split("text", r"\R")).alias("line"))
     lines = stored(lines.where((F.col("line").rlike(CUE) | F.col("file")) & F.col("line").rlike("[A-Za-z0-9]")).select("path", F.btrim("line").alias("line")).withColumn("key", F.unhex(F.md5("line"))))
-    # A line's words meet by the 16 bytes of its MD5, so its text is not carried with each of them.
-    distinct = stored(lines.groupBy("key").agg(F.min("line").alias("line"), F.count("*").alias("n")))
-    words = distinct.select("key", "n", F.explode(_tokens(F.col("line"))).alias("w")).select("key", "n", F.btrim("w", F.lit(".-")).alias("w"))
-    words = stored(words.groupBy("key", "n", "w").agg(F.count("*").alias("tf")))
+    # Only lines that can reach the threshold go word by word through a join, by the 16 bytes of their MD5.
+    distinct = lines.groupBy("line").agg(F.count("*").alias("n"))
+    words = F.sort_array(F.transform(_tokens(F.col("line")), lambda w: F.btrim(w, F.lit(".-"))))
+    distinct = stored(distinct.select(F.unhex(F.md5("line")).alias("key"), "n", _runs(words).alias("runs")))
     total = distinct.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     spark = files.sparkSession
     rows = [(i, a, b) for i, (a, b) in enumerate(TEMPLATES)]
     tpl = spark.createDataFrame(rows, "t int, license string, notice string")
     tpl = tpl.select("t", "license", F.explode(_tokens(F.col("notice"))).alias("w")).select("t", "license", F.btrim("w", F.lit(".-")).alias("w")).groupBy("t", "license", "w").agg(F.count("*").alias("tf"))
     weight = lambda tf, df: F.col(tf) * (F.ln((1 + F.col("total")) / (1 + F.coalesce(F.col(df), F.lit(0)))) + 1)
-    df = words.groupBy("w").agg(F.sum("n").alias("df"))
+    df = stored(distinct.select("n", F.explode("runs.w").alias("w")).groupBy("w").agg(F.sum("n").alias("df")))
     one = F.broadcast(total)  # one row
-    x = words.join(df, "w").join(one).select("key", "w", weight("tf", "df").alias("x"))
     # The templates' words are a fixed few hundred rows.
-    y = stored(tpl.join(df.join(F.broadcast(tpl.select("w").distinct()), "w", "left_semi"), "w", "left").join(one).select("t", "license", "w", weight("tf", "df").alias("y")))
+    y = stored(tpl.join(df.join(F.broadcast(tpl.select("w").distinct()), "w", "left_semi"), "w", "left").join(one).select("t", "license", "w", weight("tf", "df").alias("y"), (weight("tf", "df") / F.col("tf")).alias("idf")))
+    x = stored(_likely(distinct, y, least).join(df, "w").join(one).select("key", "w", weight("tf", "df").alias("x")))
     lx = x.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("lx"))
     ly = y.groupBy("t").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("ly"))
     dot = x.join(F.broadcast(y), "w").groupBy("key", "t", "license").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
