@@ -2,8 +2,9 @@
 
 Detected entities get keyed replacements of their own type and format: an e-mail address keeps its shape and top-level
 domain, a phone number its punctuation and country code, an IPv4 address the digits of its octets, a card number its grouping, first digit and
-check digit, an IBAN its country and check digits, a secret its alphabet, and a name its gender (by the title
-before it), script and number of words. Replacement depends on the key and the entity's canonical form alone, so one
+check digit, an IBAN its country and check digits, a secret its alphabet, and a name its gender (by the titles
+before it, if they tell one), script and number of words. Values and names are taken to their end, whatever their length: a name
+is all capitalised words and initials after its title in that line; names without a title are not detected. Replacement depends on the key and the entity's canonical form alone, so one
 entity has one surrogate in all documents (coreference).
 
 *Collision check.* All distinct entities of the corpus are gathered (with map-side pre-aggregation) and their surrogates compared:
@@ -26,24 +27,36 @@ from .common import small_side, stored
 # Titles that tell a gender, by language.
 MALE_TITLES = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir", "Don", "Господин", "Κύριος")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Lady", "Doña", "Госпожа", "Κυρία")
+# And those that tell none.
+NEUTRAL_TITLES = ("Dr", "Doctor", "Doktor", "Docteur", "Dra", "Doctora", "Prof", "Professor", "Professorin", "Professeur", "Profesor", "Profesora", "Mx", "Rev", "Доктор", "Профессор", "Δρ", "Καθηγητής", "Καθηγήτρια")
+TITLES = MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES
 SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "access_key", "auth")
 
-_NAME = r"(?:[^\W\d_a-zа-яёα-ω][^\W\d_]+)"
+_UPPER = r"[^\W\d_a-zß-öø-ÿа-џά-ώ]"
+# An initial, or a word with apostrophes before capitals only (O'Brien, but Smith's ends before its 's).
+_NAME = rf"(?:{_UPPER}\.|{_UPPER}[^\W\d_]*(?:['’]{_UPPER}[^\W\d_]*)*)"
+_NAME_WORD = re.compile(_NAME)
+_BLANK = r"[^\S\r\n]"
+# Between the words of a name: blanks and the small words that surnames start with, a hyphen, or nothing after an initial's dot.
+_SMALL = "de|del|der|den|des|di|da|das|do|dos|du|e|el|la|las|le|los|ten|ter|van|von|vom|y|zu|zum|zur|af|av|al|bin|ibn"
+_GAP = rf"(?:{_BLANK}+(?:(?:{_SMALL}){_BLANK}+)*|-|(?<=\.))"
+# A quoted secret ends at its quote, a bare one at white space, a quote, a bracket, a comma or a semicolon, without a sentence's last marks.
+_SECRET = r"(?<=[\"'])[^\s\"']{16,}(?=[\"'])|[!#-&*+\-./0-9:=?@A-Z^_a-z~]{15,}[#-&*+\-/0-9=@A-Z^_a-z~]"
 ENTITY = re.compile(
     "|".join(
         (
-            rf"(?P<secret>(?i:\b(?:{'|'.join(map(re.escape, SECRET_WORDS))})\b)['\"]?\s{{0,3}}[:=]\s{{0,3}}['\"]?(?P<secret_value>[A-Za-z0-9_\-+/]{{16,512}}))",
-            r"(?P<email>(?<![\w.+\-])[A-Za-z0-9_\u00c0-\u024f][\w.+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9]))",
+            rf"(?P<secret>(?i:\b(?:{'|'.join(map(re.escape, SECRET_WORDS))})\b)['\"]?\s{{0,3}}[:=]\s{{0,3}}['\"]?(?P<secret_value>{_SECRET}))",
+            r"(?P<email>(?<![\w.+\-])[A-Za-z0-9_\u00c0-\u024f][\w.+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9]))",
             r"(?P<ipv4>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)",
             r"(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))",
             r"(?P<card>(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d]|-\d))",
             r"(?P<phone>(?<![\w(+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-])|(?<!\w)\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\w))",
-            rf"(?P<name>\b(?P<title>{'|'.join(MALE_TITLES + FEMALE_TITLES)})\b\.?[ ](?P<name_value>{_NAME}(?:[ \-]{_NAME}){{0,2}}))",
+            rf"(?P<name>\b(?P<title>(?:{'|'.join(TITLES)})\b(?:(?:\.\s*|\s+)(?:{'|'.join(TITLES)})\b)*)(?:\.\s*|\s+)(?P<name_value>(?:(?:{_SMALL}){_BLANK}+)*{_NAME}(?:{_GAP}{_NAME})*))",
         )
     )
 )
-HINT = re.compile(rf"[0-9@]|[:=]\s{{0,3}}['\"]?[A-Za-z0-9_\-+/]{{16}}|\b(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\b")
+HINT = re.compile(rf"[0-9@]|[:=]\s{{0,3}}['\"]?\S{{16}}|\b(?:{'|'.join(TITLES)})\b")
 _SYLLABLES = {
     "latin": ("ba be bi bo da de do fa fe ga go ha ka ke la le li lo ma me mi mo na ne no pa pe ra re ri ro sa se ta te ti to va ve vi za".split(), "n", "a"),
     "cyrillic": ("ба бе во га да де ва ка ла ле ли ма ме ми на не но па ра ре ри ро са се та те ти то".split(), "н", "а"),
@@ -111,13 +124,23 @@ def _spread(pattern: str, digits: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in pattern)
 
 
+def _is_initial(word: str) -> bool:
+    return len(word.rstrip(".")) == 1
+
+
+def _initial(word: str, key: bytes) -> str:
+    """Another letter for an initial. Initials are too few to be told apart by, so they are no entities of their own."""
+    letters = {"latin": "ABCDEFGHIJKLMNOPRSTUVW", "cyrillic": "АБВГДЕЖЗИКЛМНОПРСТУФ", "greek": "ΑΒΓΔΕΖΗΘΙΚΛΜΝΟΠΡΣΤΥΦ"}[_script(word)].replace(word[0], "")
+    return letters[Stream(key, "initial", word[0], 0).below(len(letters))] + word[1:]
+
+
 def canonicals(m: re.Match) -> list[tuple[str, str]]:
     """The (kind, canonical form) pairs that a match stands for, empty if it is no entity after all."""
     kind = m.lastgroup if m.lastgroup in ("email", "ipv4", "iban", "ssn", "card", "phone") else next(k for k in ("secret", "email", "ipv4", "iban", "ssn", "card", "phone", "name") if m[k] is not None)
     text = m[kind]
     if kind == "secret":
         v = m["secret_value"]
-        return [(kind, v)] if any(c.isdigit() for c in v) else []
+        return [(kind, v)] if any(c.isalnum() for c in v) else []
     if kind == "email":
         local, _, domain = text.lower().rpartition("@")
         return [("local", f"{local}@{domain}"), ("domain", domain)]
@@ -131,8 +154,9 @@ def canonicals(m: re.Match) -> list[tuple[str, str]]:
         digits = re.sub(r"\D", "", text)
         return [(kind, ("+" if text[0] == "+" else "") + digits)] if 7 <= len(digits) <= 15 else []
     if kind == "name":
-        words = re.split("[ -]", m["name_value"])
-        gender = "given-m" if m["title"] in MALE_TITLES else "given-f"
+        words = [w for w in _NAME_WORD.findall(m["name_value"]) if not _is_initial(w)]
+        titles = re.findall(r"\w+", m["title"])
+        gender = next(("given-m" if t in MALE_TITLES else "given-f" for t in titles if t not in NEUTRAL_TITLES), "given-n")
         return [(gender if i < len(words) - 1 else "surname", w.lower()) for i, w in enumerate(words)]
     return [(kind, text)]
 
@@ -176,10 +200,10 @@ def replaced(kind: str, canonical: str, attempt: int, key: bytes) -> str:
 def surrogate(m: re.Match, attempts: dict, key: bytes) -> str | None:
     """The text that takes the match's place; None leaves it as it is."""
     found = canonicals(m)
-    if not found:
+    if not found and not m["name"]:
         return None
     new = [replaced(k, c, attempts.get((k, c), 0), key) for k, c in found]
-    kind, text = found[0][0], m[0]
+    kind, text = found[0][0] if found else "surname", m[0]
     if kind == "local":
         local, _, domain = text.rpartition("@")
         case = lambda old, x: "".join(b.upper() if a.isupper() else b for a, b in zip(old, x, strict=True)) if len(old) == len(x) else x
@@ -190,10 +214,16 @@ def surrogate(m: re.Match, attempts: dict, key: bytes) -> str | None:
         return _spread(text, new[0])
     if kind == "phone":
         return _spread(text, new[0].lstrip("+"))
-    if kind in ("given-m", "given-f", "surname"):
-        gaps = re.findall("[ -]", m["name_value"])
-        words = [w.upper() if old.isupper() and len(old) > 1 else w.capitalize() for w, old in zip(new, re.split("[ -]", m["name_value"]), strict=True)]
-        return text[: m.start("name_value") - m.start()] + words[0] + "".join(g + w for g, w in zip(gaps, words[1:], strict=True))
+    if kind in ("given-m", "given-f", "given-n", "surname"):
+        made = iter(new)
+
+        def word(w: re.Match) -> str:
+            old = w[0]
+            if _is_initial(old):
+                return _initial(old, key)
+            return next(made).upper() if old.isupper() else next(made).capitalize()
+
+        return text[: m.start("name_value") - m.start()] + _NAME_WORD.sub(word, m["name_value"])
     return new[0]
 
 
