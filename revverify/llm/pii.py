@@ -9,7 +9,7 @@ entity has one surrogate in all documents (coreference).
 
 *Collision check.* All distinct entities of the corpus are gathered (with map-side pre-aggregation) and their surrogates compared:
 two entities of one surrogate, or a surrogate that is itself an entity of the corpus, make the later entity try again with the
-next attempt number until none is left (distinctness). The few entities beyond their first attempt are the only table
+next attempt number, among surrogates that grow longer every eight attempts, until none is left (distinctness). The few entities beyond their first attempt are the only table
 that the rewriting of texts needs, and texts themselves are never shuffled for it unless that table is large.
 """
 
@@ -119,9 +119,9 @@ def _word(key: bytes, kind: str, canonical: str, attempt: int) -> str:
 
 
 def _spread(pattern: str, digits: str) -> str:
-    """The digits put in the places of the pattern's digits (and, for letters, its letters and digits)."""
+    """The digits put in the places of the pattern's digits (and, for letters, its letters and digits); those beyond them follow."""
     it = iter(digits)
-    return "".join(next(it) if c.isalnum() else c for c in pattern)
+    return "".join(next(it) if c.isalnum() else c for c in pattern) + "".join(it)
 
 
 def _is_initial(word: str) -> bool:
@@ -162,38 +162,50 @@ def canonicals(m: re.Match) -> list[tuple[str, str]]:
 
 
 def replaced(kind: str, canonical: str, attempt: int, key: bytes) -> str:
-    """The canonical form of the surrogate."""
+    """The canonical form of the surrogate, of the entity's own length at first.
+
+    Every eight attempts the space widens (by a letter or digit; octets by their range), so that a free surrogate exists whatever the corpus holds.
+    """
     s = Stream(key, kind, canonical, attempt)
+    more = attempt // 8
+    wider = lambda text: text + ("0" if text[-1:].isdigit() else "a") * more
     if kind == "local":
-        return s.like(canonical.rpartition("@")[0])
+        return s.like(wider(canonical.rpartition("@")[0]))
     if kind == "domain":
+        if canonical in ("example.com", "example.org", "example.net"):
+            return canonical
         labels = canonical.split(".")
         keep = 2 if len(labels) > 2 and labels[-2] == "example" else 1
-        return ".".join([s.like(x) for x in labels[:-keep]] + labels[-keep:]) if canonical not in ("example.com", "example.org", "example.net") else canonical
+        return ".".join([*(s.like(x) for x in labels[: -keep - 1]), s.like(wider(labels[-keep - 1])), *labels[-keep:]])
     if kind == "ipv4":
         span = {1: (0, 10), 2: (10, 100), 3: (100, 256)}
-        sizes = [len(x) if attempt < 8 else 3 for x in canonical.split(".")]
-        return ".".join(str(span[n][0] + s.below(span[n][1] - span[n][0])) for n in sizes)
+        if more > 1:
+            # Any octet; when even those do not do, numbers that no address has.
+            spans = [(0, 256) if more < 8 else (256, 256 << (more - 7))] * 4
+        else:
+            spans = [span[len(x) if not more else 3] for x in canonical.split(".")]
+        return ".".join(str(lo + s.below(hi - lo)) for lo, hi in spans)
     if kind == "card":
-        body = canonical[0] + "".join(str(s.below(10)) for _ in canonical[1:-1])
+        body = canonical[0] + "".join(str(s.below(10)) for _ in range(len(canonical) - 2 + more))
         return next(body + d for d in "0123456789" if luhn(body + d))
     if kind == "iban":
-        body = s.like(canonical[4:])
+        body = s.like(canonical[4:] + "0" * more)
         rest = _iban_rest(f"{canonical[:2]}00{body}")
         return f"{canonical[:2]}{98 - rest:02d}{body}"
     if kind == "phone":
         plus = canonical.startswith("+")
         digits = canonical.lstrip("+")
         cc = max(1, len(digits) - 10) if plus else 0
-        out = digits[:cc] + "".join(str(s.below(8) + 2 if i == 0 else s.below(10)) for i in range(len(digits) - cc))
+        out = digits[:cc] + "".join(str(s.below(8) + 2 if i == 0 else s.below(10)) for i in range(len(digits) - cc + more))
         return ("+" if plus else "") + out
     if kind == "ssn":
-        return s.like(canonical)
+        return s.like(wider(canonical))
     if kind == "secret":
         hexa = re.fullmatch("[0-9a-f]+|[0-9A-F]+", canonical)
-        letters = "0123456789abcdef" if hexa else ""
-        out = "".join(letters[s.below(16)] for _ in canonical) if hexa else s.like(canonical)
-        return out.upper() if hexa and canonical.upper() == canonical else out
+        if not hexa:
+            return s.like(wider(canonical))
+        out = "".join("0123456789abcdef"[s.below(16)] for _ in range(len(canonical) + more))
+        return out.upper() if canonical.upper() == canonical else out
     return _word(key, kind, canonical, attempt)
 
 
@@ -254,7 +266,7 @@ def later_attempts(found: DataFrame, key: bytes) -> DataFrame:
 
     base = stored(found.select("kind", "canonical").distinct())
     now = base.withColumn("attempt", F.lit(0))
-    for _ in range(64):
+    while True:  # the space of surrogates widens with the attempt, so every entity finds one
         new = stored(now.withColumn("s", made("kind", "canonical", "attempt")))
         taken = new.groupBy("kind", "s").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("c")).where("c > 1")
         lost = new.join(taken, ["kind", "s"]).where(F.struct("attempt", "canonical") != F.col("first")).select("kind", "canonical")
@@ -266,7 +278,6 @@ def later_attempts(found: DataFrame, key: bytes) -> DataFrame:
             return new.where("attempt > 0").select("kind", "canonical", "attempt")
         again = lost.withColumn("again", F.lit(1))
         now = new.drop("s").join(again, ["kind", "canonical"], "left").select("kind", "canonical", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
-    raise RuntimeError("some entities found no surrogate of their own in 64 attempts")
 
 
 def pseudonymised(docs: DataFrame, key: bytes = b"revverify surrogate key") -> DataFrame:

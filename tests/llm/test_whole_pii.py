@@ -37,3 +37,20 @@ def test_no_part_of_an_entity_stays(spark):
     two = spark.createDataFrame([(1, "Dr. Weber"), (2, "Prof. Weber's dog")], DOC)
     a, b = (r["text"] for r in pii.pseudonymised(two).orderBy("doc_id").collect())
     assert b == f"Prof. {a.split()[1]}'s dog"
+
+
+def test_full_address_spaces_find_surrogates(spark):
+    letters = string.ascii_lowercase
+    local = [f"{c}@full.org" for c in letters + string.digits]
+    domain = [f"someone.else@{a}{b}.com" for a in letters for b in letters]
+    docs = spark.createDataFrame(list(enumerate(local + domain)), DOC)
+    new = [r["text"] for r in pii.pseudonymised(docs).collect()]
+    assert len(set(new)) == len(new) == 36 + 676
+    assert not {t.split("@")[0] for t in new[:36]} & set(letters + string.digits) and not {t.split("@")[1] for t in new} & {t.split("@")[1] for t in local + domain}
+
+
+def test_every_kind_widens():
+    for kind, canonical in [("local", "_@a.com"), ("domain", "-.com"), ("ipv4", "1.2.3.4"), ("card", "4111111111111111"), ("iban", "DE89370400440532013000"), ("phone", "+5551234"), ("ssn", "123-45-6789"), ("secret", "-" * 15 + "a"), ("given-n", "anna")]:
+        sizes = [len(pii.replaced(kind, canonical, n, b"k")) for n in (0, 200, 2000)]
+        assert sizes[0] < sizes[1] < sizes[2], (kind, sizes)
+    assert pii.luhn(pii.replaced("card", "4111111111111111", 30, b"k"))
