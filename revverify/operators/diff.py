@@ -136,17 +136,36 @@ def block_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
 
-def greedy_pair(cands: DataFrame, rounds: int = 20) -> DataFrame:
-    """JN-12: one-to-one pairs (g, b, a) of candidates (g, b, a, similarity), best first by (-similarity, b, a): rounds of mutual bests, each one relational."""
-    left, out = cands, []
-    for _ in range(rounds):
+def _tied_pairs(left: DataFrame) -> DataFrame:
+    """Pairs within runs of equal similarity: where some b and some a are each other's best, all with all and with nobody else, the k-th b has the k-th a."""
+    by = lambda *k: W.Window.partitionBy("g", *k)
+    top = lambda k: F.col("similarity").eqNullSafe(F.max("similarity").over(by(k)))
+    t = left.withColumn("top_b", top("b")).withColumn("top_a", top("a"))
+    t = t.withColumn("n_b", F.count_if("top_b").over(by("b"))).withColumn("n_a", F.count_if("top_a").over(by("a"))).where("top_b AND top_a")
+    t = t.withColumn("first_a", F.min("a").over(by("b"))).withColumn("first_b", F.min("b").over(by("a")))
+    run = by("first_a", "first_b", "similarity")
+    t = t.withColumn("k_b", F.dense_rank().over(run.orderBy("b"))).withColumn("k_a", F.dense_rank().over(run.orderBy("a")))
+    bs, as_ = F.max("k_b").over(run), F.max("k_a").over(run)
+    closed = (F.min("n_b").over(run) == as_) & (F.max("n_b").over(run) == as_) & (F.min("n_a").over(run) == bs) & (F.max("n_a").over(run) == bs)
+    t = t.withColumn("whole", closed & (F.count("*").over(run) == bs.cast("long") * as_))
+    return t.where("whole AND k_b = k_a").select("g", "b", "a", "similarity")
+
+
+def greedy_pair(cands: DataFrame) -> DataFrame:
+    """JN-12: one-to-one pairs (g, b, a) of candidates (g, b, a, similarity), best first by (-similarity, b, a): rounds of mutual bests, each one relational, until no candidate is left.
+
+    Runs of ties take one round. A repeated (g, b, a) counts with its best similarity; a candidate without b or a is none.
+    """
+    left = kept(cands.where("b IS NOT NULL AND a IS NOT NULL").groupBy("g", "b", "a").agg(F.max("similarity").alias("similarity")))
+    out: list[DataFrame] = []
+    while left.take(1):
         order = [F.col("similarity").desc(), F.col("b"), F.col("a")]
         best = lambda k: F.row_number().over(W.Window.partitionBy("g", k).orderBy(*order))
         won = left.withColumn("x", best("b")).withColumn("y", best("a")).where("x = 1 AND y = 1").select("g", "b", "a", "similarity")
-        won = kept(won)
-        if not won.take(1):
-            break
+        won = kept(won.union(_tied_pairs(left)).distinct())
         out.append(won)
-        left = left.join(won.select("g", "b"), ["g", "b"], "left_anti").join(won.select("g", "a"), ["g", "a"], "left_anti")
+        for k in ("b", "a"):
+            gone = won.select(F.col("g").alias("g_"), F.col(k).alias("k_"))
+            left = left.join(gone, F.col("g").eqNullSafe(F.col("g_")) & (F.col(k) == F.col("k_")), "left_anti")
         left = kept(left)
-    return reduce(DataFrame.union, out) if out else cands.limit(0)
+    return reduce(DataFrame.union, out) if out else left.select("g", "b", "a", "similarity")
