@@ -8,7 +8,7 @@ takes its metric on restrictions first, and whole pivots inside the regions that
 1. *Cells.* The shingle universe is cut by hash into B > D disjoint parts, so of a linked pair at least one part has
    restrictions at distance 0: each document lies in the Voronoi cells (distance 0) of its own B restrictions. B depends on
    the size class of the larger document; *windows*: by the triangle inequality through the empty set | |x| - |y| | <= D, so a
-   document whose size lies within that of the next class's border is copied into that class's cells too. A document with
+   document is copied into the cells of every larger class whose border lies within that of its size. A document with
    so many empty parts that the count fails (at most D non-empty ones) is also dealt to the cells of its empty parts.
 2. *Regions* are the connected unions of cells with more than one document; no link leaves its region. Each region gets a
    *pivot* p: the shingles that most of a bounded sample of its documents hold (any set is a right pivot; a central one prunes best). With the
@@ -26,6 +26,8 @@ components are exact. Equal shingle sets are joined first as one, so copies are
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -63,6 +65,11 @@ def parts_of_class(classes: list[int], num: int, den: int) -> np.ndarray:
     return np.array([x + 1 + max(1, x // 10) if x else 0 for x in d], np.int64)
 
 
+def classes_above(classes: list[int], num: int, den: int) -> int:
+    """The most classes above its own in which a document can have a linked partner, that is one of at most den / num times its size."""
+    return max(bisect_right(classes, (classes[k + 1] - 1) * den // num) - 1 - k for k in range(len(classes) - 1))
+
+
 def _three_sums(gid: np.ndarray, m: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the set of values in each group: three exact sums of 22-bit pieces, mixed."""
     out = np.zeros(size, U64)
@@ -72,13 +79,13 @@ def _three_sums(gid: np.ndarray, m: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _cell_keys(u: np.ndarray, offs: np.ndarray, num: int, den: int, classes: list[int], parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _cell_keys(u: np.ndarray, offs: np.ndarray, num: int, den: int, classes: list[int], parts: np.ndarray, above: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the cells of each set, and their offsets."""
     sizes = np.diff(offs)
     m1 = mix(u ^ U64(0x8BB84B93962EACC9))
     owners, found = [], []
     own = np.searchsorted(np.array(classes), sizes, side="right") - 1
-    for up in (0, 1, 2):
+    for up in range(above + 1):
         cls = own + up
         low = np.array(classes)[np.maximum(cls, 0)]
         into = (sizes > 0) & (parts[np.maximum(cls, 0)] > 0)
@@ -116,8 +123,9 @@ def _cell_keys(u: np.ndarray, offs: np.ndarray, num: int, den: int, classes: lis
 def shingle_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """A row (id, n, d1, d2, keys) for each row (id, text): set size, 128-bit digest of the set, cell keys."""
     classes = size_classes()
-    parts = np.append(parts_of_class(classes, num, den), [0, 0, 0])
-    bounds = classes + [classes[-1] * 2] * 3
+    above = classes_above(classes, num, den)
+    parts = np.append(parts_of_class(classes, num, den), np.zeros(above + 1, np.int64))
+    bounds = classes + [classes[-1] * 2] * (above + 1)
 
     def run(batches):
         for batch in batches:
@@ -127,7 +135,7 @@ def shingle_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 d1 = _three_sums(owner, mix(u ^ U64(0x5851F42D4C957F2D)), len(sizes)) ^ sizes.astype(U64)
                 d2 = _three_sums(owner, mix(u ^ U64(0x14057B7EF767814F)), len(sizes))
-                keys, at = _cell_keys(u, offs, num, den, bounds, parts)
+                keys, at = _cell_keys(u, offs, num, den, bounds, parts, above)
                 yield pa.record_batch(
                     [
                         x["id"],
