@@ -76,7 +76,7 @@ def _likely(lines: DataFrame, y: DataFrame, least: float) -> DataFrame:
 
 
 def scan_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
-    """Licence of each row (path, text): path, own, own_score, inherited, inherited_from, license.
+    """Licence of each row (path, text): path, own, own_score, inherited, inherited_from, license, after the row's other columns (but for those of these names).
 
     Lines with a licence word are scored against the templates by the cosine of TF-IDF vectors over words, whose document counts are
     taken over all such lines of all files; in a licence file (by its base name) every line is. The best line and template (ties: by name) count,
@@ -85,7 +85,9 @@ def scan_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     read as empty; blank lines have no score. Rows that repeat are kept as they are, each with the same result: paths that repeat with other texts have the best own licence.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    files = files.select(F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), text.alias("text"))
+    result = ("path", "own", "own_score", "inherited", "inherited_from", "license")
+    others = [c for c in files.columns if c not in (*result, "text")]
+    files = files.select(F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), text.alias("text"), F.struct(F.lit(0), *others).alias("others"))
     name = F.element_at(F.split("path", "/"), -1)
     is_file = name.rlike(LICENSE_FILE)
     lines = files.where(F.col("text").rlike(CUE) | is_file).select("path", is_file.alias("file"), F.explode(F.split("text", r"\R")).alias("line"))
@@ -123,21 +125,24 @@ def scan_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     ups = dirs.select(F.col("dir").alias("low"), F.explode(F.array_distinct(F.array_append(up, F.lit("")))).alias("dir"))
     heir = ups.join(given, "dir").groupBy("low").agg(F.max_by(F.struct("given", "dir"), F.length("dir")).alias("h"))
     heir = heir.select(F.col("low").alias("dir"), F.col("h.given").alias("from_dir"), F.col("h.dir").alias("where_from"))
-    out = files.select("path").join(own, "path", "left").withColumn("dir", folder(F.col("path"))).join(heir, "dir", "left")
+    out = files.select("path", "others").join(own, "path", "left").withColumn("dir", folder(F.col("path"))).join(heir, "dir", "left")
     bare = F.col("own").isNull()
     inherited, whence = F.when(bare, F.col("from_dir")), F.when(bare, F.col("where_from"))
-    return out.select("path", "own", "own_score", inherited.alias("inherited"), whence.alias("inherited_from"), F.coalesce("own", inherited).alias("license"))
+    return out.select(*[F.col("others")[c].alias(c) for c in others], "path", "own", "own_score", inherited.alias("inherited"), whence.alias("inherited_from"), F.coalesce("own", inherited).alias("license"))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Licence of every document. Documents have no paths, so each gets one from its source and doc_id; every tenth is its directory's licence file."""
+    """Licence of every document. Documents have no paths, so each gets one from its source and doc_id; every tenth is its directory's licence file.
+
+    A document without doc_id gets its path from its source and text, so that only equal texts share one.
+    """
     d = F.col("doc_id")
-    a, b = F.floor(d / 1000).cast("string"), (F.floor(d / 100) % 10).cast("string")
+    a, b = F.expr("doc_id div 1000").cast("string"), F.expr("(doc_id div 100) % 10").cast("string")
     path = F.when(d % 100 == 0, F.concat_ws("/", "source", a, F.concat(F.lit("LICENSE."), d))).when(d % 10 == 0, F.concat_ws("/", "source", a, b, F.concat(F.lit("LICENSE."), d)))
-    path = F.coalesce(path, F.concat_ws("/", "source", a, b, F.concat(F.lit("doc_"), d, F.lit(".txt"))))
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(path.alias("path"), "text")
-    out = scan_licenses(docs)
-    return out.withColumn("doc_id", F.regexp_extract("path", r"(\d+)(\.txt)?$", 1).cast("long")).select("doc_id", "path", "own", "own_score", "inherited", "inherited_from", "license")
+    name = F.coalesce(d.cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    path = F.coalesce(path, F.concat_ws("/", "source", a, b, F.concat(F.lit("doc_"), name, F.lit(".txt"))))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", path.alias("path"), "text")
+    return scan_licenses(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "path", "own", "own_score", "inherited", "inherited_from", "license")
 
 
 def _oracle() -> str:
