@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -83,8 +82,9 @@ def span_hashes(data: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) ->
 
 def first_seen(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A code from 0 for each key, in order of appearance, and where each code is seen first."""
-    code, uniques = pd.factorize(keys)
-    first = np.zeros(len(uniques), np.int64)
+    coded = pa.array(keys).dictionary_encode()
+    code = coded.indices.to_numpy()
+    first = np.zeros(len(coded.dictionary), np.int64)
     first[code[::-1]] = np.arange(len(keys))[::-1]
     return code, first
 

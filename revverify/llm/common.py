@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,23 +17,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that the driver and all executors see.
 
-    It lies below ``spark.checkpoint.dir``. Only where that is unset (a local test session) is a
-    temporary folder of this machine taken and set as checkpoint folder.
+    It lies below ``spark.checkpoint.dir``. Only a session of one machine (master local) may leave that unset: a temporary
+    folder is then taken and set as checkpoint folder. On a cluster a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-llm-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write a table into the shared folder and read it again: lineage ends there and lost executors cost nothing."""
-    path = shared_dir(df.sparkSession)
+    path = path or shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that nothing reads any more: all that followed from them is itself stored."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def small_side(df: DataFrame, rows: int, bound: int = 500_000) -> DataFrame:
     """Broadcast a side whose counted rows are within the bound; beyond it Spark shuffles both sides."""
     return F.broadcast(df) if rows <= bound else df
@@ -48,9 +58,9 @@ def components(edges: DataFrame, node: str = "long") -> DataFrame:
     written to the shared folder, which bounds lineage. Rounds grow with the logarithm of the longest chain.
     Null ends and self loops carry no link and are left out.
     """
-    kind = {"src": node, "dst": node}
-    e = edges.select(*(F.col(c).cast(t).alias(c) for c, t in kind.items())).where("src <> dst")
-    e = stored(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
+    spark, path = edges.sparkSession, shared_dir(edges.sparkSession)
+    e = edges.select(*(F.col(c).cast(node).alias(c) for c in ("src", "dst"))).where("src <> dst")
+    e = stored(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), path)
 
     def state(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
@@ -63,7 +73,9 @@ def components(edges: DataFrame, node: str = "long") -> DataFrame:
         large = large.where("src <> dst").distinct()
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(low, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        e = stored(small.union(low.select("src", F.col("m").alias("dst"))).where("src <> dst").distinct())
+        last, path = path, shared_dir(spark)
+        e = stored(small.union(low.select("src", F.col("m").alias("dst"))).where("src <> dst").distinct(), path)
+        dropped(spark, last)
         before, now, rounds = now, state(e), rounds + 1
         if before == now:
             break

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .bytesvec import U64, Words, mix, packed, pieces, shingles
-from .common import components, small_side, stored
+from .common import components, dropped, shared_dir, small_side, stored
 
 _SETS = T.StructType(
     [
@@ -46,6 +46,7 @@ _SETS = T.StructType(
         T.StructField("d1", T.LongType(), False),
         T.StructField("d2", T.LongType(), False),
         T.StructField("keys", T.ArrayType(T.LongType()), False),
+        T.StructField("peers", T.ArrayType(T.LongType()), False),
     ]
 )
 
@@ -120,32 +121,56 @@ def _cell_keys(u: np.ndarray, offs: np.ndarray, num: int, den: int, classes: lis
     return keys[order], np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(sizes)))])
 
 
+def _local_cells(ids: np.ndarray, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Cells that several documents at hand share stay with the smallest id of them; the others get its id as a peer instead.
+
+    So a cell that a third of all documents hold is no hot key of the exchange: each chunk of documents sends it once.
+    """
+    owner = np.repeat(np.arange(len(ids)), np.diff(at))
+    order = np.lexsort((ids[owner], keys))
+    k, o = keys[order], owner[order]
+    first = np.append(True, k[1:] != k[:-1])[: len(k)]
+    holder = o[first][np.cumsum(first) - 1]
+    stay = np.sort(order[first])
+    pairs = np.unique(np.stack([o[~first], holder[~first]]), axis=1) if (~first).any() else np.zeros((2, 0), np.int64)
+    pairs = pairs[:, pairs[0] != pairs[1]]
+    peers = np.split(ids[pairs[1]], np.cumsum(np.bincount(pairs[0], minlength=len(ids)))[:-1])
+    return keys[stay], np.concatenate([[0], np.cumsum(np.bincount(owner[stay], minlength=len(ids)))]), peers
+
+
 def shingle_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """A row (id, n, d1, d2, keys) for each row (id, text): set size, 128-bit digest of the set, cell keys."""
+    """A row (id, n, d1, d2, keys, peers) for each row (id, text): set size, 128-bit digest of the set, cell keys, and documents of the same chunk that hold its other cells."""
     classes = size_classes()
     above = classes_above(classes, num, den)
     parts = np.append(parts_of_class(classes, num, den), np.zeros(above + 1, np.int64))
     bounds = classes + [classes[-1] * 2] * (above + 1)
 
     def run(batches):
-        for batch in batches:
-            for x in pieces(batch):
+        for chunk in (c for batch in batches for c in pieces(batch, most=4 << 20)):
+            ids = chunk["id"].fill_null(1 << 62).to_numpy(zero_copy_only=False)
+            got = []
+            for x in pieces(chunk):
                 u, offs = shingles(Words(*packed(x["text"]), lower=True), words)
                 sizes = np.diff(offs)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 d1 = _three_sums(owner, mix(u ^ U64(0x5851F42D4C957F2D)), len(sizes)) ^ sizes.astype(U64)
                 d2 = _three_sums(owner, mix(u ^ U64(0x14057B7EF767814F)), len(sizes))
                 keys, at = _cell_keys(u, offs, num, den, bounds, parts, above)
-                yield pa.record_batch(
-                    [
-                        x["id"],
-                        pa.array(sizes),
-                        pa.array(d1.view(np.int64)),
-                        pa.array(d2.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64))),
-                    ],
-                    names=_SETS.names,
-                )
+                valid = np.repeat(x["id"].is_valid().to_numpy(zero_copy_only=False), np.diff(at))
+                got.append((sizes, d1, d2, keys[valid], np.where(x["id"].is_valid(), np.diff(at), 0)))
+            sizes, d1, d2, keys, count = (np.concatenate([g[j] for g in got]) for j in range(5))
+            keys, at, peers = _local_cells(ids, keys, np.concatenate([[0], np.cumsum(count)]))
+            yield pa.record_batch(
+                [
+                    chunk["id"],
+                    pa.array(sizes),
+                    pa.array(d1.view(np.int64)),
+                    pa.array(d2.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64))),
+                    pa.array(peers, pa.list_(pa.int64())),
+                ],
+                names=_SETS.names,
+            )
 
     return docs.mapInArrow(run, _SETS)
 
@@ -234,13 +259,23 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     """
     assert 0 < num < den
     docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = stored(shingle_sets(docs, words, num, den))
+    spark, cells, bare = docs.sparkSession, shared_dir(docs.sparkSession), shared_dir(docs.sparkSession)
+    keyed = stored(shingle_sets(docs, words, num, den), cells)
+    sets = stored(keyed.select("id", "n", "d1", "d2"), bare)
     solid = sets.where("n > 0 AND id IS NOT NULL")
     classes = stored(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep")))
+    of_id = solid.join(classes, ["d1", "d2"]).select("id", "rep").distinct()
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    dealt = solid.select("id", "keys").join(reps, "id", "left_semi").select("id", F.explode("keys").alias("cell"))
-    first = dealt.groupBy("cell").agg(F.min("id").alias("p"), F.max("id").alias("last")).where("p <> last").select("cell", "p")
-    near = stored(dealt.join(first.hint("shuffle_hash"), "cell").where("id <> p").select(F.col("id").alias("src"), F.col("p").alias("dst")).distinct())
+    live = keyed.where("n > 0 AND id IS NOT NULL")
+    dealt = live.select("id", "keys").join(reps, "id", "left_semi").select("id", F.explode("keys").alias("cell"))
+    # One exchange by cell gives each cell's smallest document and the links to it.
+    p = F.min("id").over(W.Window.partitionBy("cell"))
+    near = dealt.withColumn("p", p).where("id <> p").select(F.col("id").alias("src"), F.col("p").alias("dst"))
+    # Peers of the same chunk count by their classes, as only a class's representative deals its cells.
+    local = live.select("id", F.explode("peers").alias("peer")).distinct().join(of_id, "id").select("peer", F.col("rep").alias("src"))
+    local = local.join(of_id.select(F.col("id").alias("peer"), F.col("rep").alias("dst")), "peer").where("src <> dst").select("src", "dst")
+    near = stored(near.union(local).distinct())
+    dropped(spark, cells)
     regions = stored(components(near)).select("id", F.col("root").alias("g"))
     n = regions.count()
     whole = stored(_whole_sets(docs.join(small_side(regions.select("id"), n), "id", "left_semi"), words))
@@ -277,7 +312,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     if more.take(1):
         links = stored(links.union(more))
         comp = graph(links)
-    members = sets.drop("keys").join(classes, ["d1", "d2"], "left").join(comp.select(F.col("id").alias("rep"), "root"), "rep", "left")
+    members = sets.join(classes, ["d1", "d2"], "left").join(comp.select(F.col("id").alias("rep"), "root"), "rep", "left")
     members = members.select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", F.when(F.col("id").isNotNull(), F.col("rep")))).otherwise(F.col("id")).alias("component"))
     return members.withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))), links
 

@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesvec import packed, pieces, span_hashes
-from .tokenfiles import IdTable
+from .bytesvec import U64, first_seen, mix, packed, pieces, span_hashes
 
 _MARK = "▁"
 _FAR = np.int64(1) << 40
@@ -49,6 +48,8 @@ class PieceModel:
                 self.byte_id[raw[0]] = i
             elif p.type in (2, 3):
                 raw = b""
+            elif p.type == 4 or len(raw) > 63:
+                raise ValueError("models with user-defined pieces or pieces of 64 bytes and more are not read")
             elif p.type == 1:
                 words.append(raw)
                 ids.append(i)
@@ -70,7 +71,7 @@ class PieceModel:
         cont = np.arange(1 << 16) & 0xC0 == 0x80
         self.apart &= ~cont  # characters stay whole
         self.deep = np.unique(self.low[self.length > 8, 0])
-        self.known = IdTable(np.uint16 if len(self.text_of) < 1 << 16 else np.uint32, 250_000)
+        self.kind = np.uint16 if len(self.text_of) < 1 << 16 else np.uint32
 
     @staticmethod
     def _keys(words: list[bytes], pad: int, fill: bytes) -> np.ndarray:
@@ -112,11 +113,13 @@ class PieceModel:
         by_position = np.argsort(key)
         return key[by_position], piece[by_position]
 
-    def _chunk_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct chunks and how many each has."""
-        text = np.frombuffer(b"\xff".join(chunks) + b"\xff", np.uint8)
-        size = np.array([len(c) for c in chunks])
+    def _chunk_ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks data[start:end] and how many each has. Their bytes are laid end to end, with a byte no text holds between them."""
+        size = end - start
         begin = np.cumsum(size + 1) - size - 1
+        text = np.full(int(size.sum()) + len(size), 0xFF, np.uint8)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        text[np.repeat(begin, size) + step] = data[np.repeat(start, size) + step]
         at = np.flatnonzero((text & 0xC0 != 0x80) & (text != 0xFF))
         key, piece = self.edges(text, at)
         rank_of = np.append(self.rank[piece], _FAR)
@@ -131,7 +134,7 @@ class PieceModel:
         pos, own = at, np.searchsorted(begin, at, side="right") - 1
         stop = np.append(at[1:], len(text))
         length = np.minimum(stop, (begin + size)[own]) - pos
-        long = np.bincount(own, minlength=len(chunks)) > 256
+        long = np.bincount(own, minlength=len(size)) > 256
         done = []
         for c in np.flatnonzero(long).tolist():
             i = own == c
@@ -170,7 +173,7 @@ class PieceModel:
         ids = self.byte_id[text[np.repeat(pos, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]]
         whole = (np.cumsum(n) - n)[found]
         ids[whole] = self.ids[piece[i[found]]]
-        return ids, np.bincount(own, n, len(chunks)).astype(np.int64)
+        return ids.astype(self.kind), np.bincount(own, n, len(size)).astype(np.int64)
 
     @staticmethod
     def _merge_long(pos: np.ndarray, length: np.ndarray, joined, chunk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,9 +226,14 @@ class PieceModel:
         start = np.flatnonzero(cut[: len(out)])
         end = np.append(start[1:], len(out))[: len(start)]
         owner = np.searchsorted(new, start, side="right") - 1
-        hashes = span_hashes(out, [(start, end)])[0]
-        slots = self.known.lookup(out, start, end, hashes, self._chunk_ids)
-        return self.known.gather(slots, owner, docs, None)
+        # Equal chunks are encoded once: they agree in two independent 64-bit hashes and in their length.
+        one, two = span_hashes(out, [(start, end)])[0], span_hashes(out[::-1], [(len(out) - end, len(out) - start)])[0]
+        code, first = first_seen(mix(one) ^ two ^ mix((end - start).astype(U64)))
+        ids, count = self._chunk_ids(out, start[first], end[first]) if len(first) else (np.zeros(0, self.kind), np.zeros(0, np.int64))
+        begin, count = (np.cumsum(count) - count)[code], count[code]
+        total = np.concatenate([[0], np.cumsum(np.bincount(owner, count, docs).astype(np.int64))])
+        step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        return ids[np.repeat(begin, count) + step], total
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Text of one sequence: pieces' bytes in a row without the leading space; bytes that are no UTF-8 become replacement characters."""

@@ -17,6 +17,7 @@ them to places in ``data`` and gathers the bytes, all in numpy.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -24,13 +25,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from .bytesvec import Words, first_seen, packed, pieces, span_hashes
-from .common import shared_dir, small_side, stored
+from .common import dropped, shared_dir, small_side, stored
 
 #: Lengths of the four numbers that each control byte speaks of.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
-SEGMENT_IDS = 1 << 20
+SEGMENT_IDS = 1 << 18
+#: A longer text is encoded part by part, cut at white space.
+LONG = 4 << 20
 
 
 def pack_numbers(x: np.ndarray) -> tuple[bytes, bytes]:
@@ -45,10 +49,10 @@ def pack_numbers(x: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), data.tobytes()
 
 
-def unpack_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
+def unpack_numbers(control, data, n: int) -> np.ndarray:
     size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n].astype(np.int64)
     at = np.cumsum(size) - size
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    raw = np.frombuffer(data, np.uint8)
     out = raw[at].astype(np.uint32)
     for k in (1, 2, 3):
         more = np.flatnonzero(size > k)
@@ -57,40 +61,51 @@ def unpack_numbers(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class IdTable:
-    """Ids of spans already met, by the span's hash; emptied when it holds ``most`` spans."""
+    """Ids of spans already met, by the span's bytes. When it holds ``most`` spans, those met once only are forgotten."""
 
-    def __init__(self, kind: type, most: int = 600_000):
+    def __init__(self, kind: type, most: int):
         self.kind, self.most = kind, most
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, self.kind), 0
-        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.slot: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 18, self.kind), 0
+        self.begin, self.size, self.again = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, bool)
 
-    def _add(self, hashes: list[int], flat: np.ndarray, sizes: np.ndarray) -> None:
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.again[: len(self.slot)])
+        spans, old = list(self.slot), (self.flat, self.begin[keep], self.size[keep].astype(np.int64))
+        self.clear()
+        if len(keep) < self.most // 2:
+            flat, begin, size = old
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            self._add([spans[i] for i in keep.tolist()], flat[np.repeat(begin, size) + step], size)
+
+    def _add(self, spans: list[bytes], flat: np.ndarray, sizes: np.ndarray) -> None:
         a, k = len(self.slot), len(sizes)
         while len(self.begin) < a + k:
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+            self.begin, self.size, self.again = (np.resize(x, 2 * len(x)) for x in (self.begin, self.size, self.again))
         while len(self.flat) < self.used + len(flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.begin[a : a + k], self.size[a : a + k] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.begin[a : a + k], self.size[a : a + k], self.again[a : a + k] = self.used + np.cumsum(sizes) - sizes, sizes, False
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.slot.update(zip(hashes, range(a, a + k), strict=True))
+        self.slot.update(zip(spans, range(a, a + k), strict=True))
 
     def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, ids_of) -> np.ndarray:
-        """Slots of all spans; ``ids_of(list of bytes)`` gives flat ids and sizes of the distinct new ones."""
+        """Slots of all spans; ``ids_of(start, end)`` gives flat ids and sizes of the distinct new ones."""
         code, first = first_seen(hashes)
         if len(self.slot) + len(first) > self.most:
-            self.clear()
-        keys = hashes[first].tolist()
-        slots = np.array([self.slot.get(k, -1) for k in keys], np.int64)
+            self._forget()
+        raw = data.tobytes()
+        keys = [raw[x:y] for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        get = self.slot.get
+        slots = np.array([get(k, -1) for k in keys], np.int64)
         new = np.flatnonzero(slots < 0)
+        self.again[slots[slots >= 0]] = True
         if len(new):
-            raw, at = data.tobytes(), first[new]
             base = len(self.slot)
-            flat, sizes = ids_of([raw[x:y] for x, y in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            flat, sizes = ids_of(start[first[new]], end[first[new]])
             self._add([keys[i] for i in new.tolist()], flat, sizes)
             slots[new] = np.arange(base, base + len(new))
         return slots[code] if len(code) else np.zeros(0, np.int64)
@@ -124,6 +139,25 @@ def _classes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+_PLAIN = np.zeros(256, np.int64)
+_PLAIN[[*range(65, 91), *range(97, 123)]] = 1
+
+
+def _parts(raw: bytes) -> list[bytes]:
+    """The text in parts of about LONG bytes, each but the last up to a white space."""
+    out, at = [], 0
+    while len(raw) - at > LONG:
+        found = [x.start() for x in [_BREAK.search(raw, at + LONG)] if x]
+        if not found:
+            break
+        out.append(raw[at : found[0]])
+        at = found[0]
+    return [*out, raw[at:]]
+
+
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
 class WordEncoder:
     """Ids of whole texts, run by run, for a tokenizer that drops white space, folds A-Z and takes runs of letters, single digits and
     runs of other signs apart: each distinct run goes through the tokenizer once. Runs are cut between two bytes
@@ -139,23 +173,31 @@ class WordEncoder:
         self.kind = np.uint16 if len(vocab) < 1 << 16 else np.uint32
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.known = IdTable(self.kind, 250_000)
+        self.known = IdTable(self.kind, 200_000)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Runs of plain letters go through in one text for many, cut again after each token that ends a word."""
-        words = [w.decode("utf-8", "replace") for w in runs]
-        plain = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
-        rest = [i for i, w in enumerate(words) if not (w.isascii() and w.isalpha())]
-        joined = self._encode([" ".join(words[i] for i in plain[a : a + 256]) for a in range(0, len(plain), 256)])
-        flat = np.array([i for x in joined for i in x], self.kind)
+        size = end - start
+        letters = np.concatenate([[0], np.cumsum(_PLAIN[data])])
+        is_plain = letters[end] - letters[start] == size
+        plain, rest = np.flatnonzero(is_plain), np.flatnonzero(~is_plain)
+        n = size[plain]
+        joined = np.full(int(n.sum()) + len(n), 0x20, np.uint8)
+        place = np.cumsum(n + 1) - n - 1
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        joined[np.repeat(place, n) + step] = data[np.repeat(start[plain], n) + step]
+        text = joined.tobytes().decode("ascii")
+        cuts = [*place[::256].tolist(), len(text)]
+        flat = [np.array(x, self.kind) for x in self._encode([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])]
+        flat = np.concatenate(flat) if flat else np.zeros(0, self.kind)
         ends = np.flatnonzero(self.last[flat]) + 1
         if len(ends) != len(plain):
             raise ValueError("this tokenizer does not mark the ends of words")
-        others = self._encode([words[i] for i in rest])
-        sizes = np.zeros(len(words), np.int64)
+        others = self._encode([data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)])
+        sizes = np.zeros(len(size), np.int64)
         sizes[plain] = np.diff(np.concatenate([[0], ends]))
         sizes[rest] = [len(x) for x in others]
         place = np.cumsum(sizes) - sizes
@@ -168,7 +210,13 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids with ``end`` after each text, and the offsets of the texts in them."""
-        data, offs = packed(texts)
+        if len(texts) == 1 and texts[0].is_valid and len(texts[0].as_buffer()) > LONG:
+            parts = [self._encode_packed(*packed(pa.array([p])), None)[0] for p in _parts(texts[0].as_buffer().to_pybytes())]
+            ids = np.concatenate([*parts, np.array([end], self.kind)])
+            return ids, np.array([0, len(ids)])
+        return self._encode_packed(*packed(texts), end)
+
+    def _encode_packed(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         # Special tokens are found in the text as it stands: words stay whole where their brackets are about.
         special = b"<|" in data.tobytes()
         words = Words(data, offs, lower=not special)
@@ -180,7 +228,7 @@ class WordEncoder:
             start, stop = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([stop, cut]))
             owner = np.searchsorted(offs, start, side="right") - 1
         hashes = span_hashes(words.data, [(start, stop)])[0]
-        slots = self.known.lookup(words.data, start, stop, hashes, self._ids)
+        slots = self.known.lookup(words.data, start, stop, hashes, lambda a, b: self._ids(words.data, a, b))
         return self.known.gather(slots, owner, len(offs) - 1, end)
 
 
@@ -195,7 +243,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """A row (doc_id, tie, ids) for each row (doc_id, text): ids as little-endian numbers of the vocabulary's width."""
+    """A row (doc_id, ids) for each row (doc_id, text): ids as little-endian numbers of the vocabulary's width."""
 
     def run(batches):
         e = encoder(path)
@@ -203,21 +251,23 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
             for x in pieces(batch):
                 ids, offs = e.encode(x["text"], end)
                 rows = [ids[a:b].tobytes() for a, b in zip(offs, offs[1:], strict=False)]
-                ties = pa.array((np.arange(x.num_rows) + np.random.randint(1 << 40)).astype(np.int64))
-                yield pa.record_batch([x["doc_id"], ties, pa.array(rows, pa.binary())], names=["doc_id", "tie", "ids"])
+                yield pa.record_batch([x["doc_id"], pa.array(rows, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tie long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> None:
-    """Write the ids of all documents (doc_id, text) to ``path`` in ascending doc_id order (null first; rows of one doc_id in any order).
+    """Write the ids of all documents (doc_id, text) to ``path`` in ascending doc_id order (null first; rows of one doc_id in the order of a hash of their ids,
+    so that runs agree).
 
-    A null or empty text has the end id alone. The tokenizer must be of the kind that WordEncoder tells, as
+    A null or empty text has the end id alone, an empty table makes files without rows, other columns are not looked at, and texts of any length are
+    encoded whole, part by part. The tokenizer must be of the kind that WordEncoder tells, as
     word_bpe_49k.json is. Counts are taken over the whole corpus; the rank table is as long as the vocabulary at most.
     """
     spark = docs.sparkSession
     width = np.dtype(encoder(tokenizer).kind)
-    tokens = stored(encoded(docs, tokenizer, end))
+    own = shared_dir(spark)
+    tokens = stored(encoded(docs, tokenizer, end), own)
 
     def counted(batches):
         total = np.zeros(0, np.int64)
@@ -252,7 +302,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 1)
 
         for batch in batches:
             for doc, ids in zip(batch["doc_id"].to_pylist(), batch["ids"], strict=True):
-                x = np.frombuffer(ids.as_buffer(), width)
+                x = np.frombuffer(ids.as_buffer(), width).copy()  # a view would hold the whole batch
                 docs_.append(doc)
                 sizes.append(len(x))
                 parts.append(x)
@@ -263,9 +313,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 1)
             yield flush()
 
     n = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    placed = tokens.repartitionByRange(max(1, -(-n // (32 << 20))), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    # Rows that agree in doc_id and ids are told apart by their place in the stored table, so that no group of them has to fit one task.
+    order = ["doc_id", F.xxhash64("ids"), F.monotonically_increasing_id()]
+    tokens = tokens.select("doc_id", order[1].alias("tie"), order[2].alias("place"), "ids")
+    placed = tokens.repartitionByRange(max(1, -(-n // (32 << 20))), "doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place")
     schema = "part int, seq int, before long, doc_id array<long>, n_tokens array<long>, control binary, data binary"
     placed.select("doc_id", "ids").mapInArrow(segments, schema).write.parquet(f"{path}/segments")
+    dropped(spark, own)
 
 
 def read_token_files(spark, path: str, digest: bool = False) -> DataFrame:
@@ -275,24 +329,27 @@ def read_token_files(spark, path: str, digest: bool = False) -> DataFrame:
     for x in ranks:
         id_of[x["rank"]] = x["id"]
     segments = spark.read.parquet(f"{path}/segments")
-    sums = segments.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n")).orderBy("part").collect()
-    bases, total = {}, 0
-    for x in sums:
-        bases[x["part"]], total = total, total + x["n"]
+    sums = segments.groupBy("part").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
+    # One row for each part of 32 MB: the ids of all parts before it.
+    before = W.Window.orderBy("part").rowsBetween(W.Window.unboundedPreceding, -1)
+    base = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.array(row["n_tokens"], np.int64)
-                ids = id_of[unpack_numbers(row["control"], row["data"], int(sizes.sum()))].astype("<u4")
+            for i in range(batch.num_rows):
+                row = {c: batch[c][i] for c in batch.schema.names}
+                sizes = row["n_tokens"].values.to_numpy(zero_copy_only=False)
+                ids = id_of[unpack_numbers(row["control"].as_buffer(), row["data"].as_buffer(), int(sizes.sum()))]
                 at = np.concatenate([[0], np.cumsum(sizes)])
-                raw = [ids[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
-                last = pa.array([zlib.crc32(x) for x in raw], pa.int64()) if digest else pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in raw], pa.list_(pa.int64()))
-                starts = at[:-1] + row["before"] + row["base"]
-                yield pa.record_batch([pa.array(row["doc_id"], pa.int64()), pa.array(starts), pa.array(sizes), last], names=["doc_id", "start", "n_tokens", "last"])
-
-    base = spark.createDataFrame(list(bases.items()), "part int, base long")
-    rows = segments.join(small_side(base, len(bases)), "part").mapInArrow(run, f"doc_id long, start long, n_tokens long, last {'long' if digest else 'array<long>'}")
+                if digest:
+                    raw = memoryview(ids.astype("<u4")).cast("B")
+                    last = pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)], pa.int64())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int64)))
+                starts = at[:-1] + row["before"].as_py() + row["base"].as_py()
+                yield pa.record_batch([row["doc_id"].values, pa.array(starts), pa.array(sizes), last], names=["doc_id", "start", "n_tokens", "last"])
+
+    rows = segments.join(small_side(base, base.count()), "part").mapInArrow(run, f"doc_id long, start long, n_tokens long, last {'long' if digest else 'array<long>'}")
     return rows.withColumnRenamed("last", "ids_crc32" if digest else "ids")
 
 
