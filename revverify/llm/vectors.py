@@ -8,8 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from .common import components, small_side, stored
+from .common import components, dropped, shared_dir, small_side, stored
 
 
 def usable(vec: str) -> Column:
@@ -35,6 +36,11 @@ def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def tables_for(recall: float, p: float, bits: int) -> int:
+    """Tables in which a pair whose signs agree with chance p meets at least once with chance ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - p**bits))
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.999, bucket: int = 256, block: int = 1024, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """Links between vectors (id, vec, label) of equal label with cosine >= threshold in double precision.
 
@@ -42,7 +48,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     the links found.
 
     Equal vectors are one class, so copies never meet one another. Signs against ``bits`` random hyperplanes make
-    a bucket number in each of several tables: ``bits`` follows the number of vectors so that an even bucket holds
+    a bucket number in each of several tables: ``bits`` follows the number of vectors of the label so that an even bucket holds
     about ``bucket`` vectors, and the number of tables follows from ``recall``, the chance that a pair at the threshold meets in
     one table at least (nearer pairs do so more surely). A bucket of more than 2 x ``block`` vectors is cut into
     blocks by a hash of the id, and all pairs of blocks are compared, each in its own group: no bucket is
@@ -51,40 +57,47 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
 
     A vector that is null, empty, zero or holds null or non-finite components, or has no label, links with nothing. Rows
     that repeat an id are vectors of their own and count one another's links; they share a component. A null id takes
-    no part and has component null. Vectors of different lengths never link.
+    no part and has component null. Vectors of different lengths never link. Other columns are not looked at, and an empty table
+    gives no rows.
     """
-    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label"))
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    kind = "float" if dict(vectors.dtypes)["vec"] == "array<float>" else "double"
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast(f"array<{kind}>").alias("vec"), F.col("label").cast("string").alias("label"))
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     live = rows.where(usable("vec")).where("label IS NOT NULL AND id IS NOT NULL").where(norm > 0)
+    spark, held = vectors.sparkSession, shared_dir(vectors.sparkSession)
     classes = stored(live.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).withColumn("uid", F.xxhash64("label", "vec")))
-    found = classes.agg(F.count("*"), F.count_distinct("label")).first()
-    bits = max(2, math.ceil(math.log2(max(1, found[0] / max(1, found[1]) / bucket))))
+    # Bits by label: a label of many vectors has more and smaller buckets, and more tables to keep the recall.
+    of_label = stored(classes.groupBy("label").agg(F.greatest(F.lit(2), F.least(F.lit(30), F.ceil(F.log2(F.count("*") / F.lit(bucket))))).cast("int").alias("bits")))
     p = 1 - math.acos(threshold) / math.pi
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - p**bits))
 
     def signed(batches):
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple, np.ndarray] = {}
         for df in batches:
-            sizes = df["vec"].map(len).to_numpy()
-            codes = np.zeros((len(df), tables), np.int64)
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                if dim not in planes:
-                    planes[dim] = np.random.default_rng([seed, int(dim)]).standard_normal((int(dim), tables * bits))
+            dims, bits_of, codes = df["vec"].map(len).to_numpy(), df["bits"].to_numpy(), [None] * len(df)
+            for dim, bits in sorted(set(zip(dims.tolist(), bits_of.tolist(), strict=True))):
+                at = np.flatnonzero((dims == dim) & (bits_of == bits))
+                tables = tables_for(recall, p, bits)
+                if (dim, bits) not in planes:
+                    planes[dim, bits] = np.random.default_rng([seed, dim, bits]).standard_normal((dim, tables * bits))
                 x = np.stack(df["vec"].to_numpy()[at]).astype(float)
                 x /= np.abs(x).max(axis=1, keepdims=True)
-                up = (x @ planes[dim] > 0).reshape(len(at), tables, bits)
-                codes[at] = up @ (1 << np.arange(bits)) + (int(dim) << bits)
-            yield df.assign(codes=list(codes))
+                up = (x @ planes[dim, bits] > 0).reshape(len(at), tables, bits)
+                for i, row in zip(at.tolist(), (up @ (1 << np.arange(bits))).astype(np.int32), strict=True):
+                    codes[i] = row
+            yield df.drop(columns="bits").assign(codes=codes, dim=dims.astype(np.int32))
 
-    coded = stored(classes.mapInPandas(signed, "label string, vec array<double>, rep long, copies long, uid long, codes array<long>"))
+    coded = classes.join(small_side(of_label, of_label.count()), "label").select("label", "vec", "rep", "copies", "uid", "bits")
+    coded = stored(coded.mapInPandas(signed, f"label string, vec array<{kind}>, rep long, copies long, uid long, codes array<int>, dim int"), held)
     dealt = coded.select("*", F.posexplode("codes").alias("t", "code"))
-    hot = dealt.groupBy("t", "label", "code").agg(F.count("*").alias("c")).where(F.col("c") > 2 * block)
-    hot = hot.select("t", "label", "code", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    dealt = dealt.join(hot, ["t", "label", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    keys = ["t", "label", "dim", "code"]
+    hot = dealt.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") > 2 * block)
+    hot = hot.select(*keys, F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    dealt = dealt.join(hot, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("uid", F.lit(seed)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other"))
+    # A pair that shares a bucket meets there once; of its codes only those of earlier tables tell whether it met before.
+    dealt = dealt.withColumn("codes", F.slice("codes", 1, F.col("t")))
 
     def compared(df: pd.DataFrame) -> pd.DataFrame:
         n, t = len(df), int(df["t"].iloc[0])
@@ -94,7 +107,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
         x = np.stack(df["vec"].to_numpy()).astype(float)
         x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        codes, copies, own = np.stack(df["codes"].to_numpy()), df["copies"].to_numpy(), df["own"].to_numpy()
+        codes, copies, own = (np.stack(df["codes"].to_numpy()) if t else None), df["copies"].to_numpy(), df["own"].to_numpy()
         across = df["b1"].iloc[0] != df["b2"].iloc[0]
         links, left, right = np.zeros(n, np.int64), [], []
         for s in range(0, n, 512):
@@ -122,7 +135,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
         has = links > 0
         return pd.DataFrame({"uid": df["uid"].to_numpy()[has], "rep": rep[has], "links": links[has], "root": root[has]}, columns=cols)
 
-    partial = stored(dealt.groupBy("t", "label", "code", "b1", "b2").applyInPandas(compared, "uid long, rep long, links long, root long"))
+    partial = stored(dealt.groupBy(*keys, "b1", "b2").applyInPandas(compared, "uid long, rep long, links long, root long"))
+    dropped(spark, held)
     count = partial.groupBy("uid").agg(F.sum("links").alias("links"))
     edges = partial.where("rep <> root").select(F.col("rep").alias("src"), F.col("root").alias("dst")).distinct()
     # Rows that repeat an id with other vectors join their classes.
@@ -165,67 +179,59 @@ def _pivot_rows(points: DataFrame, pivots: int) -> dict[int, np.ndarray]:
     out = {}
     for dim in dims:
         got = points.where(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(pivots).collect()
-        out[dim] = np.array([x["vec"] for x in got], float)
+        out[int(dim)] = np.array([x["vec"] for x in got], float)
     return out
 
 
-def exact_top_k(vectors: DataFrame, queries: str, k: int = 5, pivots: int = 64, query_block: int = 512, point_block: int = 8192) -> DataFrame:
-    """The k rows of highest inner product with each query among all rows (id, vec) of integer vectors: query, rank, id, score.
+def _with_distances(rows: DataFrame, table: dict[int, np.ndarray]) -> DataFrame:
+    """Rows (id, vec, dim, norm) with the pivot table: dist (distances to the pivots of that length) and home (the nearest pivot)."""
 
-    ``queries`` is a condition on id. Scores are exact 64-bit integers (inputs whose products pass 2^63 are refused), ties go to the smaller id, and a query's
-    own id is no candidate. Vectors that are null or hold nulls, empty ones and null ids take no part; only vectors of one length
-    meet. Rows repeating an id are candidates of their own; as queries they count once (first by vector).
+    def run(batches):
+        for df in batches:
+            dist, home = [np.zeros(0)] * len(df), np.zeros(len(df), np.int32)
+            dims = df["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim in table:
+                    at, p = np.flatnonzero(dims == dim), table[dim]
+                    x = np.stack(df["vec"].to_numpy()[at]).astype(float)
+                    d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * x @ p.T, 0))
+                    home[at] = d.argmin(1)
+                    for i, row in zip(at.tolist(), d, strict=True):
+                        dist[i] = row
+            yield df.assign(dist=dist, home=home)
 
-    Pivot-table elimination: distances of every point and query to fixed pivots are computed once; for a query q and a
-    point x the largest |d(q,p) - d(x,p)| is a lower bound of d(q,x), so (|q|^2 + |x|^2 - bound^2) / 2 bounds their
-    inner product from above. Points are evaluated in the order of that bound, and a query stops when the bound of the next
-    one is below its k-th best exact score; equal bounds are still evaluated. Queries and points are dealt
-    to blocks of about fixed size, every block pair is one group, and of each only k rows a query go on.
-    """
-    rows = vectors.where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0").where(~F.exists("vec", lambda x: x.isNull()))
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<long>").alias("vec"), F.size("vec").alias("dim"))
-    largest = F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))
-    size = rows.agg(F.max(largest * largest * F.col("dim"))).first()[0] or 0
-    if size >= 2.0**63:
-        raise ValueError("inner products would pass 64 bits")
-    rows = stored(rows)
-    n = max(1, rows.count())
-    table = {int(d): p for d, p in _pivot_rows(rows, pivots).items()} if size < 2.0**50 else {}
-    q = rows.where(queries).groupBy("id").agg(F.min("vec").alias("vec")).withColumn("dim", F.size("vec"))
-    nq, np_ = max(1, math.ceil(n / 50 / query_block)), max(1, math.ceil(n / point_block))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    q = q.select(F.lit(True).alias("query"), "id", "vec", "dim", F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), every(np_).alias("pb"))
-    x = rows.select(F.lit(False).alias("query"), "id", "vec", "dim", every(nq).alias("qb"), F.pmod(F.xxhash64("id", F.lit(8)), F.lit(np_)).alias("pb"))
-    exact_floats = size < 2.0**53
+    return rows.mapInPandas(run, "id long, vec array<long>, dim int, norm double, dist array<double>, home int")
+
+
+def _search(k: int):
+    """Evaluates the points of one block for the queries that visit it: rows (query, id, score), at most k a query."""
 
     def searched(df: pd.DataFrame) -> pd.DataFrame:
         isq = df["query"].to_numpy()
         out = {"query": [], "id": [], "score": []}
         qs, xs = df[isq], df[~isq].sort_values("id", kind="stable")
         if len(qs) and len(xs):
+            exact_floats = qs["norm"].max() < 2.0**53 and xs["norm"].max() < 2.0**53
             kind = np.float64 if exact_floats else np.int64
             a, b = (np.stack(d["vec"].to_numpy()).astype(kind) for d in (qs, xs))
-            qid, xid = qs["id"].to_numpy(), xs["id"].to_numpy()
-            upper = None
-            p = table.get(a.shape[1])
-            if p is not None and len(p):
-                dist = lambda m: np.sqrt(np.maximum((m * m).sum(1)[:, None] + (p * p).sum(1)[None] - 2 * m @ p.T, 0))
-                da, db, na, nb = dist(a.astype(float)), dist(b.astype(float)), (a * a).sum(1), (b * b).sum(1)
+            da, db = (np.stack(d["dist"].to_numpy()) for d in (qs, xs))
+            na, nb, qid, xid, floor = qs["norm"].to_numpy(), xs["norm"].to_numpy(), qs["id"].to_numpy(), xs["id"].to_numpy(), qs["tau"].to_numpy()
             for i in range(len(a)):
-                if p is not None and len(p):
-                    low = np.abs(db - da[i]).max(axis=1)
-                    upper = (na[i] + nb - low * low) / 2
-                    order = np.argsort(-upper, kind="stable")
-                    slack = 1e-6 * (1 + na[i] + nb.max())
-                else:
-                    order, slack = np.arange(len(b)), 0
-                best_s, best_x, at, step = np.zeros(0, kind), np.zeros(0, np.int64), 0, 256
-                while at < len(order):
-                    if upper is not None and len(best_s) >= k and upper[order[at]] + slack < best_s[k - 1]:
+                pick = np.flatnonzero(xid != qid[i])
+                slack, upper = 0.0, None
+                if da.shape[1]:
+                    # The largest |d(q,p) - d(x,p)| is a lower bound of d(q,x), and so bounds the inner product from above.
+                    low = np.abs(db[pick] - da[i]).max(axis=1)
+                    upper, slack = (na[i] + nb[pick] - low * low) / 2, 1e-6 * (1 + na[i] + nb.max())
+                    alive = np.flatnonzero(upper + slack >= floor[i])
+                    alive = alive[np.argsort(-upper[alive], kind="stable")]
+                    pick, upper = pick[alive], upper[alive]
+                best_s, best_x, at, step = np.zeros(0, kind), np.zeros(0, np.int64), 0, 512
+                while at < len(pick):
+                    if upper is not None and len(best_s) >= k and upper[at] + slack < best_s[k - 1]:
                         break  # no later bound can reach the k-th score
-                    pick = order[at : at + step]
-                    pick = pick[xid[pick] != qid[i]]
-                    best_s, best_x = np.concatenate([best_s, b[pick] @ a[i]]), np.concatenate([best_x, xid[pick]])
+                    part = pick[at : at + step]
+                    best_s, best_x = np.concatenate([best_s, b[part] @ a[i]]), np.concatenate([best_x, xid[part]])
                     top = np.lexsort((best_x, -best_s))[:k]
                     best_s, best_x, at, step = best_s[top], best_x[top], at + step, step * 2
                 out["query"].append(np.full(len(best_x), qid[i]))
@@ -233,9 +239,64 @@ def exact_top_k(vectors: DataFrame, queries: str, k: int = 5, pivots: int = 64,
                 out["score"].append(best_s.astype(np.int64))
         return pd.DataFrame({c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in out.items()})
 
-    found = q.unionByName(x).groupBy("dim", "qb", "pb").applyInPandas(searched, "query long, id long, score long")
-    ranked = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k).alias("top"))
-    return ranked.select("query", F.posexplode("top").alias("at", "x")).select("query", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("id"), (-F.col("x.s")).alias("score"))
+    return searched
+
+
+def exact_top_k(vectors: DataFrame, queries: str, k: int = 5, pivots: int = 16, query_block: int = 4096, point_block: int = 16384) -> DataFrame:
+    """The k rows of highest inner product with each query among all rows (id, vec) of integer vectors: query, rank, id, score.
+
+    ``queries`` is a condition on id. Scores are exact 64-bit integers, ties go to the smaller id, and a query's
+    own id is no candidate. Vectors that are null or hold nulls, empty ones and null ids take no part, nor do those whose squared length
+    reaches 2^62, as their scores could pass 64 bits; only vectors of one length meet. Rows repeating an id are candidates of their
+    own; as queries they count once (first by vector). An empty table gives no rows; other columns are not looked at.
+
+    Pivot-table elimination: distances of every point to fixed pivots are computed once and stored with it; for a query q and a
+    point x the largest |d(q,p) - d(x,p)| is a lower bound of d(q,x), so (|q|^2 + |x|^2 - bound^2) / 2 bounds their
+    inner product from above. Points lie in blocks by their nearest pivot, each with the range of its distances. Every query first
+    searches one block of its own pivot, which gives it a k-th score to beat; it then visits only those other blocks whose
+    range still allows that score, and there evaluates points in the order of their bounds until the next bound falls below its k-th
+    score. Equal bounds are still evaluated, so results are exact whatever the bounds prune. A block of points moves once for each block of
+    queries that visits it, and of each visit only k rows a query go on.
+    """
+    rows = vectors.where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0").where(~F.exists("vec", lambda x: x.isNull()))
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<long>").alias("vec"), F.size("vec").alias("dim"), norm.alias("norm")).where(F.col("norm") < 2.0**62)
+    rows = stored(rows)
+    points = stored(_with_distances(rows, _pivot_rows(rows, pivots)).withColumn("place", F.monotonically_increasing_id()))
+    cut = lambda df, most: df.groupBy("dim", "home").agg(F.ceil(F.count("*") / most).cast("int").alias("subs"))
+    # At most 16 x ``pivots`` pairs of length and pivot, and one for each further length.
+    subs = stored(cut(points, point_block))
+    few = subs.count()
+    points = points.join(small_side(subs, few), ["dim", "home"]).withColumn("sub", F.pmod(F.xxhash64("id", "place"), F.col("subs")).cast("int"))
+    q = points.where(queries).groupBy("id").agg(F.min_by(F.struct("vec", "dim", "norm", "dist", "home", "subs"), "vec").alias("q")).select("id", "q.*")
+    q = stored(q)
+    parts = cut(q, query_block) if q.count() > query_block else q.select("dim", "home", F.lit(0).alias("subs")).distinct()
+    q = q.join(small_side(parts.withColumnRenamed("subs", "parts"), few), ["dim", "home"])
+    q = q.withColumn("qb", F.when(F.col("parts") == 0, F.lit("all")).otherwise(F.concat_ws("-", "home", F.pmod(F.xxhash64("id"), F.greatest("parts", F.lit(1))))))
+
+    def visited(visits: DataFrame) -> DataFrame:
+        """Top rows of the queries (id, dim, qb, tau, vec, norm, dist) that visit point blocks (home, sub)."""
+        pairs = visits.select("dim", "home", "sub", "qb").distinct()
+        cols = ["id", "dim", "home", "sub", "qb", "vec", "norm", "dist"]
+        x = points.join(pairs, ["dim", "home", "sub"]).select(F.lit(False).alias("query"), *cols, F.lit(0.0).alias("tau"))
+        return visits.select(F.lit(True).alias("query"), *cols, "tau").unionByName(x).groupBy("dim", "home", "sub", "qb").applyInPandas(_search(k), "query long, id long, score long")
+
+    first = q.withColumn("sub", F.pmod(F.xxhash64("qb"), F.col("subs")).cast("int")).withColumn("tau", F.lit(float("-inf")))
+    near = stored(visited(first))
+    tau = near.groupBy(F.col("query").alias("id")).agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("tau"))
+    # Range of a block's distances to each pivot, and its longest vector.
+    ranges = points.groupBy("dim", "home", "sub").agg(
+        F.max("norm").alias("top"), F.array(*[F.min(F.get("dist", F.lit(i))) for i in range(pivots)]).alias("lo"), F.array(*[F.max(F.get("dist", F.lit(i))) for i in range(pivots)]).alias("hi")
+    )
+    ranges = stored(ranges)
+    q = q.join(tau, "id", "left").withColumn("tau", F.coalesce("tau", F.lit(float("-inf")))).withColumn("own", F.pmod(F.xxhash64("qb"), F.col("subs")).cast("int")).withColumnRenamed("home", "base")
+    pairs = q.join(small_side(ranges, ranges.count()), "dim").where("NOT (home = base AND sub = own)")
+    gap = F.zip_with(F.arrays_zip("lo", "hi"), "dist", lambda r, d: F.greatest(F.lit(0.0), r["lo"] - d, d - r["hi"]))
+    low = F.coalesce(F.array_max(F.filter(gap, lambda g: g.isNotNull())), F.lit(0.0))
+    bound = (F.col("norm") + F.col("top") - low * low) / 2 + 1e-6 * (1 + F.col("norm") + F.col("top"))
+    found = near.union(visited(pairs.where(bound >= F.col("tau"))))
+    best = F.row_number().over(W.Window.partitionBy("query").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query", "rank", "id", "score")
 
 
 def op8_exact_top_k(spark, sf_dir: str) -> DataFrame:
