@@ -4,7 +4,8 @@ Detected entities get keyed replacements of their own type and format: an e-mail
 domain, a phone number its punctuation and country code, an IPv4 address the digits of its octets, a card number its grouping, first digit and
 check digit, an IBAN its country and check digits, a secret its alphabet, and a name its gender (by the titles
 before it, if they tell one), script and number of words. Values and names are taken to their end, whatever their length: a name
-is all capitalised words and initials after its title in that line; names without a title are not detected. Replacement depends on the key and the entity's canonical form alone, so one
+is all capitalised words and initials after its title in that line, and its words are then replaced in all of the document; names without
+any title in their document are not detected. Replacement depends on the key and the entity's canonical form alone, so one
 entity has one surrogate in all documents (coreference).
 
 *Collision check.* All distinct entities of the corpus are gathered (with map-side pre-aggregation) and their surrogates compared:
@@ -152,7 +153,8 @@ def canonicals(m: re.Match) -> list[tuple[str, str]]:
         return [(kind, code)] if 15 <= len(code) <= 34 and _iban_rest(code) == 1 else []
     if kind == "phone":
         digits = re.sub(r"\D", "", text)
-        return [(kind, ("+" if text[0] == "+" else "") + digits)] if 7 <= len(digits) <= 15 else []
+        # With its country code or without, a number is one: its last ten digits tell it.
+        return [(kind, digits[-10:])] if 7 <= len(digits) <= 15 else []
     if kind == "name":
         words = [w for w in _NAME_WORD.findall(m["name_value"]) if not _is_initial(w)]
         titles = re.findall(r"\w+", m["title"])
@@ -193,11 +195,7 @@ def replaced(kind: str, canonical: str, attempt: int, key: bytes) -> str:
         rest = _iban_rest(f"{canonical[:2]}00{body}")
         return f"{canonical[:2]}{98 - rest:02d}{body}"
     if kind == "phone":
-        plus = canonical.startswith("+")
-        digits = canonical.lstrip("+")
-        cc = max(1, len(digits) - 10) if plus else 0
-        out = digits[:cc] + "".join(str(s.below(8) + 2 if i == 0 else s.below(10)) for i in range(len(digits) - cc + more))
-        return ("+" if plus else "") + out
+        return "".join(str(s.below(8) + 2 if i == 0 else s.below(10)) for i in range(len(canonical) + more))
     if kind == "ssn":
         return s.like(wider(canonical))
     if kind == "secret":
@@ -225,7 +223,8 @@ def surrogate(m: re.Match, attempts: dict, key: bytes) -> str | None:
     if kind in ("card", "iban"):
         return _spread(text, new[0])
     if kind == "phone":
-        return _spread(text, new[0].lstrip("+"))
+        digits = re.sub(r"\D", "", text)
+        return _spread(text, digits[: max(0, len(digits) - 10)] + new[0])
     if kind in ("given-m", "given-f", "given-n", "surname"):
         made = iter(new)
 
@@ -239,6 +238,45 @@ def surrogate(m: re.Match, attempts: dict, key: bytes) -> str | None:
     return new[0]
 
 
+def again(word: str, kinds: dict, attempts: dict, key: bytes) -> str | None:
+    """The surrogate of a name's word that stands by itself."""
+    if word.lower() not in kinds:
+        return None
+    kind, canonical = kinds[word.lower()]
+    new = replaced(kind, canonical, attempts.get((kind, canonical), 0), key)
+    return new.upper() if word.isupper() else new.capitalize()
+
+
+def scan(text: str) -> list[re.Match]:
+    """All matches of a text that stand for something, in order: entities, and further places of the words of its names.
+
+    A name that a title tells once is looked for in the whole document: the same words, capitalised or all in capitals.
+    """
+    found = [m for m in ENTITY.finditer(text) if canonicals(m) or m["name"]]
+    words = {w for m in found if m["name"] for w in _NAME_WORD.findall(m["name_value"]) if not _is_initial(w)}
+    if not words:
+        return found
+    spans = [(m.start("name_value") if m["name"] else m.start(), m.end()) for m in found]
+    again = re.compile(rf"(?<!\w)(?:{'|'.join(sorted((re.escape(x) for w in words for x in {w, w.upper()}), key=len, reverse=True))})(?!\w)")
+    more, i = [], 0
+    for m in again.finditer(text):
+        while i < len(spans) and spans[i][1] <= m.start():
+            i += 1
+        if i == len(spans) or m.end() <= spans[i][0]:
+            more.append(m)
+    return sorted([*found, *more], key=re.Match.start)
+
+
+def name_kinds(found: list[re.Match]) -> dict[str, tuple[str, str]]:
+    """(kind, canonical form) of each word of a text's names, in lower case: as its first titled name tells it."""
+    out: dict[str, tuple[str, str]] = {}
+    for m in found:
+        if m.re.groups and m["name"]:
+            for kind, word in canonicals(m):
+                out.setdefault(word, (kind, word))
+    return out
+
+
 def entities(docs: DataFrame) -> DataFrame:
     """Distinct (doc_id, kind, canonical) of all documents (doc_id, text)."""
 
@@ -247,7 +285,7 @@ def entities(docs: DataFrame) -> DataFrame:
             out: dict[tuple, None] = {}
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if text and HINT.search(text):
-                    for m in ENTITY.finditer(text):
+                    for m in ENTITY.finditer(text):  # further places of names bring no new entity
                         out.update(dict.fromkeys((doc, *x) for x in canonicals(m)))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["doc_id", "kind", "canonical"])
@@ -280,13 +318,27 @@ def later_attempts(found: DataFrame, key: bytes) -> DataFrame:
         now = new.drop("s").join(again, ["kind", "canonical"], "left").select("kind", "canonical", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
 
 
-def pseudonymised(docs: DataFrame, key: bytes = b"revverify surrogate key") -> DataFrame:
+KEY_SETTING = "spark.revverify.pii.key"
+#: For the registered query, the pipeline's check and tests only: everybody can read it, so its surrogates can be recomputed.
+TEST_KEY = b"test key that hides nothing"
+
+
+def key_of(spark) -> bytes:
+    """The secret key of this session, from its setting; without one nothing is rewritten."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        raise ValueError(f"set {KEY_SETTING} to a secret key, or pass one")
+    return key.encode()
+
+
+def pseudonymised(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """docs with their texts rewritten, and ``entities``: array of (kind, start, length) in characters of the old text.
 
-    Needs doc_id and text; other columns stay, but for one named ``entities``. A null text stays null with no entities; whole texts
-    are read, whatever their length. Rows that repeat, ties and null ids are ordinary rows. ``key`` must be kept secret and the same
+    Needs doc_id and text; other columns stay, but for one named ``entities``. An empty table gives an empty one. A null text stays null with no entities; whole texts
+    are read, whatever their length. Rows that repeat, ties and null ids are ordinary rows. ``key`` (by default that of the setting) must be kept secret and the same
     for runs whose surrogates shall agree.
     """
+    key = key or key_of(docs.sparkSession)
     late = stored(later_attempts(stored(entities(docs)), key))
     result = "struct<text:string,entities:array<struct<kind:string,start:int,length:int>>>"
 
@@ -298,40 +350,42 @@ def pseudonymised(docs: DataFrame, key: bytes = b"revverify surrogate key") -> D
             if text and HINT.search(text):
                 attempts = {(x["kind"], x["canonical"]): x["attempt"] for x in extra or ()}
                 parts, at = [], 0
-                for m in ENTITY.finditer(text):
-                    new = surrogate(m, attempts, key)
+                found = scan(text)
+                kinds = name_kinds(found)
+                for m in found:
+                    new = surrogate(m, attempts, key) if m.re.groups else again(m[0], kinds, attempts, key)
                     if new is not None:
-                        kind = next(k for k in ("secret", "email", "ipv4", "iban", "ssn", "card", "phone", "name") if m[k] is not None)
+                        kind = "name" if not m.re.groups else next(k for k in ("secret", "email", "ipv4", "iban", "ssn", "card", "phone", "name") if m[k] is not None)
                         spans.append({"kind": kind, "start": m.start(), "length": m.end() - m.start()})
                         parts += [text[at : m.start()], new]
                         at = m.end()
                 text = "".join(parts) + text[at:] if parts else text
             out.append({"text": text, "entities": spans})
-        kinds = pa.struct([("text", pa.string()), ("entities", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())])))])
-        return pa.array(out, kinds)
+        shape = pa.struct([("text", pa.string()), ("entities", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32())])))])
+        return pa.array(out, shape)
 
     names = [c for c in docs.columns if c != "entities"]
     n = late.count()
-    own = docs.select(names)
+    own = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("id"))
     if n:
         per = entities(docs).join(small_side(late, n), ["kind", "canonical"])
-        per = stored(per.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("late_of_it")).withColumnRenamed("doc_id", "id_of_late"))
-        own = own.join(small_side(per, per.count()), F.col("doc_id").cast("long").eqNullSafe(F.col("id_of_late")), "left")
-        extra = F.col("late_of_it")
+        per = stored(per.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("late")).withColumnRenamed("doc_id", "of"))
+        own = own.join(small_side(per, per.count()), F.col("id").eqNullSafe(F.col("of")), "left")
+        extra = F.col("late")
     else:
         extra = F.array().cast("array<struct<kind:string,canonical:string,attempt:int>>")
-    got = own.withColumn("new_of_it", rewrite(F.col("text").cast("string"), extra))
-    return got.select(*[F.col("new_of_it.text").alias(c) if c == "text" else F.col(c) for c in names], F.col("new_of_it.entities").alias("entities"))
+    got = own.select("row", rewrite("text", extra).alias("new"))
+    return got.select(*[F.col("new.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], F.col("new.entities").alias("entities"))
 
 
 def op7_pii_surrogates(spark, sf_dir: str) -> DataFrame:
     """Every document with its rewritten text, the number of its entities and their kinds."""
-    out = pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = pseudonymised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), TEST_KEY)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["kind"]))), ",")
     return out.select("doc_id", F.size("entities").alias("n_entities"), kinds.alias("kinds"), "text")
 
 
-def without_pii(docs: DataFrame) -> DataFrame:
+def without_pii(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """docs with rewritten texts and, where they have it, n_chars to match."""
-    out = pseudonymised(docs)
+    out = pseudonymised(docs, key)
     return out.select(*[F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

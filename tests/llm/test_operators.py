@@ -201,7 +201,7 @@ def test_pii(spark):
         "Frau Anna Schmidt met Herr Schmidt; token = \"0123456789abcdef0123456789abcdef01234567\"", "Clean text with version 3 and 2024.", None, "", "ann.lee@corp.com " * 2000,
     ]
     docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)] + [(None, "8.8.4.4", "s", 1)], DOC)
-    out = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
+    out = {r["doc_id"]: r for r in pii.pseudonymised(docs, pii.TEST_KEY).collect()}
     assert out[3]["text"] == texts[3] and out[4]["text"] is None and out[5]["text"] == ""
     a = re.findall(r"\S+@\S+com", out[0]["text"])
     assert a[0].lower() == a[1].lower() != "ann.lee@corp.com" and a[0] in out[6]["text"] and "ann.lee" not in out[6]["text"]
@@ -213,7 +213,7 @@ def test_pii(spark):
     assert m and m[2] == m[3] and "Schmidt" not in out[2]["text"]
     # Addresses of one digit each are few: distinct ones keep distinct surrogates.
     many = spark.createDataFrame([(i, f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}", "s", 1) for i in range(1000, 1300)], DOC)
-    new = [r["text"] for r in pii.pseudonymised(many).collect()]
+    new = [r["text"] for r in pii.pseudonymised(many, pii.TEST_KEY).collect()]
     old = {r["text"] for r in many.collect()}
     assert len(set(new)) == 300 and not old & set(new)
 
