@@ -7,26 +7,57 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
+# Identifiers of licences, as headers state them.
+IDENTIFIERS = (
+    "Apache-2.0", "MIT", "MIT-0", "ISC", "Zlib", "Unlicense", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later",
+    "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0",
+    "CC-BY-NC-4.0", "CC0-1.0",
+)
+# Texts of short licences without their copyright lines.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_WARRANTY = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GNU = "is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {} for more details. You should have received a copy of the GNU {} along with this program."
 # Notices that name a licence, and the licence they name.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org licenses LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+    ("MIT", f"{_MIT_GRANT} {_MIT_WARRANTY}"),
+    ("MIT-0", f"{_MIT_GRANT.partition(', subject to')[0]}. {_MIT_WARRANTY}"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: the origin of this software must not be misrepresented; altered source versions must be plainly marked as such; this notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", f"{_BSD_GRANT} {_BSD_WARRANTY}"),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-3-Clause", f"{_BSD_GRANT} {_BSD_NAMES} {_BSD_WARRANTY}"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3 or later."),
+    ("GPL-3.0", "This program " + _GNU.format("General Public License", 3, "General Public License", "General Public License")),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program " + _GNU.format("General Public License", 2, "General Public License", "General Public License")),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library " + _GNU.format("Lesser General Public License", 2.1, "Lesser General Public License", "Lesser General Public License")),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("AGPL-3.0", "This program " + _GNU.format("Affero General Public License", 3, "Affero General Public License", "Affero General Public License")),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "Copyright. All rights reserved."),
+    *((x, f"SPDX-License-Identifier: {x}") for x in IDENTIFIERS),
 )
+#: Words of a window over a line that is longer, and the words from one window to the next.
+WINDOW, STEP = 32, 16
 CUE = "(?i)licen[sc]|copyright|public domain|rights reserved|hereby granted|redistribut|spdx"
 LICENSE_FILE = "(?i)^(licen[sc]e|copying|unlicense|notice)([.-].*)?$"
 
@@ -78,9 +109,11 @@ def _likely(lines: DataFrame, y: DataFrame, least: float) -> DataFrame:
 def scan_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     """Licence of each row (path, text): path, own, own_score, inherited, inherited_from, license, after the row's other columns (but for those of these names).
 
-    Lines with a licence word are scored against the templates by the cosine of TF-IDF vectors over words, whose document counts are
-    taken over all such lines of all files; in a licence file (by its base name) every line is. The best line and template (ties: by name) count,
-    from ``least`` on. Equal lines are scored once. A file without own licence inherits that of the nearest ancestor directory which
+    Units of a text are scored against the templates by the cosine of TF-IDF vectors over words, whose document counts are
+    taken over all units of all files. Units are: every line with a licence word; of longer lines their overlapping windows of 32 words
+    with one; every block of lines (between blank ones) with one, so headers and notices wrapped over lines count as a whole; and of a licence file (by its
+    base name) every line and the whole text. The best unit and template (ties: by name) count, from ``least`` on. Equal units are scored once, and
+    those of one file count once. Texts of any length are taken whole; an empty table gives no rows. A file without own licence inherits that of the nearest ancestor directory which
     holds a licence file with one (several: the best score, then by name). license = own or inherited. A null path or text is
     read as empty; blank lines have no score. Rows that repeat are kept as they are, each with the same result: paths that repeat with other texts have the best own licence.
     """
@@ -90,8 +123,17 @@ def scan_licenses(files: DataFrame, least: float = 0.6) -> DataFrame:
     files = files.select(F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), text.alias("text"), F.struct(F.lit(0), *others).alias("others"))
     name = F.element_at(F.split("path", "/"), -1)
     is_file = name.rlike(LICENSE_FILE)
-    lines = files.where(F.col("text").rlike(CUE) | is_file).select("path", is_file.alias("file"), F.explode(F.split("text", r"\R")).alias("line"))
-    lines = stored(lines.where((F.col("line").rlike(CUE) | F.col("file")) & F.col("line").rlike("[A-Za-z0-9]")).select("path", F.btrim("line").alias("line")).withColumn("key", F.unhex(F.md5("line"))))
+    split = F.transform(F.split("text", r"\R"), lambda x: F.btrim(x))
+    cued = F.filter(split, lambda x: x.rlike(CUE))
+    words_of = lambda x: F.filter(F.split(x, "[ \t]+"), lambda w: w != "")
+    starts = lambda w: F.sequence(F.lit(0), F.greatest(F.size(w) - STEP - 1, F.lit(0)), F.lit(STEP))
+    cut = lambda x: _let(words_of(x), lambda w: F.when(F.size(w) > WINDOW, F.transform(starts(w), lambda i: F.array_join(F.slice(w, i + 1, WINDOW), " "))).otherwise(F.array().cast("array<string>")))
+    windows = F.filter(F.flatten(F.transform(cued, cut)), lambda x: x.rlike(CUE))
+    blocks = F.filter(F.transform(F.split("text", r"\n[ \t]*\n"), lambda x: F.btrim(x)), lambda x: x.rlike(CUE) & x.contains("\n"))
+    none = F.array().cast("array<string>")
+    units = F.array_distinct(F.concat(F.when(is_file, split).otherwise(cued), windows, blocks, F.when(is_file, F.array(F.btrim("text"))).otherwise(none)))
+    lines = files.where(F.col("text").rlike(CUE) | is_file).select("path", F.explode(units).alias("line"))
+    lines = stored(lines.where(F.col("line").rlike("[A-Za-z0-9]")).withColumn("key", F.unhex(F.md5("line"))))
     # Only lines that can reach the threshold go word by word through a join, by the 16 bytes of their MD5.
     distinct = lines.groupBy("line").agg(F.count("*").alias("n"))
     words = F.sort_array(F.transform(_tokens(F.col("line")), lambda w: F.btrim(w, F.lit(".-"))))
@@ -153,8 +195,13 @@ WITH RECURSIVE f AS (
   SELECT doc_id, coalesce(text, '') AS text, CASE WHEN doc_id % 100 = 0 THEN source || '/' || (doc_id // 1000) || '/LICENSE.' || doc_id
     WHEN doc_id % 10 = 0 THEN source || '/' || (doc_id // 1000) || '/' || (doc_id // 100 % 10) || '/LICENSE.' || doc_id
     ELSE source || '/' || (doc_id // 1000) || '/' || (doc_id // 100 % 10) || '/doc_' || doc_id || '.txt' END AS path FROM documents),
-l AS (SELECT path, trim(line) AS line FROM (SELECT path, doc_id % 10 = 0 AS file, unnest(string_split_regex(text, '\r\n|[\n\x0b\f\r\x{{85}}\x{{2028}}\x{{2029}}]')) AS line FROM f)
-      WHERE (file OR regexp_matches(line, '{CUE}')) AND regexp_matches(line, '[A-Za-z0-9]')),
+s0 AS (SELECT path, text, doc_id % 10 = 0 AS file, list_transform(string_split_regex(text, '\r\n|[\n\x0b\f\r\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: trim(x)) AS ls FROM f),
+s1 AS (SELECT *, list_filter(ls, lambda x: regexp_matches(x, '{CUE}')) AS cued FROM s0 WHERE file OR regexp_matches(text, '{CUE}')),
+s2 AS (SELECT *, list_transform(cued, lambda x: list_filter(string_split_regex(x, '[ \t]+'), lambda w: w <> '')) AS ws FROM s1),
+l AS (SELECT path, line FROM (SELECT path, unnest(list_distinct(list_concat(CASE WHEN file THEN ls ELSE cued END,
+        list_filter(flatten(list_transform(list_filter(ws, lambda w: len(w) > {WINDOW}), lambda w: list_transform(range(0, len(w) - {STEP}, {STEP}), lambda i: array_to_string(w[i + 1 : i + {WINDOW}], ' ')))), lambda x: regexp_matches(x, '{CUE}')),
+        list_filter(list_transform(string_split_regex(text, '\n[ \t]*\n'), lambda x: trim(x)), lambda x: regexp_matches(x, '{CUE}') AND contains(x, chr(10))),
+        CASE WHEN file THEN [trim(text)] ELSE [] END))) AS line FROM s2) WHERE regexp_matches(line, '[A-Za-z0-9]')),
 d AS (SELECT line, count(*) AS n FROM l GROUP BY line),
 w AS (SELECT line, n, w, count(*) AS tf FROM (SELECT line, n, unnest({words.format("line")}) AS w FROM d) GROUP BY ALL),
 total AS (SELECT coalesce(sum(n), 0) AS total FROM d),
