@@ -78,7 +78,7 @@ def _runs(words: Column) -> Column:
         n = F.size(w)
         places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
         starts = F.filter(places, lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1)))))
-        run = lambda a, b: F.struct(F.element_at(w, a).alias("w"), (F.coalesce(b, n + 1) - a).alias("tf"))
+        run = lambda a, b: F.struct(F.element_at(w, a).alias("w"), (F.coalesce(b, n + 1) - a).cast("double").alias("tf"))
         return _let(starts, lambda s: F.zip_with(s, F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), run))
 
     return _let(words, of)
