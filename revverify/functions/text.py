@@ -59,11 +59,28 @@ def quoted(part: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(part, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def offsets(gaps: Column, found: Column) -> Column:
+    """Array of (pos, m): matches with their offsets from 0, from the pieces between them; one pass that carries the offset along."""
+    none = F.array().cast("array<struct<pos:int,m:string>>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        pos = s["at"] + F.length(x["g"])
+        return F.struct((pos + F.length(x["m"])).alias("at"), F.concat(s["out"], F.array(F.struct(pos.alias("pos"), x["m"].alias("m")))).alias("out"))
+
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+    return F.aggregate(pairs, start, step, lambda s: s["out"])
+
+
 def find_spans(text: Column, part: Column) -> Column:
     """FN-04: array of (start, end) of a literal, from 0, left to right without overlap."""
-    gaps = F.transform(F.split(text, quoted(part), -1), lambda g: F.length(g))
-    before = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda s, g: s + g) + i * F.length(part)
-    spans = F.transform(F.slice(gaps, 1, F.size(gaps) - 1), lambda g, i: F.struct(before(i).alias("start"), (before(i) + F.length(part)).alias("end")))
+    gaps = F.split(text, quoted(part), -1)
+    spans = let(gaps, lambda g: F.transform(offsets(g, F.transform(F.slice(g, 2, F.size(g)), lambda x: part)), lambda x: F.struct(x["pos"].alias("start"), (x["pos"] + F.length(part)).alias("end"))))
     return F.when(F.length(part) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(spans)
 
 
@@ -88,19 +105,47 @@ def canon(**cols: Column) -> Column:
     return F.to_json(F.struct(*[c.alias(k) for k, c in sorted(cols.items())]), {"ignoreNullFields": "false"})
 
 
+#: A number with its inner points and commas.
+NUMBER = r"\d+(?:[.,]\d+)*"
+
+
 def has_context(anchor: Column) -> Column:
     """FN-11: at least six letters outside numbers."""
-    return F.length(F.regexp_replace(anchor, r"[^\p{L}]", "")) >= 6
+    return F.length(F.regexp_replace(F.regexp_replace(anchor, NUMBER, ""), r"[^\p{L}]", "")) >= 6
 
 
 def generalized(anchor: Column) -> Column:
     """FN-10: numbers made one sign."""
-    return F.regexp_replace(anchor, r"\d+(?:[.,]\d+)*", "#")
+    return F.regexp_replace(anchor, NUMBER, "#")
+
+
+def stable_anchor_occurrences(anchor: Column, text: Column) -> Column:
+    """FN-10: of the places where the text reads as the anchor but for numbers, those with exactly one other number of the same shape; null when a place
+    differs in more or in shape, 0 without numbers in the anchor or too few letters.
+
+    The anchor's literal parts, quoted, with a number between them make the pattern; its matches' numbers are compared with the anchor's one by one.
+    """
+    pattern = F.concat(F.lit("\\Q"), F.regexp_replace(F.replace(anchor, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), NUMBER, r"\\E" + NUMBER.replace("\\", "\\\\") + r"\\Q"), F.lit("\\E"))
+    own = F.regexp_extract_all(anchor, F.lit(NUMBER), F.lit(0))
+    shape = lambda x: F.regexp_replace(x, r"\d", "#")
+
+    def edits(place: Column) -> Column:
+        """Numbers that differ in one place; 2 stands for any that the rule does not allow."""
+        theirs = F.regexp_extract_all(place, F.lit(NUMBER), F.lit(0))
+        other = F.filter(F.zip_with(own, theirs, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda x: x["a"] != x["b"])
+        return F.when(F.size(other) <= 1, F.when(F.exists(other, lambda x: shape(x["a"]) != shape(x["b"])), 2).otherwise(F.size(other))).otherwise(2)
+
+    found = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), edits)
+    total = let(found, lambda n: F.when(F.exists(n, lambda x: x > 1), F.lit(None)).otherwise(F.aggregate(n, F.lit(0), lambda s, x: s + x)))
+    usable = anchor.rlike(NUMBER) & has_context(anchor) & (F.length(anchor) <= 4096) & (F.length(text) <= 32768)
+    return F.when(usable, total).otherwise(0)
 
 
-def sentences(text: Column) -> Column:
-    """FN-13 for Latin text: split after . or ; and white space."""
-    return F.split(text, r"(?<=[.;])\s+")
+def sentences(text: Column, language: str = "en") -> Column:
+    """FN-13: split after . or ; and white space; Chinese after each 。 or ；, which stays."""
+    if language == "zh":
+        return F.regexp_extract_all(text, F.lit("[^。；]*[。；]|[^。；]+$"), F.lit(0))
+    return F.split(F.btrim(text), r"(?<=[.;])\s+")
 
 
 def inc_first(text: Column) -> Column:
@@ -109,10 +154,30 @@ def inc_first(text: Column) -> Column:
     return F.when(number != "", F.concat(head, (number.cast("decimal(20,0)") + 1).cast("string"), F.substr(text, F.length(head) + F.length(number) + 1)))
 
 
+# English months.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+def day_of(year: Column, month: Column, day: Column) -> Column:
+    """The date of three numbers as text; null for no calendar day."""
+    return F.try_to_date(F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd")
+
+
 def shift_date(text: Column) -> Column:
-    """FN-15: an ISO date a day later, at the month's end a day earlier."""
-    d = F.to_date(text)
-    return F.date_format(F.when(d == F.last_day(d), F.date_add(d, -1)).otherwise(F.date_add(d, 1)), "yyyy-MM-dd")
+    """FN-15: a date (2026-09-03, 2026年9月3日, September 3, 2026) a day later, at the month's end a day earlier; form and width of the day stay.
+
+    What is no calendar day has its first number raised by one.
+    """
+    group = lambda p, i: F.regexp_extract(text, p, i)
+    iso, zh, en = r"^(\d{4}-\d{1,2}-)(\d{1,2})()$", "^(\\d{4}年\\d{1,2}月)(\\d{1,2})(日)$", rf"^((?:{'|'.join(MONTHS)}) )(\d{{1,2}})(, \d{{4}})$"
+    part = lambda i: F.concat(group(iso, i), group(zh, i), group(en, i))
+    head, old, tail = part(1), part(2), part(3)
+    named = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(head, "^([A-Z][a-z]+)", 1))
+    year = F.when(named > 0, F.regexp_extract(tail, r"(\d{4})", 1)).otherwise(F.regexp_extract(head, r"^(\d{4})", 1))
+    month = F.when(named > 0, named.cast("string")).otherwise(F.regexp_extract(head, r"^\d{4}[-年](\d{1,2})", 1))
+    d = day_of(year, month, old)
+    new = F.dayofmonth(F.when(d == F.last_day(d), F.date_add(d, -1)).otherwise(F.date_add(d, 1))).cast("string")
+    return F.when(d.isNull(), inc_first(text)).otherwise(F.concat(head, F.lpad(new, F.greatest(F.length(old), F.length(new)), "0"), tail))
 
 
 def shift_value(text: Column, kind: Column) -> Column:
@@ -123,10 +188,16 @@ def shift_value(text: Column, kind: Column) -> Column:
     return F.replace(text, F.regexp_extract(text, r"(\d[\d,]*)", 1), shown)
 
 
+def around(text: Column, value: Column) -> tuple[Column, Column]:
+    """What stands before the first place of a value, and after it."""
+    at = F.instr(text, value)
+    return F.substr(text, F.lit(1), F.greatest(at - 1, F.lit(0))), F.substr(text, at + F.length(value))
+
+
 def anchor_words(text: Column, value: Column) -> Column:
     """FN-17: the six words before the value, or the six after it where fewer than three stand before."""
     words = lambda c: F.filter(F.split(F.btrim(c), r"\s+"), lambda w: w != "")
-    before, after = words(F.substring_index(text, value, 1)), words(F.substring_index(text, value, -1))
+    before, after = (words(x) for x in around(text, value))
     last = F.when(F.size(before) > 6, F.slice(before, F.size(before) - 5, F.lit(6))).otherwise(before)
     return F.array_join(F.when(F.size(before) >= 3, last).otherwise(F.slice(after, 1, 6)), " ")
 
@@ -155,39 +226,66 @@ def uri_facts(uri: Column) -> Column:
     return F.struct(F.lower(scheme).alias("scheme"), F.sha2(F.lower(host), 256).alias("host_sha256"), F.sha2(uri, 256).alias("target_sha256"))
 
 
+def latin1_replaced(text: Column) -> Column:
+    """FN-20: how many signs latin1_safe replaces by a question mark."""
+    return F.regexp_count(F.replace(F.translate(text, "‘’“”–—", "''\"\"--"), F.lit("…"), F.lit("...")), F.lit(r"[^\x00-\xFF]"))
+
+
+def scrub(text: Column, places: str = r"(?:/tmp|/var/folders|[A-Za-z]:\\\\(?:Temp|Users))[^\s:;,'\"]*") -> Column:
+    """FN-23: temporary paths in warnings made one sign."""
+    return F.regexp_replace(text, places, "<temp>")
+
+
+def restated(text: Column, value: Column) -> Column:
+    """FN-17: the value stands in brackets, or next to a bracketed form of itself: "thirty (30) days"."""
+    before, after = (f(x) for f, x in zip((F.rtrim, F.ltrim), around(text, value), strict=True))
+    return (F.instr(text, value) > 0) & (before.rlike(r"[(（]$") | after.rlike(r"^[)）(（]"))
+
+
 def basename(path: Column) -> Column:
     """FN-23: last part of a path of either slash."""
     return F.element_at(F.filter(F.split(path, r"[/\\]"), lambda x: x != ""), -1)
 
 
 def dec_text(text: Column, scale: Column) -> Column:
-    """FN-24: a decimal times a power of ten as text, commas and plus sign dropped, the source's fraction digits kept."""
-    plain = F.regexp_replace(text, "[,+]", "")
+    """FN-24: a decimal times a power of ten as text: commas and plus sign dropped, leading zeros too, the source's fraction digits kept; null beyond 38 digits."""
+    plain = F.regexp_replace(text, "[,+-]", "")
     places = F.length(F.regexp_extract(plain, r"\.(\d+)$", 1))
-    whole = (F.replace(plain, F.lit("."), F.lit("")).cast("decimal(38,0)") * scale.cast("decimal(16,0)")).cast("decimal(38,0)").cast("string")
+    whole = F.try_multiply(F.replace(plain, F.lit("."), F.lit("")).try_cast("decimal(38,0)"), scale.cast("decimal(16,0)")).try_cast("decimal(38,0)").cast("string")
     padded = F.lpad(whole, F.greatest(F.length(whole), places + 1), "0")
-    return F.when(places == 0, whole).otherwise(F.concat(F.substr(padded, F.lit(1), F.length(padded) - places), F.lit("."), F.substr(padded, F.length(padded) - places + 1)))
+    out = F.when(places == 0, whole).otherwise(F.concat(F.substr(padded, F.lit(1), F.length(padded) - places), F.lit("."), F.substr(padded, F.length(padded) - places + 1)))
+    return F.concat(F.when(F.contains(text, F.lit("-")), "-").otherwise(""), out)
 
 
 # Chinese digits and units.
 ZH_DIGITS = {c: i for i, pair in enumerate(("零〇", "一壹", "二贰两", "三叁", "四肆", "五伍", "六陆", "七柒", "八捌", "九玖")) for c in pair}
 ZH_UNITS = {"十": 10, "拾": 10, "百": 100, "佰": 100, "千": 1000, "仟": 1000, "万": 10_000, "亿": 100_000_000}
+_SIGNS = {**{c: str(d) for c, d in ZH_DIGITS.items()}, "十": "T", "拾": "T", "百": "H", "佰": "H", "千": "K", "仟": "K", "万": "W", "亿": "Y"}
 
 
 def zh_number(text: Column) -> Column:
-    """FN-25: value of a whole Chinese numeral, null for other signs; a fold over the signs with (total, section, digit)."""
-    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in (kv[0], int(kv[1]))])
-    digit, unit = table(ZH_DIGITS), table(ZH_UNITS)
+    """FN-25: a Chinese numeral as decimal text: units up to 亿, a fraction after 点 kept digit by digit; null for other signs, for year spellings (digits
+    side by side, but for a zero after a unit) and beyond 18 digits.
+
+    Digits and units become one plain letter each; a fold over them keeps what stands before 亿, before 万, the section and the open digit.
+    """
+    plain = F.translate(text, "".join(_SIGNS), "".join(_SIGNS.values()))
+    whole, fraction = F.substring_index(plain, "点", 1), F.when(F.contains(plain, F.lit("点")), F.substr(plain, F.length(F.substring_index(plain, "点", 1)) + 2))
+    cut = lambda a, b, c, d: F.struct(*[x.cast("long").alias(n) for n, x in zip(("total", "wan", "section", "digit"), (a, b, c, d), strict=True)])
+    zero = F.lit(0)
 
     def step(s: Column, c: Column) -> Column:
-        d, u = F.try_element_at(digit, c).cast("long"), F.try_element_at(unit, c).cast("long")
-        new = lambda total, section, held: F.struct(total.cast("long").alias("total"), section.cast("long").alias("section"), held.cast("long").alias("digit"))
-        zero = F.lit(0)
-        here = s["section"] + s["digit"]
-        small = new(s["total"], s["section"] + F.greatest(s["digit"], F.lit(1)) * u, zero)
-        large = F.when(u == 100_000_000, new((s["total"] + here) * u, zero, zero)).otherwise(new(s["total"] + here * u, zero, zero))
-        return F.when(d.isNotNull(), new(s["total"], s["section"], d)).when(u < 10_000, small).otherwise(large)
-
-    start = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("total", "section", "digit")])
-    value = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step, lambda s: s["total"] + s["section"] + s["digit"])
-    return F.when(text.rlike(f"^[{''.join(ZH_DIGITS)}{''.join(ZH_UNITS)}]+$"), value)
+        open_, here = F.when(s["digit"] < 0, 0).otherwise(s["digit"]), s["section"] + F.when(s["digit"] < 0, 0).otherwise(s["digit"])
+        unit = F.when(c == "T", 10).when(c == "H", 100).otherwise(1000)
+        return (
+            F.when(c.between("0", "9"), cut(s["total"], s["wan"], s["section"], c.try_cast("long")))
+            .when(c.isin("T", "H", "K"), cut(s["total"], s["wan"], s["section"] + F.greatest(open_, F.lit(1)) * unit, F.lit(-1)))
+            .when(c == "W", cut(s["total"], s["wan"] + F.try_multiply(here, F.lit(10_000)), zero, F.lit(-1)))
+            .otherwise(cut(F.try_multiply(F.try_add(s["total"], F.try_add(s["wan"], here)), F.lit(100_000_000)), zero, zero, F.lit(-1)))
+        )
+
+    start = cut(zero, zero, zero, F.lit(-1))
+    value = F.aggregate(F.filter(F.split(whole, ""), lambda c: c != ""), start, step, lambda s: s["total"] + s["wan"] + s["section"] + F.greatest(s["digit"], F.lit(0)))
+    good = whole.rlike("^[0-9THKWY]*$") & ~whole.rlike("[1-9][0-9]|[0-9]0[0-9]|^0[0-9]") & (fraction.isNull() | fraction.rlike("^[0-9]+$"))
+    text_of = lambda v: F.when(v.isNotNull(), F.concat_ws(".", v.cast("string"), fraction))
+    return F.when(good & (F.length(plain) <= 40), let(value, text_of))

@@ -6,33 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.text import fp, norm, stable_id
+from ..functions.text import fp, let, norm, normalized, stable_id
 
-# Clause marker patterns in order of precedence: scheme, pattern, level (None: dots + 1).
+# Clause marker patterns in order of precedence: scheme, pattern (printed label first, heading last), level (None: points of the number + 1).
+_ZH = "一二三四五六七八九十百千"
 MARKERS = (
-    ("chinese_article", r"^(第 ?[0-9一二三四五六七八九十百零〇两]+ ?条)(.*)$", 1),
-    ("section", r"^(第 ?[0-9一二三四五六七八九十百零〇两]+ ?节)(.*)$", 1),
-    ("chinese_list", r"^([一二三四五六七八九十百]+、)(.*)$", 2),
-    ("chinese_list", r"^(（[一二三四五六七八九十百]+）)(.*)$", 3),
-    ("article", r"^([Aa][Rr][Tt][Ii][Cc][Ll][Ee] +(?:[0-9]+|[IVXLCivxlc]+))((?:[ .:].*)?)$", 1),
-    ("section", r"^([Ss][Ee][Cc][Tt][Ii][Oo][Nn] +[0-9]+(?:[.][0-9]+)*)((?:[ .:].*)?)$", None),
-    ("decimal", r"^([0-9]+(?:[.][0-9]+)*)[.]?( .*)$", None),
+    ("chinese_article", rf"^(第\s*[{_ZH}零〇两0-9]+\s*条)\s*(.*)$", 1),
+    ("section", r"^(第\s*\d+(?:\.\d+)*\s*节)\s*(.*)$", None),
+    ("article", r"(?i)^(Article\s+[IVXLCDM0-9]+)\b[.：:]?\s*(.*)$", 1),
+    ("section", r"(?i)^(Section\s+\d+(?:\.\d+)*)\b[.：:]?\s*(.*)$", None),
+    ("decimal", r"^(\d+(?:\.\d+)+)[.、：:]?\s*(.*)$", None),
+    ("chinese_list", rf"^([{_ZH}]+、)\s*(.*)$", 2),
+    ("chinese_list", rf"^(（[{_ZH}]+）)\s*(.*)$", 3),
 )
 # First words of protected regions.
 REGION_TERMS = (("signature", ("signature", "signed by", "签字", "签署", "签名")), ("seal", ("seal", "盖章", "公章", "印章")), ("attachment", ("attachment", "appendix", "annex", "schedule", "exhibit", "附件", "附录")))
-DEEPEST = 8
 
 
 def parse_marker(text: Column) -> Column:
     """PRJ-04: struct (scheme, printed, level, heading) of a text's first line; null without a marker."""
-    line = F.btrim(F.replace(F.substring_index(text, "\n", 1), F.lit("　"), F.lit(" ")))
-    out = None
-    for scheme, pattern, level in MARKERS:
-        printed = F.regexp_extract(line, pattern, 1)
-        dots = F.length(printed) - F.length(F.replace(printed, F.lit("."), F.lit(""))) + 1
-        got = F.struct(F.lit(scheme).alias("scheme"), F.btrim(printed).alias("printed"), (F.lit(level) if level else dots).cast("int").alias("level"), F.btrim(F.regexp_extract(line, pattern, 2)).alias("heading"))
-        out = F.when(line.rlike(pattern), got) if out is None else out.when(line.rlike(pattern), got)
-    return out
+
+    def of(line: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None))
+        for scheme, pattern, level in MARKERS:
+            printed = F.regexp_extract(line, pattern, 1)
+            depth = F.lit(level) if level else F.regexp_count(printed, F.lit("[.]")) + 1
+            got = F.struct(F.lit(scheme).alias("scheme"), printed.alias("printed"), depth.cast("int").alias("level"), F.btrim(F.regexp_extract(line, pattern, 2)).alias("heading"))
+            out = out.when(line.rlike(pattern), got)
+        return out
+
+    # Most lines hold none: one cheap look at the first signs spares them the patterns.
+    line = F.regexp_extract(F.replace(text, F.lit("　"), F.lit(" ")), r"^([^\n\r\x0B\f\x{85}\x{2028}\x{2029}]*)", 1)
+    return F.when(text.rlike(rf"^(?:第|[Aa][Rr][Tt]|[Ss][Ee][Cc]|\d|（|[{_ZH}])"), let(line, of))
 
 
 def tag_regions(blocks: DataFrame) -> DataFrame:
@@ -61,28 +66,28 @@ def assemble_clauses(segments: DataFrame, doc: str = "doc_id") -> DataFrame:
     heading = F.when(first["starts"] == 1, F.coalesce(F.when(marker["heading"] != "", marker["heading"]), F.btrim(F.substring_index(first["text"], "\n", 1)))).otherwise("")
     text = F.array_join(F.transform("rows", lambda r: r["text"]), "\n")
     c = c.select(doc, "clause_no", F.coalesce(marker["printed"], F.lit("")).alias("label"), F.coalesce(marker["level"], F.when(first["starts"] == 1, 1).otherwise(0)).alias("level"), heading.alias("heading"), text.alias("text"))
-    return c.withColumn("norm", norm(F.col("text"))).withColumn("fp", fp(F.col("norm")))
+    return c.withColumn("norm", normalized(F.col("text"))).withColumn("fp", fp(F.col("norm")))
 
 
 def clause_tree(clauses: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """WIN-02: parent_no and ancestor_path (headings) of each clause (doc, clause_no, level, heading).
+    """WIN-02: parent_no and ancestor_path (headings) of each clause (doc, clause_no, level, heading), at any depth.
 
-    The last earlier clause of level k is an ancestor when k is below the clause's level and no later clause has a level up to k, that is
-    when it comes after all last ones of smaller levels. Levels beyond 8 take part as level 8. The preamble (level 0) is nobody's parent.
+    A fold over a document's clauses in order keeps the open ancestors: those of smaller level than the clause. The preamble (level 0) is nobody's parent.
     """
-    before = W.Window.partitionBy(doc).orderBy("clause_no").rowsBetween(W.Window.unboundedPreceding, -1)
-    level = F.least("level", F.lit(DEEPEST))
-    c, names = clauses, []
-    for k in range(1, DEEPEST):
-        c = c.withColumn(f"a{k}", F.last(F.when(level == k, F.struct("clause_no", "heading")), ignorenulls=True).over(before))
-        names.append(f"a{k}")
-    chain = []
-    for k, name in enumerate(names, 1):
-        higher = F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(F.col(f"{x}.clause_no"), F.lit(-1)) for x in names[: k - 1]])
-        chain.append(F.when((F.lit(k) < level) & (F.col(f"{name}.clause_no") > higher), F.col(name)))
-    path = F.filter(F.array(*chain), lambda x: x.isNotNull())
-    c = c.withColumn("up", path)
-    return c.select(*clauses.columns, F.try_element_at("up", F.lit(-1))["clause_no"].alias("parent_no"), F.transform("up", lambda x: x["heading"]).alias("ancestor_path"))
+    cols = clauses.columns
+    others = [c for c in cols if c != doc]
+    rows = clauses.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("clause_no", "level", "heading", F.struct(*others).alias("row")))).alias("rows"))
+    up = "array<struct<clause_no:int,level:int,heading:string>>"
+    none = F.array().cast(up)
+
+    def step(s: Column, r: Column) -> Column:
+        open_ = F.filter(s["open"], lambda x: x["level"] < r["level"])
+        own = F.struct(r["clause_no"].cast("int").alias("clause_no"), r["level"].cast("int").alias("level"), r["heading"].alias("heading"))
+        return F.struct(F.when(r["level"] > 0, F.concat(open_, F.array(own))).otherwise(s["open"]).alias("open"), F.concat(s["out"], F.array(F.when(r["level"] > 0, open_).otherwise(none))).alias("out"))
+
+    ups = F.aggregate("rows", F.struct(none.alias("open"), F.array().cast(f"array<{up}>").alias("out")), step, lambda s: s["out"])
+    flat = rows.select(doc, F.inline(F.arrays_zip(F.transform("rows", lambda r: r["row"]).alias("row"), ups.alias("up"))))
+    return flat.select(*[F.col(doc) if c == doc else F.col(f"row.{c}") for c in cols], F.try_element_at("up", F.lit(-1))["clause_no"].alias("parent_no"), F.transform("up", lambda x: x["heading"]).alias("ancestor_path"))
 
 
 def clause_ids(clauses: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -101,6 +106,24 @@ def child_ids(clauses: DataFrame, doc: str = "doc_id") -> DataFrame:
     return kids.select(doc, "clause_no", F.transform("kids", lambda k: k["i"]).alias("child_ids"))
 
 
+def table_refs(blocks: DataFrame) -> DataFrame:
+    """PRJ-06: references (doc_id, ordinal) to the blocks that are tables."""
+    return blocks.where("content_type = 'table'").select("doc_id", "ordinal")
+
+
+def visible_blocks(blocks: DataFrame, overrides: DataFrame) -> DataFrame:
+    """PRJ-01: block texts (doc_id, ordinal, text) replaced by their visible text (doc_id, ordinal, visible), where there is one; blocks without any text left go."""
+    b = blocks.join(overrides.select("doc_id", "ordinal", "visible"), ["doc_id", "ordinal"], "left").withColumn("text", F.coalesce("visible", "text"))
+    return b.where(F.coalesce("text", F.lit("")).rlike(r"(?U)\S")).select(*blocks.columns)
+
+
+def block_ids(blocks: DataFrame) -> DataFrame:
+    """PRJ-02: block_id of blocks (doc_id, format, page_index, ordinal, content_type, text): format, place, type and fingerprint; those of pages by page and ordinal."""
+    docx = F.concat_ws(":", F.col("format"), F.col("ordinal").cast("string"), F.col("content_type"), fp(normalized(F.col("text"))))
+    pdf = F.concat_ws(":", F.col("format"), F.col("page_index").cast("string"), F.col("ordinal").cast("string"))
+    return blocks.withColumn("block_id", F.when(F.col("format") == "pdf", pdf).otherwise(docx))
+
+
 def language_profile(docs: DataFrame) -> DataFrame:
     """AGG-04: han and latin letters of each doc_id's texts, and the language they tell."""
     count = lambda p: F.length("text") - F.length(F.regexp_replace("text", p, ""))

@@ -1,103 +1,138 @@
-"""Protected values in clause texts: parties, currencies, money, dates, durations, percentages, by native regular expressions."""
+"""Protected values in clause texts: parties, currencies, money, dates, durations, percentages, by native regular expressions.
+
+Everything about one text happens inside its row: matches with their offsets, values, durations that overlap dates, running numbers of repeats. One
+scan, one explode, no join and no shuffle.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
-
-from ..functions.text import dec_text, stable_id, zh_number
-
-# Currency signs and codes.
-CURRENCIES = {"USD": "USD", "US$": "USD", "$": "USD", "EUR": "EUR", "€": "EUR", "GBP": "GBP", "£": "GBP", "CNY": "CNY", "RMB": "CNY", "¥": "CNY", "￥": "CNY", "人民币": "CNY", "HKD": "HKD", "HK$": "HKD", "JPY": "JPY", "SGD": "SGD", "AUD": "AUD", "CAD": "CAD"}
-SCALES = {"thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
-MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-UNITS = {"day": "day", "days": "day", "天": "day", "日": "day", "month": "month", "months": "month", "个月": "month", "year": "year", "years": "year", "年": "year"}
-
-_CODE = "(?:" + "|".join(sorted((c.replace("$", "[$]") for c in CURRENCIES), key=len, reverse=True)) + ")"
-_NUMBER = r"[+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:[.][0-9]+)?|[+-]?[0-9]+(?:[.][0-9]+)?"
-_MONTH = "(?:" + "|".join(m.capitalize() for m in MONTHS) + ")"
-#: kind, pattern; the whole match is the entity.
-PATTERNS = (
-    ("party", r"(?:甲方|乙方|丙方|Party [AB])(?: ?[(（][^)）\n]*[)）])? ?[:：][^;；\n]+"),
-    ("currency", rf"(?<![A-Za-z]){_CODE}(?![A-Za-z])"),
-    ("money", rf"(?<![A-Za-z]){_CODE} ?(?:{_NUMBER})(?: (?:thousand|million|billion))?(?![0-9A-Za-z万亿元])"),
-    ("money", rf"(?<![0-9.,A-Za-z$€£¥])(?:{_NUMBER})(?: (?:thousand|million|billion))? ?{_CODE}(?![A-Za-z0-9])"),
-    ("zh_money", r"[0-9]+(?:[.][0-9]+)?(?:万|亿)?元"),
-    ("date", r"(?<![0-9])[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?![0-9])"),
-    ("zh_date", r"[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日"),
-    ("en_date", rf"(?<![A-Za-z]){_MONTH} [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}(?![0-9])"),
-    ("dm_date", rf"(?<![0-9])[0-9]{{1,2}}(?:st|nd|rd|th)? {_MONTH},? [0-9]{{4}}(?![0-9])"),
-    ("duration", r"(?<![0-9.,])[0-9]+\)? ?(?:days?|months?|years?|天|个月|年)(?![A-Za-z0-9月])"),
-    ("zh_duration", r"(?<![第每各本该一二三四五六七八九十百千万两])[一二三四五六七八九十百千万两]+(?:天|个月|年)(?![级度代底初末])"),
-    ("percentage", r"(?<![0-9.,])[0-9]+(?:[.][0-9]+)? ?%"),
-    ("zh_percentage", r"百分之[零〇一二三四五六七八九十百两]+"),
-)
+
+from ..functions.text import day_of, dec_text, let, offsets, stable_id, zh_number
+
+# Currency signs and codes, Chinese money units, scales, months, duration units, capital digits.
+CURRENCIES = {"RMB": "CNY", "CNY": "CNY", "¥": "CNY", "￥": "CNY", "USD": "USD", "$": "USD", "US$": "USD", "EUR": "EUR", "€": "EUR", "GBP": "GBP", "£": "GBP", "HKD": "HKD", "HK$": "HKD", "JPY": "JPY", "CHF": "CHF", "SGD": "SGD", "AUD": "AUD", "CAD": "CAD"}
+ZH_CURRENCIES = {"元": "CNY", "圆": "CNY", "美元": "USD", "港元": "HKD", "港币": "HKD", "日元": "JPY", "欧元": "EUR", "英镑": "GBP"}
+SCALES = {"thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000, "万": 10_000, "亿": 100_000_000}
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+UNITS = {"day": "day", "days": "day", "天": "day", "日": "day", "month": "month", "months": "month", "个月": "month", "月": "month", "year": "year", "years": "year", "年": "year"}
+CAPITALS = "零壹贰叁肆伍陆柒捌玖"
+NUMERALS = "零〇一二两三四五六七八九十百千万"
+
+_MONTH = r"(January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)[.]?"
+_TOKEN = "(?:(?<![A-Za-z])(?:" + "|".join(c.replace("$", "[$]") for c in CURRENCIES if c.isalnum() or len(c) > 1) + ")(?![A-Za-z])|[¥￥$€£])"
+_AMOUNT = r"[+-]?\d+(?:,\d{3})*(?:[.]\d+)?"
+_SCALE = r"(?:\s+(thousand|million|billion)\b)?"
+_END = r"(?=$|[\s,.，。；;、:：)）内前后起至])"
+_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
+#: form: kind, a cheap test of the text, pattern with groups. (?U) makes \s, \d and \b speak of all scripts.
+FORMS = {
+    "party": ("party", "(?i)party|[甲乙丙]方", r"(?iU)(?:甲方|乙方|丙方|Party\s+[AB])(?:[（(][^）)\n\r]{1,20}[）)])?\s*[:：]\s*([^;；\n\r]+)"),
+    "iso_date": ("date", r"\d{4}[-/.]\d", r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"),
+    "zh_date": ("date", r"\d年", r"(?U)(?<!\d)(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日(?!\d)"),
+    "md_date": ("date", r"(?i)[a-z]{3}[.]?\s+\d", rf"(?iU)\b{_MONTH}\s+{_DAY},?\s+(\d{{4}})(?!\d)"),
+    "dm_date": ("date", r"(?i)\d\s*[a-z]{0,2}\s+[a-z]{3}", rf"(?iU)(?<!\d){_DAY}\s+{_MONTH},?\s+(\d{{4}})(?!\d)"),
+    "currency": ("currency", "(?i)[A-Z]{3}|[¥￥$€£]", f"(?i){_TOKEN}"),
+    "prefix_money": ("money", r"\d", rf"(?iU){_TOKEN}\s*({_AMOUNT}){_SCALE}"),
+    "suffix_money": ("money", r"\d", rf"(?iU)({_AMOUNT}){_SCALE}\s*{_TOKEN}"),
+    "zh_money": ("money", "[元圆币镑]", rf"(?U)(?:(人民币)\s*)?({_AMOUNT})\s*([亿万])?(美元|港元|港币|日元|欧元|英镑|元|圆)"),
+    "capital_money": ("money", "[元圆]", rf"(?U)(?:(人民币)\s*)?(?<![\d.])([{CAPITALS}拾][{CAPITALS}拾佰仟万亿]*)(元|圆)(?:([{CAPITALS}])角)?(?:([{CAPITALS}])分)?(?:整|正)?"),
+    "duration": ("duration", r"\d", rf"(?iU)(?<!\d)(\d+(?:[.]\d+)?)[)）]?\s*(天|日|个月|月|年|days?|months?|years?){_END}"),
+    "zh_duration": ("duration", f"[{NUMERALS}](?:天|个月|年|日)", f"(?<![第同每某任逐{NUMERALS}])([{NUMERALS}]+)(?:(天|个月|年)|(日)(?=[内前后起]))(?![度级])"),
+    "percentage": ("percentage", "%", r"(?U)(?<!\d)(\d+(?:[.]\d+)?)\s*%(?!\d)"),
+    "zh_percentage": ("percentage", "百分之", f"百分之([{NUMERALS}点]+)"),
+}
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (pos, m): matches with their offsets, as what stands between them is known from a split."""
-    m, g = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    length = lambda a, n: F.aggregate(F.transform(F.slice(a, 1, n), lambda x: F.length(x)), F.lit(0), lambda s, x: s + x)
-    return F.transform(m, lambda x, i: F.struct((length(g, i + 1) + length(m, i)).alias("pos"), x.alias("m")))
+    """Array of (pos, m): matches of a pattern with their offsets."""
+    return let(F.split(text, pattern, -1), lambda g: offsets(g, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
 
 
 def _map(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def _value(kind: Column, m: Column) -> Column:
-    number = F.regexp_extract(m, rf"({_NUMBER})", 1)
-    iso = lambda y, mo, d: F.date_format(F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"), "yyyy-MM-dd")
-    ext = lambda p, i: F.regexp_extract(m, p, i)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(ext(f"({_MONTH})", 1))).cast("string")
-    year, day = ext("([0-9]{4})$", 1), ext("(?:^|[^0-9])([0-9]{1,2})(?:st|nd|rd|th)?(?:,? [0-9]{4}| [A-Z])", 1)
-    scale = F.coalesce(F.try_element_at(_map(SCALES), ext("(thousand|million|billion)", 1)), F.lit(1))
-    zh_scale = F.when(F.contains(m, F.lit("亿")), 100_000_000).when(F.contains(m, F.lit("万")), 10_000).otherwise(1)
-    unit = F.try_element_at(_map(UNITS), ext("(days?|months?|years?|天|个月|年)$", 1))
-    zh = zh_number(ext("([零〇一二三四五六七八九十百千万两]+)", 1)).cast("string")
-    return (
-        F.when(kind == "party", F.btrim(F.regexp_extract(m, "[:：](.*)$", 1)))
-        .when(kind == "currency", F.try_element_at(_map(CURRENCIES), m))
-        .when(kind == "money", dec_text(number, scale))
-        .when(kind == "zh_money", dec_text(number, zh_scale))
-        .when(kind == "date", iso(ext("^([0-9]+)-([0-9]+)-([0-9]+)", 1), ext("^([0-9]+)-([0-9]+)-([0-9]+)", 2), ext("^([0-9]+)-([0-9]+)-([0-9]+)", 3)))
-        .when(kind == "zh_date", iso(ext("^([0-9]+)年([0-9]+)月([0-9]+)", 1), ext("^([0-9]+)年([0-9]+)月([0-9]+)", 2), ext("^([0-9]+)年([0-9]+)月([0-9]+)", 3)))
-        .when(kind.isin("en_date", "dm_date"), iso(year, month, day))
-        .when(kind == "duration", F.concat_ws(" ", ext("^([0-9]+)", 1), unit))
-        .when(kind == "zh_duration", F.when(zh != "0", F.concat_ws(" ", zh, unit)))
-        .when(kind == "zh_percentage", zh_number(ext("百分之(.*)$", 1)).cast("string"))
-        .otherwise(dec_text(number, F.lit(1)))
-    )
+def _group(m: Column, form: str, i: int) -> Column:
+    """A group of a match taken for itself; what the pattern asks of the signs around it is known already."""
+    pattern = FORMS[form][2]
+    for around in (_END, "(?<!\\d)", "(?!\\d)", "(?<![\\d.])", f"(?<![第同每某任逐{NUMERALS}])", "(?=[内前后起])", "(?![度级])"):
+        pattern = pattern.replace(around, "")
+    return F.regexp_extract(m, pattern, i)
+
+
+def _value(form: str, m: Column) -> Column:
+    """The value of a match as text; null when it is none after all (no calendar day, no number)."""
+    g = lambda i: _group(m, form, i)
+    iso = lambda y, mo, d: F.date_format(day_of(y, mo, d), "yyyy-MM-dd")
+    month = lambda x: F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(x, 1, 3))).cast("string")
+    scale = lambda x: F.coalesce(F.try_element_at(_map(SCALES), F.lower(x)), F.lit(1))
+    if form == "party":
+        return F.nullif(F.regexp_replace(g(1), r"(?U)^\s+|\s+$", ""), F.lit(""))
+    if form in ("iso_date", "zh_date"):
+        return iso(g(1), g(2), g(3))
+    if form in ("md_date", "dm_date"):
+        name, day = (g(1), g(2)) if form == "md_date" else (g(2), g(1))
+        return iso(g(3), month(name), day)
+    if form == "currency":
+        return F.try_element_at(_map(CURRENCIES), F.upper(m))
+    if form in ("prefix_money", "suffix_money"):
+        return dec_text(g(1), scale(g(2)))
+    if form == "zh_money":
+        return dec_text(g(2), scale(g(3)))
+    if form == "capital_money":
+        digit = lambda x: F.nullif(F.translate(x, CAPITALS, "0123456789"), F.lit(""))
+        jiao, fen = digit(g(4)), digit(g(5))
+        rest = F.when(fen.isNotNull(), F.concat(F.lit("."), F.coalesce(jiao, F.lit("0")), fen)).when(jiao.isNotNull(), F.concat(F.lit("."), jiao)).otherwise("")
+        return F.concat(zh_number(g(2)), rest)
+    if form == "duration":
+        return F.concat_ws(" ", dec_text(g(1), F.lit(1)), F.try_element_at(_map(UNITS), F.lower(g(2))))
+    if form == "zh_duration":
+        unit = F.try_element_at(_map(UNITS), F.concat(g(2), g(3)))
+        return let(zh_number(g(1)), lambda n: F.when(n != "0", F.concat_ws(" ", n, unit)))
+    return dec_text(g(1), F.lit(1)) if form == "percentage" else zh_number(g(1))
+
+
+def _found(form: str) -> Column:
+    """Matches of one form as array of (pos, kind, text, value)."""
+    kind, test, pattern = FORMS[form]
+    row = lambda x: F.struct(x["pos"].alias("pos"), F.lit(kind).alias("kind"), x["m"].alias("text"), _value(form, x["m"]).alias("value"))
+    none = F.array().cast("array<struct<pos:int,kind:string,text:string,value:string>>")
+    return F.when(F.col("text").rlike(test), F.filter(F.transform(matches(F.col("text"), pattern), row), lambda x: x["value"].isNotNull())).otherwise(none)
+
+
+def _zh_currency(form: str) -> Column:
+    """Chinese money gives its currency too, told by the unit, or by the prefix where that says the same."""
+
+    def row(x: Column) -> Column:
+        prefix, unit = _group(x["text"], form, 1), _group(x["text"], form, 4 if form == "zh_money" else 3)
+        value = F.try_element_at(_map(ZH_CURRENCIES), unit)
+        return F.struct(x["pos"].alias("pos"), F.lit("currency").alias("kind"), F.when((prefix != "") & (value == "CNY"), prefix).otherwise(unit).alias("text"), value.alias("value"))
+
+    return F.transform(F.col(form), row)
+
+
+def anti_overlap(items: Column, spans: Column) -> Column:
+    """JN-06: the items (pos, text) that overlap none of the spans (pos, text)."""
+    end = lambda x: x["pos"] + F.length(x["text"])
+    return F.filter(items, lambda x: ~F.exists(spans, lambda d: (x["pos"] < end(d)) & (d["pos"] < end(x))))
 
 
 def extract(clauses: DataFrame, keys: list[str]) -> DataFrame:
-    """ENT-01 to ENT-10: entities (keys, kind, pos, text, value, entity_id) of rows (keys, text), in the order (pos, kind).
+    """ENT-01 to ENT-10, WIN-04: entities (keys, kind, pos, text, value, entity_id) of rows (keys, text), in the order (pos, kind).
 
-    Dates that are no calendar days go, and so do durations that overlap a date (JN-06). Money in Chinese units gives its currency too.
+    Dates that are no calendar days go, and so do durations that overlap a date of their text (JN-06). Money in Chinese units gives its currency too.
     """
-
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(matches(F.col("text"), pattern), lambda x: F.struct(F.lit(kind).alias("form"), x["pos"].alias("pos"), x["m"].alias("m")))
-
-    found = F.concat(*[of(kind, pattern) for kind, pattern in PATTERNS])
-    rows = clauses.select(*keys, F.explode(found).alias("x")).select(*keys, "x.form", "x.pos", F.col("x.m").alias("text"))
-    rows = rows.withColumn("value", _value(F.col("form"), F.col("text"))).where("value IS NOT NULL")
-    rows = rows.withColumn("kind", F.regexp_replace("form", "^(zh|en|dm)_", ""))
-    yuan = rows.where("form = 'zh_money'").withColumn("value", F.lit("CNY")).withColumn("kind", F.lit("currency"))
-    rows = rows.union(yuan).drop("form").withColumn("end", F.col("pos") + F.length("text"))
-    rows = anti_overlap(rows, keys)
-    same = W.Window.partitionBy(*keys, "kind", "value").orderBy("pos")
-    return rows.withColumn("nth", F.row_number().over(same) - 1).withColumn("entity_id", stable_id("entity", *[F.col(k).cast("string") for k in keys], F.col("kind"), F.col("value"), F.col("nth").cast("string"))).drop("nth", "end")
-
-
-def anti_overlap(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """JN-06: without durations that overlap a date of the same text."""
-    d = rows.where("kind = 'date'").select(*[F.col(k).alias(f"d_{k}") for k in keys], F.col("pos").alias("d_pos"), F.col("end").alias("d_end"))
-    cond = (F.col("kind") == "duration") & (F.col("pos") < F.col("d_end")) & (F.col("d_pos") < F.col("end"))
-    for k in keys:
-        cond = cond & (F.col(k) == F.col(f"d_{k}"))
-    return rows.join(d, cond, "left_anti")
+    rows = clauses.where(F.col("text").rlike("[0-9%¥￥$€£年月天元圆]|(?i:party|USD|EUR|GBP|HKD|RMB|CNY|JPY|CHF|SGD|AUD|CAD)|[甲乙丙]方|百分之|日")).select(*keys, "text")
+    rows = rows.select(*keys, *[_found(f).alias(f) for f in FORMS])
+    dates = F.concat("iso_date", "zh_date", "md_date", "dm_date")
+    plain = [f for f in FORMS if f != "duration"]
+    rows = rows.select(*keys, F.array_sort(F.concat(*plain, anti_overlap(F.col("duration"), dates), _zh_currency("zh_money"), _zh_currency("capital_money"))).alias("all"))
+    nth = lambda x, i: F.size(F.filter(F.slice("all", 1, i), lambda y: (y["kind"] == x["kind"]) & (y["value"] == x["value"])))
+    numbered = F.transform("all", lambda x, i: F.struct(x["kind"].alias("kind"), x["pos"].alias("pos"), x["text"].alias("text"), x["value"].alias("value"), nth(x, i).alias("nth")))
+    out = rows.select(*keys, F.inline(numbered))
+    return out.withColumn("entity_id", stable_id("entity", *[F.col(k).cast("string") for k in keys], F.col("kind"), F.col("value"), F.col("nth").cast("string"))).drop("nth")
 
 
 def entity_counts(entities: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
+def shared_folder(df: DataFrame) -> str:
+    """The folder below which tables are written: ``spark.checkpoint.dir``; only a session of one machine may leave it unset (tests)."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-plans-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """The table, computed once and written to the shared checkpoint folder (of this machine only where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-plans-"))
-    return df.checkpoint()
+    """The table, computed once and written as Parquet to the shared folder, so that later scans read only the columns they need."""
+    path = f"{shared_folder(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,37 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as fn
-from .operators import clauses, diff, entities, evaluate, events, grid, mutate, rules
+from .operators import clauses, diff, entities, evaluate, events, grid, mutate
 from .plans.materialize import kept
+from .registry import ORACLES, QUERIES, named, query
 from .sources import corpus
-from .sources.corpus import PARAGRAPHS_SQL, contract_paragraphs, declared_edits, table
+from .sources.corpus import PARAGRAPHS_SQL, ZH_PARAGRAPHS_SQL, contract_paragraphs, declared_edits, table
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = "clause_changes_by_kind"
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+FLAGSHIP = "clause_changes_by_kind"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-EDITS_SQL = """edits AS (SELECT contract_id, regexp_extract(text, 'within (\\d+) days', 1) || ' days' AS before,
+EDITS_SQL = """edits AS (SELECT contract_id, 4 AS site, regexp_extract(text, 'within (\\d+) days', 1) || ' days' AS before,
   (regexp_extract(text, 'within (\\d+) days', 1)::INTEGER + 15) || ' days' AS after FROM para WHERE ordinal = 4)"""
-AUTH_SQL = "auth AS (SELECT contract_id, ordinal, coalesce(replace(text, before, after), text) AS text FROM para LEFT JOIN edits USING (contract_id))"
-MARKER_SQL = """mark AS (SELECT *, CASE WHEN regexp_matches(text, '^Article +([0-9]+|[IVXLC]+)( |$)') THEN 'article' WHEN regexp_matches(text, '^[0-9]+([.][0-9]+)* ') THEN 'decimal' END AS scheme,
-  CASE WHEN regexp_matches(text, '^Article +([0-9]+|[IVXLC]+)( |$)') THEN regexp_extract(text, '^(Article +[0-9IVXLC]+)', 1) WHEN regexp_matches(text, '^[0-9]+([.][0-9]+)* ') THEN regexp_extract(text, '^([0-9.]+)', 1) END AS printed FROM para)"""
+ZH_EDITS_SQL = """edits AS (SELECT contract_id, 4 AS site, regexp_extract(text, '后(\\d+)天内', 1) || '天' AS before,
+  (regexp_extract(text, '后(\\d+)天内', 1)::INTEGER + 15) || '天' AS after FROM para WHERE ordinal = 4)"""
+AUTH_SQL = "auth AS (SELECT contract_id, ordinal, CASE WHEN ordinal = site THEN replace(text, before, after) ELSE text END AS text FROM para JOIN edits USING (contract_id))"
+# What a marker is, told again in SQL: Article with a number, a number of several parts, or a Chinese article.
+MARKER_SQL = """mark AS (SELECT *, CASE WHEN starts_with(text, 'Article ') THEN 'article' WHEN regexp_matches(text, '^第.+条') THEN 'chinese_article' WHEN regexp_matches(text, '^[0-9]+[.][0-9]') THEN 'decimal' END AS scheme,
+  CASE WHEN starts_with(text, 'Article ') THEN 'Article ' || split_part(text, ' ', 2) WHEN regexp_matches(text, '^第.+条') THEN split_part(text, '条', 1) || '条' WHEN regexp_matches(text, '^[0-9]+[.][0-9]') THEN split_part(text, ' ', 1) END AS printed FROM para)"""
 SEG_SQL = "seg AS (SELECT *, sum(CASE WHEN scheme IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY contract_id ORDER BY ordinal)::INTEGER AS clause_no FROM mark)"
 
 
@@ -79,11 +71,35 @@ def src_seeded_sample(spark, sf_dir):
     return corpus.sample_corpus(table(spark, sf_dir, "documents"), "7", 100).select("doc_id", "lang", "source")
 
 
-@query(f"""WITH {PARAGRAPHS_SQL}, {MARKER_SQL} SELECT contract_id, ordinal, scheme, printed,
-(CASE scheme WHEN 'article' THEN 1 ELSE len(printed) - len(replace(printed, '.', '')) + 1 END)::INTEGER AS level, trim(substr(text, len(printed) + 1)) AS heading FROM mark WHERE scheme IS NOT NULL""")
-def prj_clause_markers(spark, sf_dir):
-    """PRJ-04 over all contract paragraphs."""
-    return contract_paragraphs(spark, sf_dir).withColumn("m", clauses.parse_marker(F.col("text"))).where("m IS NOT NULL").select("contract_id", "ordinal", "m.scheme", "m.printed", "m.level", "m.heading")
+def _markers(language: str, name: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        p = contract_paragraphs(spark, sf_dir, language).withColumn("m", clauses.parse_marker(F.col("text"))).where("m IS NOT NULL")
+        return p.select("contract_id", "ordinal", "m.scheme", "m.printed", "m.level", "m.heading")
+
+    named(name, "PRJ-04 over all contract paragraphs.", f"""WITH {sql}, {MARKER_SQL} SELECT contract_id, ordinal, scheme, printed,
+(CASE WHEN scheme = 'decimal' THEN len(printed) - len(replace(printed, '.', '')) + 1 ELSE 1 END)::INTEGER AS level, trim(substr(text, len(printed) + 1)) AS heading FROM mark WHERE scheme IS NOT NULL""", run)
+
+
+_markers("en", "prj_clause_markers", PARAGRAPHS_SQL)
+_markers("zh", "prj_zh_clause_markers", ZH_PARAGRAPHS_SQL)
+
+# Lines of every marker form, and lines that are none, with what each is.
+_LINES = (
+    ("第{n}条 定义", "chinese_article", "第{n}条", 1, "定义"), ("第 十二 条", "chinese_article", "第 十二 条", 1, ""), ("第{n}.2节 价格", "section", "第{n}.2节", 2, "价格"), ("ARTICLE IV: Term", "article", "ARTICLE IV", 1, "Term"),
+    ("Article {n}：", "article", "Article {n}", 1, ""), ("section {n}.1.3. Fees", "section", "section {n}.1.3", 3, "Fees"), ("{n}.2：", "decimal", "{n}.2", 2, ""), ("{n}.2.1、范围", "decimal", "{n}.2.1", 3, "范围"),
+    ("十二、其他", "chinese_list", "十二、", 2, "其他"), ("（三） 违约", "chinese_list", "（三）", 3, "违约"), ("{n} days after receipt the fee is due", None, None, None, None), ("{n}. One point alone", None, None, None, None), ("Articles of {n}", None, None, None, None),
+)
+_n = lambda t: "NULL" if t is None else "'" + t.replace("{n}", "' || n || '") + "'"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, (o_orderkey % 90 + 10)::VARCHAR AS n FROM orders)
+{" UNION ALL ".join(f"SELECT id, {i}::INTEGER AS form, {_n(s)}::VARCHAR AS scheme, {_n(p)}::VARCHAR AS printed, {'NULL' if v is None else v}::INTEGER AS level, {_n(h)}::VARCHAR AS heading FROM o" for i, (_, s, p, v, h) in enumerate(_LINES))}""")
+def prj_marker_forms(spark, sf_dir):
+    """PRJ-04 over lines of every form, and lines that are none, derived from orders."""
+    k = F.concat((F.col("o_orderkey") % 90 + 10).cast("string"))
+    lines = F.array(*[F.concat(*[x for part in t.split("{n}") for x in (k, F.lit(part))][1:]) for t, *_ in _LINES])
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.posexplode(lines).alias("form", "text")).withColumn("m", clauses.parse_marker(F.col("text")))
+    return o.select("id", "form", "m.scheme", "m.printed", "m.level", "m.heading")
 
 
 @query("""SELECT doc_id, CASE WHEN starts_with(n, 'signature') OR starts_with(n, 'signed by') THEN 'signature' WHEN starts_with(n, 'seal') THEN 'seal'
@@ -155,20 +171,63 @@ def fn_latin1_safe(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha2(fn.latin1_safe(F.col("text")), 256).alias("safe_sha256"))
 
 
-@query(f"""WITH {PARAGRAPHS_SQL}, e AS (
-SELECT contract_id, ordinal, 'party' AS kind, strpos(text, 'Party A')::INTEGER - 1 AS pos, trim(regexp_extract(text, 'Party A: ([^;]+)', 1)) AS value FROM para WHERE ordinal = 2
-UNION ALL SELECT contract_id, ordinal, 'currency', strpos(text, 'USD')::INTEGER - 1, 'USD' FROM para WHERE ordinal = 6
-UNION ALL SELECT contract_id, ordinal, 'money', strpos(text, 'USD')::INTEGER - 1, regexp_extract(text, 'USD ([0-9]+)', 1) FROM para WHERE ordinal = 6
-UNION ALL SELECT contract_id, ordinal, 'percentage', strpos(text, regexp_extract(text, '[0-9]+%'))::INTEGER - 1, regexp_extract(text, '([0-9]+)%', 1) FROM para WHERE ordinal = 6
-UNION ALL SELECT contract_id, ordinal, 'duration', strpos(text, regexp_extract(text, '[0-9]+ days'))::INTEGER - 1, regexp_extract(text, '([0-9]+) days', 1) || ' day' FROM para WHERE ordinal = 4
-UNION ALL SELECT contract_id, ordinal, 'date', strpos(text, regexp_extract(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))::INTEGER - 1, regexp_extract(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') FROM para WHERE regexp_matches(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))
-SELECT * FROM e""")
+def _entity_rows(rows: list[tuple[str, str, str, str]]) -> str:
+    """kind, value, what the entity begins with, condition: rows of SQL over table p (contract_id, ordinal, text)."""
+    return " UNION ALL ".join(f"SELECT contract_id, ordinal, '{k}' AS kind, strpos(text, {at})::INTEGER - 1 AS pos, ({v})::VARCHAR AS value FROM para WHERE {cond}" for k, v, at, cond in rows)
+
+
+_ISO = "'[0-9]{4}-[0-9]{2}-[0-9]{2}'"
+_ZHD = "'[0-9]+年[0-9]+月[0-9]+日'"
+_g = lambda p, i=1: f"regexp_extract(text, '{p}', {i})"
+
+
+@query(f"""WITH {PARAGRAPHS_SQL} {_entity_rows([
+    ("party", "trim(" + _g("Party A: ([^;]+)") + ")", "'Party A'", "ordinal = 2"), ("currency", "'USD'", "'USD'", "ordinal = 6"), ("money", _g("USD ([0-9]+)"), "'USD'", "ordinal = 6"),
+    ("percentage", _g("([0-9]+)%"), _g("([0-9]+%)"), "ordinal = 6"), ("duration", _g("([0-9]+) days") + " || ' day'", _g("([0-9]+ days)"), "ordinal IN (4, 6)"),
+    ("date", f"regexp_extract(text, {_ISO})", f"regexp_extract(text, {_ISO})", f"regexp_matches(text, {_ISO})"),
+])}""")
 def ent_extract(spark, sf_dir):
     """ENT-01 to ENT-10, JN-06 over all contract paragraphs."""
     e = entities.extract(contract_paragraphs(spark, sf_dir), ["contract_id", "ordinal"])
     return e.select("contract_id", "ordinal", "kind", "pos", "value")
 
 
+@query(f"""WITH {ZH_PARAGRAPHS_SQL} {_entity_rows([
+    ("party", _g("甲方：([^；]+)"), "'甲方'", "ordinal = 2"), ("currency", "'CNY'", "'人民币'", "ordinal = 6"), ("money", _g("人民币([0-9]+)元"), "'人民币'", "ordinal = 6"),
+    ("percentage", _g("([0-9]+)%"), _g("([0-9]+%)"), "ordinal = 6"), ("duration", _g("([0-9]+)天") + " || ' day'", _g("([0-9]+天)"), "ordinal IN (4, 6)"),
+    ("date", f"strftime(make_date({_g('([0-9]+)年')}::INTEGER, {_g('年([0-9]+)月')}::INTEGER, {_g('月([0-9]+)日')}::INTEGER), '%Y-%m-%d')", f"regexp_extract(text, {_ZHD})", f"regexp_matches(text, {_ZHD})"),
+])}""")
+def ent_zh_extract(spark, sf_dir):
+    """ENT-01 to ENT-10, JN-06 over all Chinese contract paragraphs."""
+    e = entities.extract(contract_paragraphs(spark, sf_dir, "zh"), ["contract_id", "ordinal"])
+    return e.select("contract_id", "ordinal", "kind", "pos", "value")
+
+
+# One text of every form, with numbers of the order in it: parts, and the entities (kind, value, place) they hold. {n}: 10 to 37, {d}: 10 to 19.
+_FORMS_TEXT = (
+    "party a(seller): Acme {n} Co; fee usd {n}00, or US$ 1,250.50 million, CHF {n}; 12.5 thousand EUR. HK${n}.25; due Sep {d}, 2026. or {d}th October 2025; "
+    "2026/09/{d} and 2026.10.{d}, not 2026-02-31; 1.5 years, {n}) days. rate 7.{n}% 甲方（买方）：某公司{n}；价100万美元，人民币{n},000元。人民币壹拾贰万元整；叁元伍角陆分。"
+    "5日内，三十天。第三天，十日内；百分之三点五。2025年3月{d}日"
+)
+_FORMS = [
+    ("party", "'Acme ' || n || ' Co'", "'party a'"), ("currency", "'USD'", "'usd'"), ("money", "n || '00'", "'usd'"), ("currency", "'USD'", "'US$ 1'"), ("money", "'1250500000.00'", "'US$ 1'"), ("currency", "'CHF'", "'CHF'"), ("money", "n", "'CHF'"),
+    ("money", "'12500.0'", "'12.5 th'"), ("currency", "'EUR'", "'EUR'"), ("currency", "'HKD'", "'HK$'"), ("money", "n || '.25'", "'HK$'"), ("date", "'2026-09-' || d", "'Sep '"), ("date", "'2025-10-' || d", "d || 'th'"), ("date", "'2026-09-' || d", "'2026/09'"), ("date", "'2026-10-' || d", "'2026.10'"),
+    ("duration", "'1.5 year'", "'1.5 y'"), ("duration", "n || ' day'", "n || ') days'"), ("percentage", "'7.' || n", "'7.' || n || '%'"), ("party", "'某公司' || n", "'甲方'"), ("currency", "'USD'", "'美元'"), ("money", "'1000000'", "'100万'"), ("currency", "'CNY'", "'人民币' || n"), ("money", "n || '000'", "'人民币' || n"),
+    ("currency", "'CNY'", "'人民币壹'"), ("money", "'120000'", "'人民币壹'"), ("currency", "'CNY'", "'元伍'"), ("money", "'3.56'", "'叁元'"), ("duration", "'5 day'", "'5日内'"), ("duration", "'30 day'", "'三十天'"), ("duration", "'10 day'", "'十日内'"), ("percentage", "'3.5'", "'百分之'"), ("date", "'2025-03-' || d", "'2025年'"),
+]
+_forms_sql = "'" + _FORMS_TEXT.replace("{n}", "' || n || '").replace("{d}", "' || d || '") + "'"
+_place = {"'美元'": "'100万'", "'元伍'": "'叁元'"}
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, (o_orderkey % 28 + 10)::VARCHAR AS n, (o_orderkey % 10 + 10)::VARCHAR AS d FROM orders), t AS (SELECT *, {_forms_sql} AS text FROM o)
+{" UNION ALL ".join(f"SELECT id, '{k}' AS kind, ({v})::VARCHAR AS value, strpos(text, {_place.get(at, at)})::INTEGER - 1 AS pos FROM t" for k, v, at in _FORMS)}""")
+def ent_forms(spark, sf_dir):
+    """ENT-01 to ENT-10, WIN-04 over a text of every form in both languages for each order."""
+    n, d = (F.col("o_orderkey") % 28 + 10).cast("string"), (F.col("o_orderkey") % 10 + 10).cast("string")
+    text = F.replace(F.replace(F.lit(_FORMS_TEXT), F.lit("{n}"), n), F.lit("{d}"), d)
+    return entities.extract(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), text.alias("text")), ["id"]).select("id", "kind", "value", "pos")
+
+
 @query(f"""WITH {PARAGRAPHS_SQL}, e AS (SELECT contract_id, 'date' AS kind, regexp_extract(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS value FROM para WHERE regexp_matches(text, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}'))
 SELECT contract_id, kind, value, count(*) AS n FROM e GROUP BY ALL""")
 def agg_date_counts(spark, sf_dir):
@@ -177,70 +236,75 @@ def agg_date_counts(spark, sf_dir):
     return entities.entity_counts(e, ["contract_id"])
 
 
-# Mutations: candidates of every operator, with SQL.
-def _site_sql(name: str, pattern: str, found: str, new: str) -> str:
-    return f"""WITH {PARAGRAPHS_SQL}, {EDITS_SQL}, {AUTH_SQL},
-site AS (SELECT contract_id, arg_min(ordinal, sha256(concat_ws(chr(0), '1', contract_id::VARCHAR, '{name}', ordinal::VARCHAR))) AS site FROM auth WHERE regexp_matches(text, '{pattern}') GROUP BY 1),
-f AS (SELECT contract_id, ordinal, site, text, regexp_extract(text, '{found}') AS m FROM auth JOIN site USING (contract_id))
-SELECT contract_id, ordinal, CASE WHEN ordinal = site THEN left(text, strpos(text, m) - 1) || {new} || substr(text, strpos(text, m) + len(m)) ELSE text END AS text FROM f"""
-
-
+# Mutations: candidates of every operator in both languages, with SQL.
+_HEADS = {"en": f"WITH {PARAGRAPHS_SQL}, {EDITS_SQL}, {AUTH_SQL}", "zh": f"WITH {ZH_PARAGRAPHS_SQL}, {ZH_EDITS_SQL}, {AUTH_SQL}"}
 _INC = "regexp_extract(m, '^([^0-9]*)[0-9]+', 1) || (regexp_extract(m, '([0-9]+)', 1)::BIGINT + 1) || regexp_extract(m, '^[^0-9]*[0-9]+(.*)$', 1)"
-_SITE = mutate.SITES
-_HEAD = f"WITH {PARAGRAPHS_SQL}, {EDITS_SQL}, {AUTH_SQL}"
-_PARTS = "p AS (SELECT contract_id, ordinal, text AS t, strpos(text, after) > 0 AS here, left(text, strpos(text, after) + len(after) - 1) AS head, substr(text, strpos(text, after) + len(after)) AS tail, after FROM auth LEFT JOIN edits USING (contract_id))"
-MUTATION_SQL = {
-    "authorized": f"{_HEAD} SELECT * FROM auth",
-    "missing_edit": f"WITH {PARAGRAPHS_SQL} SELECT * FROM para",
-    "wrong_value": f"{_HEAD} SELECT contract_id, ordinal, coalesce(replace(text, before, (split_part(after, ' ', 1)::INTEGER + 1) || ' days'), text) AS text FROM para LEFT JOIN edits USING (contract_id)",
-    "unit_change": f"{_HEAD} SELECT contract_id, ordinal, coalesce(replace(text, before, replace(after, ' days', ' business days')), text) AS text FROM para LEFT JOIN edits USING (contract_id)",
-    "same_para_number": f"{_HEAD}, {_PARTS} SELECT contract_id, ordinal, CASE WHEN here AND regexp_matches(tail, '[0-9]') THEN head || regexp_extract(tail, '^([^0-9]*)', 1) || (regexp_extract(tail, '([0-9]+)', 1)::BIGINT + 1) || regexp_extract(tail, '^[^0-9]*[0-9]+(.*)$', 1) ELSE t END AS text FROM p",
-    "same_para_negation": f"{_HEAD}, {_PARTS} SELECT contract_id, ordinal, CASE WHEN here THEN regexp_replace(t, 'shall ', 'shall not ') ELSE t END AS text FROM p",
-    "same_para_sentence_delete": f"{_HEAD}, {_PARTS} SELECT contract_id, ordinal, CASE WHEN here THEN regexp_replace(t, '([.;])\\s+[^.;]*[.;]?$', '\\1') ELSE t END AS text FROM p",
-    "money_change": _site_sql("money_change", _SITE["money_change"], _SITE["money_change"], _INC),
-    "duration_change": _site_sql("duration_change", _SITE["duration_change"], _SITE["duration_change"], _INC),
-    "percentage_change": _site_sql("percentage_change", _SITE["percentage_change"], _SITE["percentage_change"], _INC),
-    "date_change": _site_sql("date_change", _SITE["date_change"], _SITE["date_change"], "strftime(CASE WHEN m::DATE = last_day(m::DATE) THEN m::DATE - 1 ELSE m::DATE + 1 END, '%Y-%m-%d')"),
-    "party_change": _site_sql("party_change", "Party [AB]: [^;]+", "Party [AB]: [^;]+", "m || ' Holdings'"),
-    "negation_insert": _site_sql("negation_insert", "\\bshall (n[^o]|[^n])", "\\bshall ", "'shall not '"),
-    "negation_remove": _site_sql("negation_remove", "\\bshall not\\b", "\\bshall not\\b", "'shall'"),
-    "modal_swap": _site_sql("modal_swap", "\\bmay\\b", "\\bmay\\b", "'shall'"),
-    "sentence_insert": f"{_HEAD} SELECT contract_id, ordinal, CASE WHEN ordinal = max(ordinal) OVER (PARTITION BY contract_id) THEN text || ' The Supplier may assign this agreement.' ELSE text END AS text FROM auth",
-    "sentence_delete": f"{_HEAD}, s AS (SELECT *, max(CASE WHEN regexp_matches(text, '[.;]\\s+\\S') THEN ordinal END) OVER (PARTITION BY contract_id) AS site FROM auth) SELECT contract_id, ordinal, CASE WHEN ordinal = site THEN regexp_replace(text, '([.;])\\s+[^.;]*[.;]?$', '\\1') ELSE text END AS text FROM s",
-    "paragraph_delete": f"{_HEAD}, s AS (SELECT *, max(ordinal) OVER (PARTITION BY contract_id) AS last FROM auth) SELECT contract_id, ordinal, text FROM s WHERE ordinal < last",
-}
-
-
-def _mutation(name: str):
-    def run(spark, sf_dir):
-        p = contract_paragraphs(spark, sf_dir)
-        return mutate.candidates(p, declared_edits(p), name).select("contract_id", "ordinal", "text")
-
-    run.__name__, run.__doc__ = f"mut_{name}", f"Candidate paragraphs of operator {name} over the contract corpus."
-    query(MUTATION_SQL[name])(run)
+_ZHDATE = "make_date(regexp_extract(m, '([0-9]+)年', 1)::INTEGER, regexp_extract(m, '年([0-9]+)月', 1)::INTEGER, regexp_extract(m, '月([0-9]+)日', 1)::INTEGER)"
 
 
-for _name in mutate.OPERATORS:
-    _mutation(_name)
+def _site_sql(language: str, name: str, pattern: str, found: str, new: str) -> str:
+    return f"""{_HEADS[language]},
+site AS (SELECT contract_id, arg_min(ordinal, sha256(concat_ws(chr(0), '1', contract_id::VARCHAR, '{name}', ordinal::VARCHAR))) AS site FROM auth WHERE ordinal <> 4 AND regexp_matches(text, '{pattern}') GROUP BY 1),
+f AS (SELECT contract_id, ordinal, site, text, regexp_extract(text, '{found}') AS m FROM auth JOIN site USING (contract_id))
+SELECT contract_id, ordinal, CASE WHEN ordinal = site THEN left(text, strpos(text, m) - 1) || {new} || substr(text, strpos(text, m) + len(m)) ELSE text END AS text FROM f"""
 
 
-def _verdict(name: str):
+def _whole_sql(language: str, name: str, pattern: str, new: str) -> str:
+    """The drawn paragraph with a new text; null: without it."""
+    base = f"""{_HEADS[language]}, site AS (SELECT contract_id, arg_min(ordinal, sha256(concat_ws(chr(0), '1', contract_id::VARCHAR, '{name}', ordinal::VARCHAR))) AS site FROM auth WHERE ordinal <> 4 AND regexp_matches(text, '{pattern}') GROUP BY 1)"""
+    if not new:
+        return f"{base} SELECT contract_id, (ordinal - (ordinal > site)::INTEGER)::INTEGER AS ordinal, text FROM auth JOIN site USING (contract_id) WHERE ordinal <> site"
+    return f"{base} SELECT contract_id, ordinal, CASE WHEN ordinal = site THEN {new} ELSE text END AS text FROM auth JOIN site USING (contract_id)"
+
+
+def _mutation_sql(language: str) -> dict[str, str]:
+    en, head = language == "en", _HEADS[language]
+    edit = lambda new, more="": f"{head} SELECT contract_id, ordinal, CASE WHEN ordinal = site THEN {new} ELSE text END AS text FROM {'para' if not more else more} JOIN edits USING (contract_id)"
+    unit = "days" if en else "天"
+    tail = "substr(text, strpos(text, after) + len(after))"
+    inc_tail = f"left(text, strpos(text, after) + len(after) - 1) || regexp_extract({tail}, '^([^0-9]*)', 1) || (regexp_extract({tail}, '([0-9]+)', 1)::BIGINT + 1) || regexp_extract({tail}, '^[^0-9]*[0-9]+(.*)$', 1)"
+    last = "regexp_replace(text, '([.;])\\s+[^.;]*[.;]?$', '\\1')" if en else "regexp_replace(text, '([。；])[^。；]+[。；]?$', '\\1')"
+    several = "[.;]\\s+\\S" if en else "[。；]."
+    site = lambda name, pattern, found, new: _site_sql(language, name, pattern, found, new)
+    money = "USD [0-9]+" if en else "人民币[0-9]+"
+    date = _ISO[1:-1] if en else _ZHD[1:-1]
+    shifted = "strftime(CASE WHEN m::DATE = last_day(m::DATE) THEN m::DATE - 1 ELSE m::DATE + 1 END, '%Y-%m-%d')" if en else f"regexp_extract(m, '^(.*月)', 1) || day(CASE WHEN {_ZHDATE} = last_day({_ZHDATE}) THEN {_ZHDATE} - 1 ELSE {_ZHDATE} + 1 END) || '日'"
+    return {
+        "authorized": f"{head} SELECT * FROM auth",
+        "missing_edit": f"{head} SELECT contract_id, ordinal, text FROM para",
+        "wrong_value": edit(f"replace(text, before, (regexp_extract(after, '[0-9]+')::INTEGER + 1) || '{' days' if en else '天'}')"),
+        "unit_change": edit(f"replace(text, before, replace(after, '{unit}', '{'business days' if en else '个工作日'}'))"),
+        "same_para_number": edit(inc_tail, "auth"),
+        "same_para_negation": edit("regexp_replace(text, 'shall ', 'shall not ')" if en else "replace(text, '应', '不应')", "auth"),
+        "same_para_sentence_delete": edit(last, "auth"),
+        "money_change": site("money_change", money, money, _INC),
+        "date_change": site("date_change", date, date, shifted),
+        "duration_change": site("duration_change", "[0-9]+ days" if en else "[0-9]+天", "[0-9]+ days" if en else "[0-9]+天", _INC),
+        "percentage_change": site("percentage_change", "[0-9]+%", "[0-9]+%", _INC),
+        "party_change": site("party_change", "Inc[.]", "Inc[.]", "'Holdings Inc.'") if en else site("party_change", "甲方：[^；]+", "甲方：[^；]+", "m || '控股'"),
+        "negation_insert": site("negation_insert", "\\bshall (n[^o]|[^n])" if en else "双方应", "\\bshall " if en else "应", "'shall not '" if en else "'不应'"),
+        "negation_remove": site("negation_remove", "\\bshall not\\b" if en else "不得", "\\bshall not\\b" if en else "不得", "'shall'" if en else "'可以'"),
+        "modal_swap": site("modal_swap", "\\bmay\\b" if en else "可以", "\\bmay\\b" if en else "可以", "'shall'" if en else "'应当'"),
+        "sentence_insert": _whole_sql(language, "sentence_insert", ".", "text || ' The Supplier shall bear all related costs.'" if en else "text || '供方应承担全部相关费用。'"),
+        "sentence_delete": _whole_sql(language, "sentence_delete", several, last),
+        "paragraph_delete": _whole_sql(language, "paragraph_delete", ".", ""),
+    }
+
+
+MUTATION_SQL, ZH_MUTATION_SQL = _mutation_sql("en"), _mutation_sql("zh")
+
+
+def _mutation(operator: str, language: str, sql: str) -> None:
     def run(spark, sf_dir):
-        p = contract_paragraphs(spark, sf_dir)
-        e = declared_edits(p)
-        cand = mutate.candidates(p, e, name)
-        base = p.join(cand.select("contract_id").distinct(), "contract_id", "left_semi")
-        _, v = rules.verdicts(_pair(base), _pair(cand), _pair(e).join(_pair(cand).select("pair_id").distinct(), "pair_id", "left_semi"))
-        return v.select("pair_id", "verdict")
+        p = contract_paragraphs(spark, sf_dir, language)
+        return mutate.candidates(p, declared_edits(p, language), operator, language).select("contract_id", "ordinal", "text")
 
-    run.__name__, run.__doc__ = f"rul_verdict_{name}", f"RUL-17: verdict of every contract's {name} candidate."
-    # By definition a candidate passes when it is the baseline with the declared edit and nothing else.
-    sql = f"WITH c AS ({MUTATION_SQL[name]}), a AS ({MUTATION_SQL['authorized']}), k AS (SELECT DISTINCT contract_id FROM c) SELECT contract_id AS pair_id, CASE WHEN bool_and(a.text IS NOT DISTINCT FROM c.text) THEN 'pass' ELSE 'fail' END AS verdict FROM a JOIN k USING (contract_id) LEFT JOIN c USING (contract_id, ordinal) GROUP BY 1"
-    query(sql)(run)
+    named(f"mut_{'' if language == 'en' else 'zh_'}{operator}", f"Candidate paragraphs of operator {operator} over the contract corpus.", sql, run)
 
 
-for _name in ("authorized", "missing_edit", "money_change", "negation_remove", "sentence_insert", "paragraph_delete"):
-    _verdict(_name)
+for _name in mutate.OPERATORS:
+    _mutation(_name, "en", MUTATION_SQL[_name])
+    _mutation(_name, "zh", ZH_MUTATION_SQL[_name])
 
 
 @query(f"""WITH {PARAGRAPHS_SQL}, c AS ({MUTATION_SQL["date_change"]}),

@@ -13,47 +13,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def contract_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A contract (contract_id, ordinal, text) for each order: parties, payment terms, fees, and two paragraphs a line item."""
-    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")  # noqa: E741
-    n = l.groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    o = o.join(n, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    day = lambda c: F.date_format(c, "yyyy-MM-dd")
-    texts = [
-        F.lit("MASTER SERVICES AGREEMENT"),
-        F.lit("Article I Parties"),
-        F.concat(F.lit("Party A: "), F.coalesce("c_name", F.lit("Unnamed")), F.lit("; This agreement is made on "), day("o_orderdate"), F.lit(".")),
-        F.lit("Article II Payment Terms"),
-        F.concat(F.lit("The Customer shall pay each undisputed invoice within "), 15 + F.col("o_orderkey") % 60, F.lit(" days of receipt. Each invoice may list up to "), F.coalesce("n", F.lit(0)), F.lit(" line items.")),
-        F.lit("Article III Fees"),
-        F.concat(F.lit("The monthly fee is USD "), F.floor("o_totalprice").cast("long"), F.lit(". Late payments accrue interest at "), 1 + F.col("o_custkey") % 9, F.lit("% per month.")),
-    ]
-    head = o.select(F.col("o_orderkey").alias("contract_id"), F.posexplode(F.array(*texts)).alias("ordinal", "text"))
-    k = F.row_number().over(W.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"))
-    pair = F.array(
-        F.concat(F.lit("4."), F.col("l_linenumber"), F.lit(" Item "), F.col("l_partkey")),
-        F.concat(F.lit("The Supplier may deliver "), F.col("l_quantity").cast("long"), F.lit(" units by "), day("l_shipdate"), F.lit(". The Supplier shall not disclose data.")),
-    )
-    items = l.join(o.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").withColumn("k", k)
-    items = items.select(F.col("l_orderkey").alias("contract_id"), "k", F.posexplode(pair).alias("at", "text"))
-    return head.union(items.select("contract_id", (5 + 2 * F.col("k") + F.col("at")).alias("ordinal"), "text"))
-
-
-#: The same table in DuckDB SQL.
-PARAGRAPHS_SQL = """li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS k FROM lineitem
+def contract_paragraphs(spark: SparkSession, sf_dir: str, language: str = "en") -> DataFrame:
+    """A contract (contract_id, ordinal, text), English or Chinese, for each order: parties, payment terms, fees, and two paragraphs a line item."""
+    items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")))
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(items.alias("items"))  # noqa: E741
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    o = o.join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(c, F.col("o_custkey") == F.col("c_custkey"), "left")
+    items = F.coalesce("items", F.array().cast(dict(l.dtypes)["items"]))
+    name = F.coalesce(F.replace("c_name", F.lit("#"), F.lit(" No.")), F.lit("Unnamed"))
+    say = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    days, n, fee, rate, grace = 15 + F.col("o_orderkey") % 60, F.size(items), F.floor("o_totalprice").cast("long"), 1 + F.col("o_custkey") % 9, 5 + F.col("o_custkey") % 20
+    if language == "zh":
+        day = lambda d: say(F.year(d), "年", F.month(d), "月", F.dayofmonth(d), "日")
+        head = [
+            F.lit("主服务协议"), F.lit("第一条 当事人"), say("甲方：", name, "；本协议于", day(F.col("o_orderdate")), "签订。双方应妥善保存。"), F.lit("第二条 付款条件"),
+            say("客户应在收到无争议发票后", days, "天内付款。每张发票最多列", n, "项。"), F.lit("第三条 费用"), say("每月费用为人民币", fee, "元。逾期付款按每月", rate, "%计息，宽限期为", grace, "天。"),
+        ]
+        pair = lambda x: F.array(say("4.", x["l_linenumber"], " 项目 ", x["l_partkey"]), say("供方可以在", day(x["l_shipdate"]), "前交付", x["l_quantity"].cast("long"), "件。供方不得披露数据。"))
+    else:
+        day = lambda d: F.date_format(d, "yyyy-MM-dd")
+        head = [
+            F.lit("MASTER SERVICES AGREEMENT"), F.lit("Article I Parties"), say("Party A: ", name, " Inc.; This agreement is made on ", day(F.col("o_orderdate")), ". Both parties shall keep it."), F.lit("Article II Payment Terms"),
+            say("The Customer shall pay each undisputed invoice within ", days, " days of receipt. Each invoice may list up to ", n, " line items."), F.lit("Article III Fees"),
+            say("The monthly fee is USD ", fee, ". Late payments accrue interest at ", rate, "% per month after ", grace, " days."),
+        ]
+        pair = lambda x: F.array(say("4.", x["l_linenumber"], " Item ", x["l_partkey"]), say("The Supplier may deliver ", x["l_quantity"].cast("long"), " units by ", day(x["l_shipdate"]), ". The Supplier shall not disclose data."))
+    texts = F.concat(F.array(*head), F.flatten(F.transform(items, pair)))
+    return o.select(F.col("o_orderkey").alias("contract_id"), F.posexplode(texts).alias("ordinal", "text"))
+
+
+def _paragraphs_sql(head: list[str], item: list[str]) -> str:
+    rows = [f"SELECT o_orderkey AS contract_id, {i} AS ordinal, {t} AS text FROM ord" for i, t in enumerate(head)]
+    rows += [f"SELECT l_orderkey, {5 + i} + 2 * k, {t} FROM li" for i, t in enumerate(item)]
+    return f"""li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS k FROM lineitem
   WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
-ord AS (SELECT *, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
-para AS (SELECT contract_id, ordinal::INTEGER AS ordinal, text FROM (
-  SELECT o_orderkey AS contract_id, 0 AS ordinal, 'MASTER SERVICES AGREEMENT' AS text FROM ord
-  UNION ALL SELECT o_orderkey, 1, 'Article I Parties' FROM ord
-  UNION ALL SELECT o_orderkey, 2, 'Party A: ' || coalesce(c_name, 'Unnamed') || '; This agreement is made on ' || strftime(o_orderdate, '%Y-%m-%d') || '.' FROM ord
-  UNION ALL SELECT o_orderkey, 3, 'Article II Payment Terms' FROM ord
-  UNION ALL SELECT o_orderkey, 4, 'The Customer shall pay each undisputed invoice within ' || (15 + o_orderkey % 60) || ' days of receipt. Each invoice may list up to ' || n || ' line items.' FROM ord
-  UNION ALL SELECT o_orderkey, 5, 'Article III Fees' FROM ord
-  UNION ALL SELECT o_orderkey, 6, 'The monthly fee is USD ' || floor(o_totalprice)::BIGINT || '. Late payments accrue interest at ' || (1 + o_custkey % 9) || '% per month.' FROM ord
-  UNION ALL SELECT l_orderkey, 5 + 2 * k, '4.' || l_linenumber || ' Item ' || l_partkey FROM li
-  UNION ALL SELECT l_orderkey, 6 + 2 * k, 'The Supplier may deliver ' || l_quantity::BIGINT || ' units by ' || strftime(l_shipdate, '%Y-%m-%d') || '. The Supplier shall not disclose data.' FROM li))"""
+ord AS (SELECT *, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n, coalesce(replace(c_name, '#', ' No.'), 'Unnamed') AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+para AS (SELECT contract_id, ordinal::INTEGER AS ordinal, text FROM ({" UNION ALL ".join(rows)}))"""
+
+
+#: The same tables in DuckDB SQL.
+PARAGRAPHS_SQL = _paragraphs_sql(
+    [
+        "'MASTER SERVICES AGREEMENT'", "'Article I Parties'", "'Party A: ' || name || ' Inc.; This agreement is made on ' || strftime(o_orderdate, '%Y-%m-%d') || '. Both parties shall keep it.'", "'Article II Payment Terms'",
+        "'The Customer shall pay each undisputed invoice within ' || (15 + o_orderkey % 60) || ' days of receipt. Each invoice may list up to ' || n || ' line items.'", "'Article III Fees'",
+        "'The monthly fee is USD ' || floor(o_totalprice)::BIGINT || '. Late payments accrue interest at ' || (1 + o_custkey % 9) || '% per month after ' || (5 + o_custkey % 20) || ' days.'",
+    ],
+    ["'4.' || l_linenumber || ' Item ' || l_partkey", "'The Supplier may deliver ' || l_quantity::BIGINT || ' units by ' || strftime(l_shipdate, '%Y-%m-%d') || '. The Supplier shall not disclose data.'"],
+)
+_ZH_DAY = "year({0}) || '年' || month({0}) || '月' || day({0}) || '日"
+ZH_PARAGRAPHS_SQL = _paragraphs_sql(
+    [
+        "'主服务协议'", "'第一条 当事人'", f"'甲方：' || name || '；本协议于' || {_ZH_DAY.format('o_orderdate')}签订。双方应妥善保存。'", "'第二条 付款条件'",
+        "'客户应在收到无争议发票后' || (15 + o_orderkey % 60) || '天内付款。每张发票最多列' || n || '项。'", "'第三条 费用'",
+        "'每月费用为人民币' || floor(o_totalprice)::BIGINT || '元。逾期付款按每月' || (1 + o_custkey % 9) || '%计息，宽限期为' || (5 + o_custkey % 20) || '天。'",
+    ],
+    ["'4.' || l_linenumber || ' 项目 ' || l_partkey", f"'供方可以在' || {_ZH_DAY.format('l_shipdate')}前交付' || l_quantity::BIGINT || '件。供方不得披露数据。'"],
+)
 
 
 def read_paragraphs(docs: DataFrame) -> DataFrame:
@@ -63,10 +79,12 @@ def read_paragraphs(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", (F.row_number().over(W.Window.partitionBy("doc_id").orderBy("at")) - 1).alias("ordinal"), "text")
 
 
-def declared_edits(paragraphs: DataFrame) -> DataFrame:
-    """The authorized edit of each contract: the payment term 15 days longer."""
-    days = F.regexp_extract("text", r"within (\d+) days", 1)
-    return paragraphs.where("ordinal = 4").select("contract_id", F.concat(days, F.lit(" days")).alias("before"), F.concat((days.cast("int") + 15).cast("string"), F.lit(" days")).alias("after"))
+def declared_edits(paragraphs: DataFrame, language: str = "en") -> DataFrame:
+    """The authorized edit (contract_id, site, before, after) of each contract: the payment term 15 days longer."""
+    pattern, unit = (r"within (\d+) days", " days") if language == "en" else (r"后(\d+)天内", "天")
+    days = F.regexp_extract("text", pattern, 1)
+    edit = paragraphs.where("ordinal = 4").select("contract_id", F.col("ordinal").alias("site"), days.alias("days"))
+    return edit.select("contract_id", "site", F.concat("days", F.lit(unit)).alias("before"), F.concat((F.col("days").cast("int") + 15).cast("string"), F.lit(unit)).alias("after"))
 
 
 def load_edits(edits: DataFrame, paragraphs: DataFrame) -> DataFrame:
