@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from revverify.queries import QUERIES
+from revverify.catalog import QUERIES
 
 NAMES = ("clause_changes_by_kind", "win_segments", "agg_clause_fingerprints", "ent_extract", "mut_money_change", "set_block_diff", "agg_effective_verdict", "jn_reconcile_payloads", "agg_grid_change", "agg_false_pass", "fn_fingerprint")
 

@@ -23,7 +23,7 @@ def contract_paragraphs(spark: SparkSession, sf_dir: str, language: str = "en")
     items = F.coalesce("items", F.array().cast(dict(l.dtypes)["items"]))
     name = F.coalesce(F.replace("c_name", F.lit("#"), F.lit(" No.")), F.lit("Unnamed"))
     say = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
-    days, n, fee, rate, grace = 15 + F.col("o_orderkey") % 60, F.size(items), F.floor("o_totalprice").cast("long"), 1 + F.col("o_custkey") % 9, 5 + F.col("o_custkey") % 20
+    days, n, fee, rate, grace = 15 + F.col("o_orderkey") % 60, F.size(items), F.floor("o_totalprice").cast("long"), 1 + F.col("o_custkey") % 9, 80 + F.col("o_custkey") % 20
     if language == "zh":
         day = lambda d: say(F.year(d), "年", F.month(d), "月", F.dayofmonth(d), "日")
         head = [
@@ -57,7 +57,7 @@ PARAGRAPHS_SQL = _paragraphs_sql(
     [
         "'MASTER SERVICES AGREEMENT'", "'Article I Parties'", "'Party A: ' || name || ' Inc.; This agreement is made on ' || strftime(o_orderdate, '%Y-%m-%d') || '. Both parties shall keep it.'", "'Article II Payment Terms'",
         "'The Customer shall pay each undisputed invoice within ' || (15 + o_orderkey % 60) || ' days of receipt. Each invoice may list up to ' || n || ' line items.'", "'Article III Fees'",
-        "'The monthly fee is USD ' || floor(o_totalprice)::BIGINT || '. Late payments accrue interest at ' || (1 + o_custkey % 9) || '% per month after ' || (5 + o_custkey % 20) || ' days.'",
+        "'The monthly fee is USD ' || floor(o_totalprice)::BIGINT || '. Late payments accrue interest at ' || (1 + o_custkey % 9) || '% per month after ' || (80 + o_custkey % 20) || ' days.'",
     ],
     ["'4.' || l_linenumber || ' Item ' || l_partkey", "'The Supplier may deliver ' || l_quantity::BIGINT || ' units by ' || strftime(l_shipdate, '%Y-%m-%d') || '. The Supplier shall not disclose data.'"],
 )
@@ -66,7 +66,7 @@ ZH_PARAGRAPHS_SQL = _paragraphs_sql(
     [
         "'主服务协议'", "'第一条 当事人'", f"'甲方：' || name || '；本协议于' || {_ZH_DAY.format('o_orderdate')}签订。双方应妥善保存。'", "'第二条 付款条件'",
         "'客户应在收到无争议发票后' || (15 + o_orderkey % 60) || '天内付款。每张发票最多列' || n || '项。'", "'第三条 费用'",
-        "'每月费用为人民币' || floor(o_totalprice)::BIGINT || '元。逾期付款按每月' || (1 + o_custkey % 9) || '%计息，宽限期为' || (5 + o_custkey % 20) || '天。'",
+        "'每月费用为人民币' || floor(o_totalprice)::BIGINT || '元。逾期付款按每月' || (1 + o_custkey % 9) || '%计息，宽限期为' || (80 + o_custkey % 20) || '天。'",
     ],
     ["'4.' || l_linenumber || ' 项目 ' || l_partkey", f"'供方可以在' || {_ZH_DAY.format('l_shipdate')}前交付' || l_quantity::BIGINT || '件。供方不得披露数据。'"],
 )
