@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -43,6 +44,12 @@ def dropped(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more, as their results are stored."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_side(df: DataFrame, rows: int, bound: int = 500_000) -> DataFrame:
     """Broadcast a side whose counted rows are within the bound; beyond it Spark shuffles both sides."""
     return F.broadcast(df) if rows <= bound else df

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .bytesvec import U64, Words, mix, packed, pieces, shingles
-from .common import components, dropped, shared_dir, small_side, stored
+from .common import components, dropped, released, shared_dir, small_side, stored
 
 _SETS = T.StructType(
     [
@@ -52,18 +52,18 @@ _SETS = T.StructType(
 
 
 def size_classes(most: int = 1 << 40) -> list[int]:
-    """Lower bounds of the size classes: each is a quarter wider than the one before."""
+    """Lower bounds of the size classes: each begins at one and a half times the one before."""
     out = [1]
     while out[-1] < most:
-        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
     return out
 
 
 def parts_of_class(classes: list[int], num: int, den: int) -> np.ndarray:
-    """Number of parts B of each class: over the largest difference D that a linked pair can have, with a tenth to spare; 0 where D is 0 and only equal sets link."""
+    """Number of parts B of each class: over the largest difference D that a linked pair can have, with a twentieth to spare; 0 where D is 0 and only equal sets link."""
     tops = [x - 1 for x in classes[1:]]
     d = [2 * top * (den - num) // (den + num) for top in tops]
-    return np.array([x + 1 + max(1, x // 10) if x else 0 for x in d], np.int64)
+    return np.array([x + 1 + max(1, x // 20) if x else 0 for x in d], np.int64)
 
 
 def classes_above(classes: list[int], num: int, den: int) -> int:
@@ -247,18 +247,8 @@ def _residuals(sets: DataFrame, num: int, den: int) -> DataFrame:
     return sets.select("g", "id", "shingles", "pivot", "common").mapInArrow(run, "g long, id long, n long, e long, first array<long>")
 
 
-def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, sample: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Links of all documents (id, text) with Jaccard similarity of at least num / den on ``words``-word shingles.
-
-    Returns (members, links). members: a row (id, n, component) for each input row; n is the set's size, component
-    the smallest id reachable by links. links: pairs (a, b) of class representatives that link and connect them.
-    White space is ASCII, A-Z count as a-z. A text of fewer words than ``words`` is one shingle; an
-    empty, blank or null text has no shingles and links with nothing. Rows that repeat an id are one
-    node with all their texts; a null id stays alone (component null). Other columns are ignored. ``sample`` bounds the documents
-    that choose a region's pivot; it has no part in the result.
-    """
-    assert 0 < num < den
-    docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+def _regions(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Stored tables: sets (id, n, d1, d2), those with shingles and an id, their classes (d1, d2, rep), and the region g of each representative that meets another."""
     spark, cells, bare = docs.sparkSession, shared_dir(docs.sparkSession), shared_dir(docs.sparkSession)
     keyed = stored(shingle_sets(docs, words, num, den), cells)
     sets = stored(keyed.select("id", "n", "d1", "d2"), bare)
@@ -276,12 +266,31 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     local = local.join(of_id.select(F.col("id").alias("peer"), F.col("rep").alias("dst")), "peer").where("src <> dst").select("src", "dst")
     near = stored(near.union(local).distinct())
     dropped(spark, cells)
-    regions = stored(components(near)).select("id", F.col("root").alias("g"))
+    return sets, solid, classes, stored(components(near)).select("id", F.col("root").alias("g"))
+
+
+def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, sample: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Links of all documents (id, text) with Jaccard similarity of at least num / den on ``words``-word shingles.
+
+    Returns (members, links). members: a row (id, n, component) for each input row; n is the set's size, component
+    the smallest id reachable by links. links: pairs (a, b) of class representatives that link and connect them.
+    White space is ASCII, A-Z count as a-z. A text of fewer words than ``words`` is one shingle; an
+    empty, blank or null text has no shingles and links with nothing. Rows that repeat an id are one
+    node with all their texts; a null id stays alone (component null). Other columns are ignored. ``sample`` bounds the documents
+    that choose a region's pivot; it has no part in the result.
+    """
+    assert 0 < num < den
+    docs = docs.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
+    sets, solid, classes, regions = _regions(docs, words, num, den)
+    released(spark)
     n = regions.count()
     whole = stored(_whole_sets(docs.join(small_side(regions.select("id"), n), "id", "left_semi"), words))
     placed = whole.join(small_side(regions, n), "id")
     both = placed.join(stored(_pivots(placed, sample)), "g")
     rest = stored(_residuals(both, num, den))
+    del both, placed
+    released(spark)
     # Rows that repeat an id join their classes.
     joined = solid.join(classes, ["d1", "d2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     twice = solid.groupBy("id").count().where("count > 1").select(F.col("id").alias("a"))
