@@ -17,8 +17,8 @@ takes its metric on restrictions first, and whole pivots inside the regions that
 3. *Inside the ball*: where |e(x)| + |e(y)| <= D the pair links for certain. For connectivity it is enough to link every document
    with the most central document of each size within the size window (the chain x - c(|y|) - c(|x|) - y holds).
 4. *Recursion* outside it: a linked pair must share (|e(x)| + |e(y)| - D) / 2 residual shingles, so it meets in the sub-region of one of
-   the first D + 1 residual shingles of both, those that are rare in the region first. Pairs that meet there, are not yet
-   connected and pass the bounds are compared exactly.
+   the first D + 1 residual shingles of both, those that are rare in the region first, and k more of these bring k more meetings. Pairs that meet
+   so often, are not yet connected and pass the bounds are compared exactly.
 
 Nothing is dropped: a pair is skipped only when the bounds prove it unlinked or it is already connected, so
 components are exact. Equal shingle sets are joined first as one, so copies are never compared.
@@ -51,19 +51,23 @@ _SETS = T.StructType(
 )
 
 
+#: Beyond the first, a linked pair shares one more of its first residual shingles for so many of its shingles.
+SHARED = 16
+
+
 def size_classes(most: int = 1 << 40) -> list[int]:
-    """Lower bounds of the size classes: each begins at one and a half times the one before."""
+    """Lower bounds of the size classes: each is a quarter wider than the one before."""
     out = [1]
     while out[-1] < most:
-        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
     return out
 
 
 def parts_of_class(classes: list[int], num: int, den: int) -> np.ndarray:
-    """Number of parts B of each class: over the largest difference D that a linked pair can have, with a twentieth to spare; 0 where D is 0 and only equal sets link."""
+    """Number of parts B of each class: over the largest difference D that a linked pair can have, with a tenth to spare; 0 where D is 0 and only equal sets link."""
     tops = [x - 1 for x in classes[1:]]
     d = [2 * top * (den - num) // (den + num) for top in tops]
-    return np.array([x + 1 + max(1, x // 20) if x else 0 for x in d], np.int64)
+    return np.array([x + 1 + max(1, x // 10) if x else 0 for x in d], np.int64)
 
 
 def classes_above(classes: list[int], num: int, den: int) -> int:
@@ -241,7 +245,7 @@ def _residuals(sets: DataFrame, num: int, den: int) -> DataFrame:
                 order = np.concatenate([new[~usual], new[usual], gone])
                 n.append(len(x))
                 e.append(len(order))
-                first.append(order[: len(x) * (den - num) // num + 1].view(np.int64))
+                first.append(order[: len(x) * (den - num) // num + 1 + len(x) // SHARED].view(np.int64))
             yield pa.record_batch([batch["g"], batch["id"], pa.array(n, pa.int64()), pa.array(e, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=["g", "id", "n", "e", "first"])
 
     return sets.select("g", "id", "shingles", "pivot", "common").mapInArrow(run, "g long, id long, n long, e long, first array<long>")
@@ -314,13 +318,25 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     left, right = side(met, "1", "key", F.col("at").alias("at1"), F.col("comp").alias("comp1")), side(met, "2", "key", F.col("at").alias("at2"), F.col("comp").alias("comp2"))
     # Twice the shared residual shingles that a linked pair needs, and those that can still come from this one on.
     needed = f"((e1 + e2) * {den + num}L - {limit})"
-    pairs = left.join(right, ["g", "key"]).where("id1 < id2 AND comp1 <> comp2").where(sizes)
-    pairs = pairs.where(f"2 * (e1 - at1) * {den + num}L >= {needed} AND 2 * (e2 - at2) * {den + num}L >= {needed} AND abs(e1 - e2) * {den + num}L <= {limit}")
-    checked = stored(_shared(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct(), whole))
-    more = checked.where(f"both * {den}L >= either * {num}L").select("a", "b")
-    if more.take(1):
-        links = stored(links.union(more))
-        comp = graph(links)
+    met_in = left.join(right, ["g", "key"]).where("id1 < id2 AND comp1 <> comp2").where(sizes).where(f"abs(e1 - e2) * {den + num}L <= {limit}")
+    pairs = met_in.groupBy("id1", "id2", "n1", "n2", "e1", "e2").agg(F.count("*").alias("c"), F.min("at1").alias("at1"), F.min("at2").alias("at2"))
+    pairs = pairs.where(f"2 * (e1 - at1) * {den + num}L >= {needed} AND 2 * (e2 - at2) * {den + num}L >= {needed}")
+    pairs = pairs.where(f"c >= 1 + least(n1, n2) div {SHARED} OR 2 * c * {den + num}L >= {needed}")
+    # A class of many near copies needs few of its pairs: each document's best partner is compared first, then what is still apart.
+    todo = stored(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "c"))
+    for all_left in (False, False, True):
+        best = F.row_number().over(W.Window.partitionBy("a").orderBy(F.desc("c"), "b"))
+        now = todo if all_left else todo.withColumn("k", best).where("k = 1")
+        checked = stored(_shared(now.select("a", "b"), whole))
+        more = checked.where(f"both * {den}L >= either * {num}L").select("a", "b")
+        if more.take(1):
+            links = stored(links.union(more))
+            comp = graph(links)
+        if not all_left:
+            root = lambda c: comp.select(F.col("id").alias(c), F.col("root").alias("r" + c))
+            apart = todo.join(checked, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+            todo = stored(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "c"))
+        released(spark)
     members = sets.join(classes, ["d1", "d2"], "left").join(comp.select(F.col("id").alias("rep"), "root"), "rep", "left")
     members = members.select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", F.when(F.col("id").isNotNull(), F.col("rep")))).otherwise(F.col("id")).alias("component"))
     return members.withColumn("component", F.when(F.col("id").isNotNull(), F.col("component"))), links
