@@ -31,6 +31,7 @@ from bisect import bisect_right
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,10 +185,30 @@ def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for x in pieces(batch):
                 u, offs = shingles(Words(*packed(x["text"]), lower=True), words)
-                rows = [u[a:b].tobytes() for a, b in zip(offs, offs[1:], strict=False)]
-                yield pa.record_batch([x["id"], pa.array(rows, pa.binary())], names=["id", "shingles"])
+                rows = [u[a:b] for a, b in zip(offs, offs[1:], strict=False)]
+                hist = [np.bincount((r >> U64(40)).astype(np.int64) % 256, minlength=256) for r in rows]
+                packed_ = [h.astype(np.uint16).tobytes() if h.max() < 1 << 16 else None for h in hist]
+                yield pa.record_batch([x["id"], pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(packed_, pa.binary())], names=["id", "shingles", "hist"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.mapInArrow(run, "id long, shingles binary, hist binary")
+
+
+def _can_link(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, need, ..) whose sets can share ``need`` / (num + den) shingles: they share no more than the sum of the smaller counts over 256 parts of the universe.
+
+    A set too large for these counts stays.
+    """
+
+    def run(batches):
+        for batch in batches:
+            solid = batch.filter(pa.compute.and_(batch["x"].is_valid(), batch["y"].is_valid()))
+            p, q = (np.frombuffer(packed(solid[c])[0].tobytes(), np.uint16).reshape(-1, 256) for c in ("x", "y"))
+            most = np.minimum(p, q).sum(axis=1, dtype=np.int64) * (num + den)
+            yield solid.filter(pa.array(most >= solid["need"].to_numpy())).select(["a", "b", "c"])
+            yield batch.filter(pa.compute.or_(batch["x"].is_null(), batch["y"].is_null())).select(["a", "b", "c"])
+
+    x, y = (sets.select(F.col("id").alias(k), F.col("hist").alias(v)) for k, v in (("b", "y"), ("a", "x")))
+    return pairs.join(x, "b").join(y, "a").select("a", "b", "c", "need", "x", "y").mapInArrow(run, "a long, b long, c long")
 
 
 def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -323,8 +344,10 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     pairs = pairs.where(f"2 * (e1 - at1) * {den + num}L >= {needed} AND 2 * (e2 - at2) * {den + num}L >= {needed}")
     pairs = pairs.where(f"c >= 1 + least(n1, n2) div {SHARED} OR 2 * c * {den + num}L >= {needed}")
     # A class of many near copies needs few of its pairs: each document's best partner is compared first, then what is still apart.
-    todo = stored(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "c"))
-    for all_left in (False, False, True):
+    need = ((F.col("n1") + F.col("n2")) * num).cast("long")
+    hists = whole.groupBy("id").agg(F.when(F.count("*") == 1, F.min("hist")).alias("hist"))  # an id of several texts is not judged by one
+    todo = stored(_can_link(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "c", need.alias("need")), hists, num, den))
+    for all_left in (False, True):
         best = F.row_number().over(W.Window.partitionBy("a").orderBy(F.desc("c"), "b"))
         now = todo if all_left else todo.withColumn("k", best).where("k = 1")
         checked = stored(_shared(now.select("a", "b"), whole))
