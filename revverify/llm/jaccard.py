@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .bytesvec import U64, Words, mix, packed, pieces, shingles
-from .common import components, dropped, released, shared_dir, small_side, stored
+from .common import arrow_rows, components, dropped, released, shared_dir, small_side, stored
 
 _SETS = T.StructType(
     [
@@ -151,7 +151,7 @@ def shingle_sets(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     bounds = classes + [classes[-1] * 2] * (above + 1)
 
     def run(batches):
-        for chunk in (c for batch in batches for c in pieces(batch, most=4 << 20)):
+        for chunk in (c for batch in batches for c in pieces(batch, most=2 << 20)):
             ids = chunk["id"].fill_null(1 << 62).to_numpy(zero_copy_only=False)
             got = []
             for x in pieces(chunk):
@@ -275,7 +275,8 @@ def _residuals(sets: DataFrame, num: int, den: int) -> DataFrame:
 def _regions(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Stored tables: sets (id, n, d1, d2), those with shingles and an id, their classes (d1, d2, rep), and the region g of each representative that meets another."""
     spark, cells, bare = docs.sparkSession, shared_dir(docs.sparkSession), shared_dir(docs.sparkSession)
-    keyed = stored(shingle_sets(docs, words, num, den), cells)
+    with arrow_rows(spark, 1000):
+        keyed = stored(shingle_sets(docs, words, num, den), cells)
     sets = stored(keyed.select("id", "n", "d1", "d2"), bare)
     solid = sets.where("n > 0 AND id IS NOT NULL")
     classes = stored(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep")))
@@ -310,10 +311,12 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     sets, solid, classes, regions = _regions(docs, words, num, den)
     released(spark)
     n = regions.count()
-    whole = stored(_whole_sets(docs.join(small_side(regions.select("id"), n), "id", "left_semi"), words))
+    with arrow_rows(spark, 1000):
+        whole = stored(_whole_sets(docs.join(small_side(regions.select("id"), n), "id", "left_semi"), words))
     placed = whole.join(small_side(regions, n), "id")
     both = placed.join(stored(_pivots(placed, sample)), "g")
-    rest = stored(_residuals(both, num, den))
+    with arrow_rows(spark, 256):  # each row holds three sets
+        rest = stored(_residuals(both, num, den))
     del both, placed
     released(spark)
     # Rows that repeat an id join their classes.
@@ -350,7 +353,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     for all_left in (False, True):
         best = F.row_number().over(W.Window.partitionBy("a").orderBy(F.desc("c"), "b"))
         now = todo if all_left else todo.withColumn("k", best).where("k = 1")
-        checked = stored(_shared(now.select("a", "b"), whole))
+        with arrow_rows(spark, 512):
+            checked = stored(_shared(now.select("a", "b"), whole))
         more = checked.where(f"both * {den}L >= either * {num}L").select("a", "b")
         if more.take(1):
             links = stored(links.union(more))
