@@ -6,6 +6,7 @@ space (``[^\\x20\\x09-\\x0D]+``); they never reach over a text's end.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL(None)
 #: Text bytes that are worked on at once; a longer text is worked on alone.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _pow: dict[int, np.ndarray] = {}
@@ -56,6 +58,14 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = SLICE) -> It
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a Python worker stays for many tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def packed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -265,7 +265,7 @@ def encode_pieces(docs: DataFrame, path: str, digest: bool = False) -> DataFrame
     def run(batches):
         m = model_of(path)
         for batch in batches:
-            for x in pieces(batch):  # every part looks up all pieces once
+            for x in pieces(batch, most=1 << 20):  # every part looks up all pieces once
                 ids, offs = m.encode(x["text"])
                 same, crc, rows = [], [], []
                 for t, a, b in zip(x["text"], offs, offs[1:], strict=False):

@@ -248,7 +248,7 @@ def encoded(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches):
         e = encoder(path)
         for batch in batches:
-            for x in pieces(batch):
+            for x in pieces(batch, most=1 << 20):
                 ids, offs = e.encode(x["text"], end)
                 rows = [ids[a:b].tobytes() for a, b in zip(offs, offs[1:], strict=False)]
                 yield pa.record_batch([x["doc_id"], pa.array(rows, pa.binary())], names=["doc_id", "ids"])
