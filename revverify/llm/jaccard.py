@@ -338,7 +338,12 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     comp = graph(links)
     known = rest.join(comp, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
     open_ = known.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("g")
-    met = stored(known.join(open_, "g").select("g", "id", "n", "e", "comp", F.posexplode("first").alias("at", "key")))
+    # One exchange by residual shingle: those of one document, or of one component, alone go before anything is joined.
+    shared = W.Window.partitionBy("g", "key")
+    met = known.join(open_, "g").select("g", "id", "n", "e", "comp", F.posexplode("first").alias("at", "key"))
+    met = met.withColumn("c0", F.min("comp").over(shared)).withColumn("c1", F.max("comp").over(shared)).where("c0 <> c1").drop("c0", "c1")
+    met = stored(met)
+    released(spark)
     left, right = side(met, "1", "key", F.col("at").alias("at1"), F.col("comp").alias("comp1")), side(met, "2", "key", F.col("at").alias("at2"), F.col("comp").alias("comp2"))
     # Twice the shared residual shingles that a linked pair needs, and those that can still come from this one on.
     needed = f"((e1 + e2) * {den + num}L - {limit})"
