@@ -41,7 +41,7 @@ def test_tree_equals_a_stack(spark):
     "text,want",
     [
         ("Party A: Acme Ltd; USD 2,000; 15 days", [("party", "Acme Ltd"), ("currency", "USD"), ("money", "2000"), ("duration", "15 day")]),
-        ("CNYx is not a currency amount.", []), ("合同价款为人民币100万元。", [("currency", "CNY"), ("currency", "CNY"), ("money", "1000000")]),
+        ("CNYx is not a currency amount.", []), ("合同价款为人民币100万元。", [("currency", "CNY"), ("money", "1000000")]),
         ("违约金为百分之五。", [("percentage", "5")]), ("签订日期为2026年9月21日。", [("date", "2026-09-21")]), ("Fee: USD 2.5 billion.", [("currency", "USD"), ("money", "2500000000.0")]),
         ("Effective Date: 8th October, 2026.", [("date", "2026-10-08")]), ("February 30, 2026", []), ("Term: thirty (30) days.", [("duration", "30 day")]),
         ("保修期为两年。", [("duration", "2 year")]), ("自第三年起", []),
@@ -56,7 +56,7 @@ def test_entities(spark, text, want):
 def test_zh_numbers(spark):
     cases = {"五": 5, "十": 10, "三十": 30, "壹拾贰万叁仟肆佰伍拾陆": 123456, "一亿零三": 100000003, "x": None}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", fn.zh_number(F.col("t")).alias("n")).collect()
-    assert {r["t"]: r["n"] for r in rows} == cases
+    assert {r["t"]: r["n"] for r in rows} == {k: None if v is None else str(v) for k, v in cases.items()}  # decimal text, as fractions keep their digits
 
 
 def test_scalars(spark):
@@ -149,7 +149,7 @@ def test_trust_and_verdict(spark):
 def test_every_mutation_is_caught(spark):
     texts = ["MASTER SERVICES AGREEMENT", "Article I Parties", "Party A: Acme Inc.; This agreement is made on 2026-08-04.", "Article II Payment Terms", "The Customer shall pay within 30 days of receipt. Each invoice may list 12 items.", "Article III Fees", "The fee is USD 12,500 at 2% per month. The Supplier shall not disclose data."]
     p = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "contract_id long, ordinal int, text string")
-    e = spark.createDataFrame([(1, "30 days", "45 days")], "contract_id long, before string, after string")
+    e = spark.createDataFrame([(1, 4, "30 days", "45 days")], "contract_id long, site int, before string, after string")
     side = lambda df: df.withColumnRenamed("contract_id", "pair_id")
     for name in ("authorized", "wrong_value", "party_change", "modal_swap"):
         _, v = rules.verdicts(side(p), side(mutate.candidates(p, e, name)), side(e))
