@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_features, queries_policy
+from . import queries_features, queries_policy, queries_reports
 from .queries import FLAGSHIP
 from .registry import ORACLES, QUERIES
 
-__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "queries_features", "queries_policy"]
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "queries_features", "queries_policy", "queries_reports"]

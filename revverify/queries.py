@@ -486,7 +486,8 @@ def jn_discriminating(spark, sf_dir):
     return evaluate.discriminating(_cases(spark, sf_dir)).select("source", "contract_id", "format", "operator")
 
 
-@query(f"WITH {CASE_SQL} SELECT median(duration_s) AS median, quantile_disc(duration_s, 0.95) AS p95 FROM cases")
+@query(f"""WITH {CASE_SQL}, r AS (SELECT duration_s::DOUBLE AS v, row_number() OVER (ORDER BY duration_s) AS k, count(*) OVER () AS n FROM cases WHERE error IS NULL AND duration_s IS NOT NULL)
+SELECT coalesce((max(v) FILTER (k = (n - 1) // 2 + 1) + max(v) FILTER (k = n // 2 + 1)) / 2, 0.0)::DOUBLE AS median, coalesce(max(v) FILTER (k = ceil(n * 0.95::DOUBLE)), 0.0)::DOUBLE AS p95 FROM r""")
 def agg_durations(spark, sf_dir):
     """AGG-17."""
     return evaluate.durations(_cases(spark, sf_dir))
