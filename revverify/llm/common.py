@@ -38,6 +38,17 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, path: str | None = None) -> DataFrame:
+    """As ``stored``, and the shuffle files of that job go when it ends: only the table is read afterwards."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        return stored(df, path)
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """At most so many rows in an Arrow batch of what is written meanwhile: for rows of many kilobytes."""

@@ -8,7 +8,7 @@ its own span and those of the neighbours that were looked at. A symbol whose con
 occurrence of that window, in any text, has it at the same place.
 
 1. *Reveal.* Each window (``width`` consecutive words) takes one of its interior symbols of the highest round that left it any, the one
-   with the least name. Neighbouring windows that took the same symbol make an *entry*: the symbol, and a fingerprint of all words that
+   with the least hash, together with its context's words. Neighbouring windows that took the same symbol make an *entry*: the symbol, and a fingerprint of all words that
    its windows cover. Entries meet by symbol. Only symbols met in two documents can belong to a repeat.
 2. *Verify.* Equal entries (symbol and all words) settle all their windows at once: inside a long repeat, cores, contexts and therefore
    entries are equal. Where one symbol has several entries, the end of a repeat is near: the first holder of each such entry sends its windows, and these meet by a
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytesvec import U64, Words, give_back, mix, packed
-from .common import dropped, released, shared_dir, stored, table
+from .common import dropped, settled, shared_dir, table
 
 #: Words of a window.
 WIDTH = 13
@@ -111,6 +111,8 @@ class Entries:
             hi = np.searchsorted(high, open_ + width, side="right")
             some = hi > lo
             open_, lo, hi = open_[some], lo[some], hi[some]
+            inside = (low >= 0) & (high <= n)
+            names = mix(names + self.words(0, np.where(inside, low, 0), np.where(inside, high, 0)))  # a symbol with the words that decide it
             order = mix(names ^ _odd(9))
             best = lo.copy()
             for t in range(1, int((hi - lo).max(initial=1))):
@@ -146,6 +148,15 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(x, dtype=U64)[:n]
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on, which shuffle files compress well."""
+    return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
+
 class Sending:
     """Distinct keys (two arrays) of a chunk with the smallest id of each, in buckets; replies come back in the same order."""
 
@@ -164,7 +175,7 @@ class Sending:
         for k in full:
             s = slice(self.cut[k], self.cut[k + 1])
             keys.append(np.stack([self.x[s], self.y[s]]).tobytes())
-            ids.append(self.low[s].tobytes())
+            ids.append(_planes(self.low[s]))
         return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "keys": pa.array(keys, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     def replies(self, reply: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +195,7 @@ def _judge(contexts: bool):
         size = np.array([len(b) // 8 for b in sent["ids"].to_pylist()], np.int64)
         both = [np.frombuffer(k, U64).reshape(2, -1) for k in sent["keys"].to_pylist()]
         x, y = (np.concatenate([b[i] for b in both]) for i in (0, 1))
-        ids = np.concatenate([np.frombuffer(b, np.int64) for b in sent["ids"].to_pylist()])
+        ids = np.concatenate([_from_planes(b) for b in sent["ids"].to_pylist()])
         order = np.lexsort((ids, y, x))
         x, y, ids = x[order], y[order], ids[order]
         new_x = np.append(True, x[1:] != x[:-1])
@@ -273,17 +284,14 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, most: int = ROUNDS, tex
 
     first_path, second_path = shared_dir(spark), shared_dir(spark)
     sent = named.groupBy("chunk").applyInArrow(reveal, _SENT)
-    first = stored(sent.groupBy("bucket").applyInArrow(_judge(True), _REPLY), first_path)
-    released(spark)
+    first = settled(sent.groupBy("bucket").applyInArrow(_judge(True), _REPLY), first_path)
     sent = named.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(verify, _SENT)
-    second = stored(sent.groupBy("bucket").applyInArrow(_judge(False), _REPLY), second_path)
-    released(spark)
+    second = settled(sent.groupBy("bucket").applyInArrow(_judge(False), _REPLY), second_path)
     replies = first.withColumn("second", F.lit(0)).unionByName(second.withColumn("second", F.lit(1)))
     out = named.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(remove, schema)
     path = shared_dir(spark)
-    out = stored(out.unionByName(rows.where("doc_id IS NULL").mapInArrow(plain, schema)), path)
+    out = settled(out.unionByName(rows.where("doc_id IS NULL").mapInArrow(plain, schema)), path)
     dropped(spark, first_path, second_path)
-    released(spark)
     return out
 
 
