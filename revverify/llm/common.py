@@ -91,7 +91,7 @@ def components(edges: DataFrame, node: str = "long") -> DataFrame:
     """
     spark, path = edges.sparkSession, shared_dir(edges.sparkSession)
     e = edges.select(*(F.col(c).cast(node).alias(c) for c in ("src", "dst"))).where("src <> dst")
-    e = stored(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), path)
+    e = settled(e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), path)
 
     def state(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
@@ -105,7 +105,7 @@ def components(edges: DataFrame, node: str = "long") -> DataFrame:
         low = large.groupBy("src").agg(F.min("dst").alias("m"))
         small = large.join(low, "src").where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         last, path = path, shared_dir(spark)
-        e = stored(small.union(low.select("src", F.col("m").alias("dst"))).where("src <> dst").distinct(), path)
+        e = settled(small.union(low.select("src", F.col("m").alias("dst"))).where("src <> dst").distinct(), path)
         dropped(spark, last)
         before, now, rounds = now, state(e), rounds + 1
         if before == now:

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .bytesvec import U64, Words, mix, packed, pieces, shingles
-from .common import arrow_rows, components, dropped, released, shared_dir, small_side, stored
+from .common import arrow_rows, components, dropped, released, settled, shared_dir, small_side
 
 _SETS = T.StructType(
     [
@@ -276,10 +276,10 @@ def _regions(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame
     """Stored tables: sets (id, n, d1, d2), those with shingles and an id, their classes (d1, d2, rep), and the region g of each representative that meets another."""
     spark, cells, bare = docs.sparkSession, shared_dir(docs.sparkSession), shared_dir(docs.sparkSession)
     with arrow_rows(spark, 1000):
-        keyed = stored(shingle_sets(docs, words, num, den), cells)
-    sets = stored(keyed.select("id", "n", "d1", "d2"), bare)
+        keyed = settled(shingle_sets(docs, words, num, den), cells)
+    sets = settled(keyed.select("id", "n", "d1", "d2"), bare)
     solid = sets.where("n > 0 AND id IS NOT NULL")
-    classes = stored(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep")))
+    classes = settled(solid.groupBy("d1", "d2").agg(F.min("id").alias("rep")))
     of_id = solid.join(classes, ["d1", "d2"]).select("id", "rep").distinct()
     reps = classes.select(F.col("rep").alias("id")).distinct()
     live = keyed.where("n > 0 AND id IS NOT NULL")
@@ -290,9 +290,9 @@ def _regions(docs: DataFrame, words: int, num: int, den: int) -> tuple[DataFrame
     # Peers of the same chunk count by their classes, as only a class's representative deals its cells.
     local = live.select("id", F.explode("peers").alias("peer")).distinct().join(of_id, "id").select("peer", F.col("rep").alias("src"))
     local = local.join(of_id.select(F.col("id").alias("peer"), F.col("rep").alias("dst")), "peer").where("src <> dst").select("src", "dst")
-    near = stored(near.union(local).distinct())
+    near = settled(near.union(local).distinct())
     dropped(spark, cells)
-    return sets, solid, classes, stored(components(near)).select("id", F.col("root").alias("g"))
+    return sets, solid, classes, settled(components(near)).select("id", F.col("root").alias("g"))
 
 
 def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, sample: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -312,11 +312,12 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     released(spark)
     n = regions.count()
     with arrow_rows(spark, 1000):
-        whole = stored(_whole_sets(docs.join(small_side(regions.select("id"), n), "id", "left_semi"), words))
+        whole = settled(_whole_sets(docs.join(small_side(regions.select("id"), n), "id", "left_semi"), words))
     placed = whole.join(small_side(regions, n), "id")
-    both = placed.join(stored(_pivots(placed, sample)), "g")
+    both = placed.join(settled(_pivots(placed, sample)), "g")
+    passing = shared_dir(spark), shared_dir(spark)
     with arrow_rows(spark, 256):  # each row holds three sets
-        rest = stored(_residuals(both, num, den))
+        rest = settled(_residuals(both, num, den), passing[0])
     del both, placed
     released(spark)
     # Rows that repeat an id join their classes.
@@ -332,9 +333,9 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     centres = inner.groupBy("g", "n").agg(F.min(F.struct("e", "id")).alias("c")).select("g", "n", "c.e", "c.id")
     centres = side(centres.withColumn("step", F.explode(F.array(step - 1, step, step + 1))), "2", "step")
     ball = side(inner.withColumn("step", step), "1", "step").join(centres, ["g", "step"]).where("id1 <> id2").where(sizes).where(f"(e1 + e2) * {den + num}L <= {limit}")
-    links = stored(links.union(ball.select(F.col("id1").alias("a"), F.col("id2").alias("b"))).distinct())
+    links = settled(links.union(ball.select(F.col("id1").alias("a"), F.col("id2").alias("b"))).distinct())
 
-    graph = lambda x: stored(components(x.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    graph = lambda x: settled(components(x.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
     comp = graph(links)
     known = rest.join(comp, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
     open_ = known.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("g")
@@ -342,7 +343,8 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     shared = W.Window.partitionBy("g", "key")
     met = known.join(open_, "g").select("g", "id", "n", "e", "comp", F.posexplode("first").alias("at", "key"))
     met = met.withColumn("c0", F.min("comp").over(shared)).withColumn("c1", F.max("comp").over(shared)).where("c0 <> c1").drop("c0", "c1")
-    met = stored(met)
+    met = settled(met, passing[1])
+    dropped(spark, passing[0])
     released(spark)
     left, right = side(met, "1", "key", F.col("at").alias("at1"), F.col("comp").alias("comp1")), side(met, "2", "key", F.col("at").alias("at2"), F.col("comp").alias("comp2"))
     # Twice the shared residual shingles that a linked pair needs, and those that can still come from this one on.
@@ -354,20 +356,21 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     # A class of many near copies needs few of its pairs: each document's best partner is compared first, then what is still apart.
     need = ((F.col("n1") + F.col("n2")) * num).cast("long")
     hists = whole.groupBy("id").agg(F.when(F.count("*") == 1, F.min("hist")).alias("hist"))  # an id of several texts is not judged by one
-    todo = stored(_can_link(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "c", need.alias("need")), hists, num, den))
+    todo = settled(_can_link(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "c", need.alias("need")), hists, num, den))
+    dropped(spark, passing[1])
     for all_left in (False, True):
         best = F.row_number().over(W.Window.partitionBy("a").orderBy(F.desc("c"), "b"))
         now = todo if all_left else todo.withColumn("k", best).where("k = 1")
         with arrow_rows(spark, 512):
-            checked = stored(_shared(now.select("a", "b"), whole))
+            checked = settled(_shared(now.select("a", "b"), whole))
         more = checked.where(f"both * {den}L >= either * {num}L").select("a", "b")
         if more.take(1):
-            links = stored(links.union(more))
+            links = settled(links.union(more))
             comp = graph(links)
         if not all_left:
             root = lambda c: comp.select(F.col("id").alias(c), F.col("root").alias("r" + c))
             apart = todo.join(checked, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-            todo = stored(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "c"))
+            todo = settled(apart.where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "c"))
         released(spark)
     members = sets.join(classes, ["d1", "d2"], "left").join(comp.select(F.col("id").alias("rep"), "root"), "rep", "left")
     members = members.select("id", "n", F.when(F.col("n") > 0, F.coalesce("root", F.when(F.col("id").isNotNull(), F.col("rep")))).otherwise(F.col("id")).alias("component"))
@@ -387,7 +390,7 @@ def one_of_each_group(docs: DataFrame, words: int = 5, num: int = 8, den: int =
     A row without doc_id is kept, and all rows of a kept doc_id are.
     """
     members, _ = jaccard_join(docs.select(F.col("doc_id").alias("id"), "text"), words, num, den)
-    gone = stored(members.where("component <> id").select(F.col("id").alias("doc_id")).distinct())
+    gone = settled(members.where("component <> id").select(F.col("id").alias("doc_id")).distinct())
     return docs.join(small_side(gone, gone.count(), 2_000_000), "doc_id", "left_anti").select(docs.columns)
 
 
