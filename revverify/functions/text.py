@@ -185,7 +185,9 @@ def shift_value(text: Column, kind: Column) -> Column:
     number = F.regexp_replace(F.regexp_extract(text, r"(\d[\d,]*)", 1), ",", "").cast("long")
     new = F.when(kind == "duration", number + 15).when(kind == "percentage", number + 1).otherwise(number + 1000)
     shown = F.when(F.contains(text, F.lit(",")), F.format_number(new, 0)).otherwise(new.cast("string"))
-    return F.replace(text, F.regexp_extract(text, r"(\d[\d,]*)", 1), shown)
+    digits = F.regexp_extract(text, r"(\d[\d,]*)", 1)
+    at = F.instr(text, digits)
+    return F.concat(F.substr(text, F.lit(1), at - 1), shown, F.substr(text, at + F.length(digits)))
 
 
 def around(text: Column, value: Column) -> tuple[Column, Column]:
@@ -237,9 +239,9 @@ def scrub(text: Column, places: str = r"(?:/tmp|/var/folders|[A-Za-z]:\\\\(?:Tem
 
 
 def restated(text: Column, value: Column) -> Column:
-    """FN-17: the value stands in brackets, or next to a bracketed form of itself: "thirty (30) days"."""
-    before, after = (f(x) for f, x in zip((F.rtrim, F.ltrim), around(text, value), strict=True))
-    return (F.instr(text, value) > 0) & (before.rlike(r"[(（]$") | after.rlike(r"^[)）(（]"))
+    """FN-17, guard: an opening bracket before the value or after it says that words tell it too, as in "a month (30 days)" or "$5 (five)"."""
+    before, after = around(text, value)
+    return F.endswith(F.regexp_replace(before, r"(?U)\s+$", ""), F.lit("(")) | F.startswith(F.regexp_replace(after, r"(?U)^\s+", ""), F.lit("("))
 
 
 def basename(path: Column) -> Column:

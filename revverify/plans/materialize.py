@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -26,3 +28,13 @@ def kept(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows with their place from 1 in the order of all rows: sorted and numbered range by range, so no task has all of them; only a count for each range meets in one place."""
+    sorted_ = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    part = F.shiftright("at_", 33)
+    before = W.Window.orderBy("part_").rowsBetween(W.Window.unboundedPreceding, -1)
+    sizes = sorted_.groupBy(part.alias("part_")).agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("below_"))
+    placed = sorted_.withColumn("part_", part).join(F.broadcast(sizes), "part_")
+    return placed.withColumn(name, F.col("below_") + F.col("at_").bitwiseAND((1 << 33) - 1) + 1).drop("part_", "at_", "below_")
