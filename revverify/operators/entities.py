@@ -1,48 +1,56 @@
-"""Protected values in clause texts: parties, currencies, money, dates, durations, percentages, by native regular expressions.
+"""Protected values in clause texts: parties, currencies, money, dates, durations, percentages.
 
-Everything about one text happens inside its row: matches with their offsets, values, durations that overlap dates, running numbers of repeats. One
-scan, one explode, no join and no shuffle.
+A text is scanned for a few plain *anchors*: clusters of digits, currency signs and codes, runs of Chinese numerals, dates, party labels. Each becomes a row, and what it is worth
+is told by what stands next to it: a cluster with a unit of time behind it is a duration, with a currency behind it an amount, and a currency with a cluster behind it an amount too.
+So a number is found once, whatever it may mean, and all values are plain columns. One scan, one explode; only the running numbers of repeats need the rows of a key together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
-from ..functions.text import day_of, dec_text, let, offsets, stable_id, zh_number
+from ..functions.text import MONTHS, day_of, dec_text, let, offsets, stable_id, zh_number
 
-# Currency signs and codes, Chinese money units, scales, months, duration units, capital digits.
+# Currency signs and codes, Chinese money units, scales, duration units, numerals, and the signs that decide what stands next to them.
 CURRENCIES = {"RMB": "CNY", "CNY": "CNY", "¥": "CNY", "￥": "CNY", "USD": "USD", "$": "USD", "US$": "USD", "EUR": "EUR", "€": "EUR", "GBP": "GBP", "£": "GBP", "HKD": "HKD", "HK$": "HKD", "JPY": "JPY", "CHF": "CHF", "SGD": "SGD", "AUD": "AUD", "CAD": "CAD"}
 ZH_CURRENCIES = {"元": "CNY", "圆": "CNY", "美元": "USD", "港元": "HKD", "港币": "HKD", "日元": "JPY", "欧元": "EUR", "英镑": "GBP"}
-SCALES = {"thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000, "万": 10_000, "亿": 100_000_000}
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+SCALES = {"thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
+ZH_SCALES = {"万": 10_000, "亿": 100_000_000}
 UNITS = {"day": "day", "days": "day", "天": "day", "日": "day", "month": "month", "months": "month", "个月": "month", "月": "month", "year": "year", "years": "year", "年": "year"}
-CAPITALS = "零壹贰叁肆伍陆柒捌玖"
+CAPITALS, CAPITAL_UNITS = "零壹贰叁肆伍陆柒捌玖", "拾佰仟万亿"
 NUMERALS = "零〇一二两三四五六七八九十百千万"
-
-_MONTH = r"(January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept|Sep|Oct|Nov|Dec)[.]?"
-_TOKEN = "(?:(?<![A-Za-z])(?:" + "|".join(c.replace("$", "[$]") for c in CURRENCIES if c.isalnum() or len(c) > 1) + ")(?![A-Za-z])|[¥￥$€£])"
-_AMOUNT = r"[+-]?\d+(?:,\d{3})*(?:[.]\d+)?"
-_SCALE = r"(?:\s+(thousand|million|billion)\b)?"
-_END = r"(?=$|[\s,.，。；;、:：)）内前后起至])"
-_DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
-#: form: kind, a cheap test of the text, pattern with groups. (?U) makes \s, \d and \b speak of all scripts.
-FORMS = {
-    "party": ("party", "(?i)party|[甲乙丙]方", r"(?iU)(?:甲方|乙方|丙方|Party\s+[AB])(?:[（(][^）)\n\r]{1,20}[）)])?\s*[:：]\s*([^;；\n\r]+)"),
-    "iso_date": ("date", r"\d{4}[-/.]\d", r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)"),
-    "zh_date": ("date", r"\d年", r"(?U)(?<!\d)(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日(?!\d)"),
-    "md_date": ("date", r"(?i)[a-z]{3}[.]?\s+\d", rf"(?iU)\b{_MONTH}\s+{_DAY},?\s+(\d{{4}})(?!\d)"),
-    "dm_date": ("date", r"(?i)\d\s*[a-z]{0,2}\s+[a-z]{3}", rf"(?iU)(?<!\d){_DAY}\s+{_MONTH},?\s+(\d{{4}})(?!\d)"),
-    "currency": ("currency", "(?i)[A-Z]{3}|[¥￥$€£]", f"(?i){_TOKEN}"),
-    "prefix_money": ("money", r"\d", rf"(?iU){_TOKEN}\s*({_AMOUNT}){_SCALE}"),
-    "suffix_money": ("money", r"\d", rf"(?iU)({_AMOUNT}){_SCALE}\s*{_TOKEN}"),
-    "zh_money": ("money", "[元圆币镑]", rf"(?U)(?:(人民币)\s*)?({_AMOUNT})\s*([亿万])?(美元|港元|港币|日元|欧元|英镑|元|圆)"),
-    "capital_money": ("money", "[元圆]", rf"(?U)(?:(人民币)\s*)?(?<![\d.])([{CAPITALS}拾][{CAPITALS}拾佰仟万亿]*)(元|圆)(?:([{CAPITALS}])角)?(?:([{CAPITALS}])分)?(?:整|正)?"),
-    "duration": ("duration", r"\d", rf"(?iU)(?<!\d)(\d+(?:[.]\d+)?)[)）]?\s*(天|日|个月|月|年|days?|months?|years?){_END}"),
-    "zh_duration": ("duration", f"[{NUMERALS}](?:天|个月|年|日)", f"(?<![第同每某任逐{NUMERALS}])([{NUMERALS}]+)(?:(天|个月|年)|(日)(?=[内前后起]))(?![度级])"),
-    "percentage": ("percentage", "%", r"(?U)(?<!\d)(\d+(?:[.]\d+)?)\s*%(?!\d)"),
-    "zh_percentage": ("percentage", "百分之", f"百分之([{NUMERALS}点]+)"),
+PARTIES, PARTY_WORD, PARTY_LETTERS = ("甲方", "乙方", "丙方"), "Party", "AB"
+AFTER_DURATION, NO_DURATION_BEFORE, NO_DURATION_AFTER, DAY_ENDS = ",.，。；;、:：)）内前后起至", "第同每某任逐", "度级", "内前后起"
+RMB, ZH_PERCENT, MONTH_FORMS = "人民币", "百分之", (*MONTHS, *(m[:3] for m in MONTHS if len(m) > 3), "Sept")
+
+KINDS = ("party", "currency", "money", "date", "duration", "percentage")
+CLUSTER = r"\d+(?:[.,]\d+)*"
+_ONE_OF = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))  # noqa: E731  longer ones first
+_CODES = _ONE_OF(c.replace("$", "[$]") for c in CURRENCIES if len(c) > 1)
+_SIGNS = "".join(c for c in CURRENCIES if len(c) == 1)
+_TOKEN = rf"(?:(?<![A-Za-z])(?:{_CODES})(?![A-Za-z])|[{_SIGNS}])"
+_SCALE = rf"(?:\s+({_ONE_OF(SCALES)})\b)?"
+_MONTH, _ORDINAL = rf"({_ONE_OF(MONTH_FORMS)})[.]?", r"(\d{1,2})(?:st|nd|rd|th)?"
+_YMD = {"date.iso": r"(?<!\d)(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", "date.zh": r"(?U)(?<!\d)(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日(?!\d)"}
+_NAMED = {"date.mdy": rf"(?iU)\b{_MONTH}\s+{_ORDINAL},?\s+(\d{{4}})(?!\d)", "date.dmy": rf"(?iU)(?<!\d){_ORDINAL}\s+{_MONTH},?\s+(\d{{4}})(?!\d)"}
+#: Anchors: kinds that they can give, a cheap test of the text, pattern.
+ANCHORS = {
+    "number": (("money", "currency", "duration", "percentage"), r"\d", rf"(?U){CLUSTER}"),
+    "token": (("currency", "money"), rf"[{_SIGNS}]|(?i:{_CODES})", f"(?i){_TOKEN}"),
+    "capital": (("money", "currency"), f"[{CAPITALS}拾].*[元圆]", f"[{CAPITALS}{CAPITAL_UNITS}]+(?=[元圆])"),
+    "numeral": (("duration",), f"[{NUMERALS}](?:天|个月|年|日)", f"[{NUMERALS}]+(?=天|个月|年|日)"),
+    "percent": (("percentage",), ZH_PERCENT, f"{ZH_PERCENT}[{NUMERALS}点]+"),
+    "party": (("party",), f"(?i){PARTY_WORD}|{'|'.join(PARTIES)}", rf"(?iU)(?:{'|'.join(PARTIES)}|{PARTY_WORD}\s+[{PARTY_LETTERS}])(?:[（(][^）)\n\r]{{1,20}}[）)])?\s*[:：]\s*[^;；\n\r]+"),
+    "date.iso": (("date",), r"\d{4}[-/.]\d", _YMD["date.iso"]),
+    "date.zh": (("date",), r"\d年", _YMD["date.zh"]),
+    "date.mdy": (("date",), r"(?i)[a-z]{3}[.]?\s+\d", _NAMED["date.mdy"]),
+    "date.dmy": (("date",), r"(?i)\d\s*[a-z]{0,2}\s+[a-z]{3}", _NAMED["date.dmy"]),
 }
+_DATES = [a for a in ANCHORS if a.startswith("date")]
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -50,89 +58,148 @@ def matches(text: Column, pattern: str) -> Column:
     return let(F.split(text, pattern, -1), lambda g: offsets(g, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
 
 
-def _map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-
-
-def _group(m: Column, form: str, i: int) -> Column:
-    """A group of a match taken for itself; what the pattern asks of the signs around it is known already."""
-    pattern = FORMS[form][2]
-    for around in (_END, "(?<!\\d)", "(?!\\d)", "(?<![\\d.])", f"(?<![第同每某任逐{NUMERALS}])", "(?=[内前后起])", "(?![度级])"):
-        pattern = pattern.replace(around, "")
-    return F.regexp_extract(m, pattern, i)
-
-
-def _value(form: str, m: Column) -> Column:
-    """The value of a match as text; null when it is none after all (no calendar day, no number)."""
-    g = lambda i: _group(m, form, i)
-    iso = lambda y, mo, d: F.date_format(day_of(y, mo, d), "yyyy-MM-dd")
-    month = lambda x: F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(x, 1, 3))).cast("string")
-    scale = lambda x: F.coalesce(F.try_element_at(_map(SCALES), F.lower(x)), F.lit(1))
-    if form == "party":
-        return F.nullif(F.regexp_replace(g(1), r"(?U)^\s+|\s+$", ""), F.lit(""))
-    if form in ("iso_date", "zh_date"):
-        return iso(g(1), g(2), g(3))
-    if form in ("md_date", "dm_date"):
-        name, day = (g(1), g(2)) if form == "md_date" else (g(2), g(1))
-        return iso(g(3), month(name), day)
-    if form == "currency":
-        return F.try_element_at(_map(CURRENCIES), F.upper(m))
-    if form in ("prefix_money", "suffix_money"):
-        return dec_text(g(1), scale(g(2)))
-    if form == "zh_money":
-        return dec_text(g(2), scale(g(3)))
-    if form == "capital_money":
-        digit = lambda x: F.nullif(F.translate(x, CAPITALS, "0123456789"), F.lit(""))
-        jiao, fen = digit(g(4)), digit(g(5))
-        rest = F.when(fen.isNotNull(), F.concat(F.lit("."), F.coalesce(jiao, F.lit("0")), fen)).when(jiao.isNotNull(), F.concat(F.lit("."), jiao)).otherwise("")
-        return F.concat(zh_number(g(2)), rest)
-    if form == "duration":
-        return F.concat_ws(" ", dec_text(g(1), F.lit(1)), F.try_element_at(_map(UNITS), F.lower(g(2))))
-    if form == "zh_duration":
-        unit = F.try_element_at(_map(UNITS), F.concat(g(2), g(3)))
-        return let(zh_number(g(1)), lambda n: F.when(n != "0", F.concat_ws(" ", n, unit)))
-    return dec_text(g(1), F.lit(1)) if form == "percentage" else zh_number(g(1))
-
-
-def _found(form: str) -> Column:
-    """Matches of one form as array of (pos, kind, text, value)."""
-    kind, test, pattern = FORMS[form]
-    row = lambda x: F.struct(x["pos"].alias("pos"), F.lit(kind).alias("kind"), x["m"].alias("text"), _value(form, x["m"]).alias("value"))
-    none = F.array().cast("array<struct<pos:int,kind:string,text:string,value:string>>")
-    return F.when(F.col("text").rlike(test), F.filter(F.transform(matches(F.col("text"), pattern), row), lambda x: x["value"].isNotNull())).otherwise(none)
-
-
-def _zh_currency(form: str) -> Column:
-    """Chinese money gives its currency too, told by the unit, or by the prefix where that says the same."""
-
-    def row(x: Column) -> Column:
-        prefix, unit = _group(x["text"], form, 1), _group(x["text"], form, 4 if form == "zh_money" else 3)
-        value = F.try_element_at(_map(ZH_CURRENCIES), unit)
-        return F.struct(x["pos"].alias("pos"), F.lit("currency").alias("kind"), F.when((prefix != "") & (value == "CNY"), prefix).otherwise(unit).alias("text"), value.alias("value"))
-
-    return F.transform(F.col(form), row)
-
-
 def anti_overlap(items: Column, spans: Column) -> Column:
     """JN-06: the items (pos, text) that overlap none of the spans (pos, text)."""
     end = lambda x: x["pos"] + F.length(x["text"])
     return F.filter(items, lambda x: ~F.exists(spans, lambda d: (x["pos"] < end(d)) & (d["pos"] < end(x))))
 
 
-def extract(clauses: DataFrame, keys: list[str]) -> DataFrame:
-    """ENT-01 to ENT-10, WIN-04: entities (keys, kind, pos, text, value, entity_id) of rows (keys, text), in the order (pos, kind).
+def _look_up(d: dict, c: Column, other: Column | None = None) -> Column:
+    """The value of a key in a small fixed table."""
+    out = F.when(F.lit(False), F.lit(next(iter(d.values()))))
+    for value in dict.fromkeys(d.values()):
+        out = out.when(c.isin(*[k for k, v in d.items() if v == value]), F.lit(value))
+    return out if other is None else F.coalesce(out, other)
+
+
+def _calendar_day(year: Column, month: Column, day: Column) -> Column:
+    return F.date_format(day_of(year, month, day), "yyyy-MM-dd")
+
+
+def _date_value(anchor: Column, m: Column) -> Column:
+    group = lambda p, i: F.regexp_extract(m, p.replace(r"(?<!\d)", "").replace(r"(?!\d)", ""), i)
+    number = {m[:3].lower(): str(i + 1) for i, m in enumerate(MONTHS)}
+    named = lambda p, month, day: _calendar_day(group(p, 3), _look_up(number, F.lower(F.substring(group(p, month), 1, 3))), group(p, day))
+    out = F.when(F.lit(False), "")
+    for a, p in _YMD.items():
+        out = out.when(anchor == a, _calendar_day(group(p, 1), group(p, 2), group(p, 3)))
+    return out.when(anchor == "date.mdy", named(_NAMED["date.mdy"], 1, 2)).otherwise(named(_NAMED["date.dmy"], 2, 1))
+
+
+def _entity(kind: str, ok: Column, start: Column, end: Column, value: Column, text: Column | None = None) -> Column:
+    """A candidate (kind, pos, end, value, own: its text where that is not all from pos to end), null where it is none."""
+    own = F.lit(None).cast("string") if text is None else text
+    return F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(kind).alias("kind"), start.alias("pos"), end.alias("end"), value.alias("value"), own.alias("own")))
+
+
+def _of_number(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """What a cluster of digits can be with what follows it. Of "1,2.5" only the last number is next to what follows."""
+    m, after, end = F.col("m"), F.col("after"), F.col("pos") + F.length("m")
+    plain, grouped = F.regexp_extract(m, r"(\d+(?:[.]\d+)?)$", 1), F.regexp_extract(m, r"(\d+(?:,\d{3})*(?:[.]\d+)?)$", 1)
+    signed = F.when((F.length(grouped) == F.length(m)) & F.col("prev").isin("+", "-"), F.concat("prev", grouped)).otherwise(grouped)
+    unit = F.lower(F.regexp_extract(after, rf"(?iU)^[)）]?\s*({_ONE_OF(UNITS)})(?=$|[\s{AFTER_DURATION}])", 1))
+    bracket = F.regexp_extract(after, rf"(?iU)^([)）]?\s*(?:{_ONE_OF(UNITS)}))(?=$|[\s{AFTER_DURATION}])", 1)
+    suffix, scale = F.regexp_extract(after, rf"(?iU)^{_SCALE}\s*({_TOKEN})", 2), F.regexp_extract(after, rf"(?iU)^{_SCALE}\s*{_TOKEN}", 1)
+    money_end = F.length(F.regexp_extract(after, rf"(?iU)^{_SCALE}\s*{_TOKEN}", 0))
+    zh = rf"(?U)^\s*([{''.join(ZH_SCALES)}])?({_ONE_OF(ZH_CURRENCIES)})"
+    rows = rows.withColumns({
+        "n_plain": plain, "n_amount": signed, "n_unit": unit, "n_unit_text": bracket, "n_suffix": suffix, "n_scale": F.lower(scale), "n_money_end": money_end,
+        "n_zh": F.regexp_extract(after, zh, 2), "n_zh_scale": F.regexp_extract(after, zh, 1), "n_zh_end": F.length(F.regexp_extract(after, zh, 0)), "n_percent": F.length(F.regexp_extract(after, r"(?U)^\s*%(?!\d)", 0)),
+    })
+    # The yuan's name before an amount belongs to it, if nothing of the cluster stands between.
+    at, zh_value = end - F.length("n_amount"), _look_up(ZH_CURRENCIES, F.col("n_zh"))
+    own = F.length(F.regexp_extract(F.substr("text", F.lit(1), at), rf"(?U)({RMB}\s*)$", 1))
+    rows = rows.withColumn("n_rmb", F.when(F.length("n_amount") >= F.length("m"), own).otherwise(0))
+    start = at - F.col("n_rmb")
+    here = F.col("anchor") == "number"
+    return rows, [
+        _entity("duration", here & (F.col("n_unit") != ""), end - F.length("n_plain"), end + F.length("n_unit_text"), F.concat_ws(" ", dec_text(F.col("n_plain"), F.lit(1)), _look_up(UNITS, F.col("n_unit")))),
+        _entity("percentage", here & (F.col("n_percent") > 0), end - F.length("n_plain"), end + F.col("n_percent"), dec_text(F.col("n_plain"), F.lit(1))),
+        _entity("money", here & (F.col("n_suffix") != ""), at, end + F.col("n_money_end"), dec_text(F.col("n_amount"), _look_up(SCALES, F.col("n_scale"), F.lit(1)))),
+        _entity("money", here & (F.col("n_zh") != ""), start, end + F.col("n_zh_end"), dec_text(F.col("n_amount"), _look_up(ZH_SCALES, F.col("n_zh_scale"), F.lit(1)))),
+        _entity("currency", here & (F.col("n_zh") != ""), start, end + F.col("n_zh_end"), zh_value, F.when((F.col("n_rmb") > 0) & (zh_value == "CNY"), RMB).otherwise(F.col("n_zh"))),
+    ]
+
+
+def _of_token(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """A currency, and the amount that may follow it."""
+    end = F.col("pos") + F.length("m")
+    given = rf"(?U)^(\s*)([+-]?)({CLUSTER})"
+    part = lambda i: F.regexp_extract("after", given, i)
+    rows = rows.withColumns({"t_gap": F.length(part(1)) + F.length(part(2)), "t_sign": part(2), "t_cluster": part(3)})
+    rows = rows.withColumn("t_amount", F.regexp_extract("t_cluster", r"^(\d+(?:,\d{3})*(?:[.]\d+)?)", 1))
+    rest = F.substr("after", F.col("t_gap") + F.length("t_amount") + 1)
+    rows = rows.withColumn("t_scale", F.when(F.length("t_amount") == F.length("t_cluster"), F.regexp_extract(rest, rf"(?iU)^\s+({_ONE_OF(SCALES)})\b", 0)).otherwise(""))
+    here, scale = F.col("anchor") == "token", F.lower(F.regexp_extract("t_scale", "([A-Za-z]+)$", 1))
+    value = dec_text(F.concat("t_sign", "t_amount"), _look_up(SCALES, scale, F.lit(1)))
+    return rows, [
+        _entity("currency", here, F.col("pos"), end, _look_up(CURRENCIES, F.upper("m"))),
+        _entity("money", here & (F.col("t_amount") != ""), F.col("pos"), end + F.col("t_gap") + F.length("t_amount") + F.length("t_scale"), value),
+    ]
+
+
+def _of_chinese(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Amounts in capital numerals with their small change, durations and percentages in numerals."""
+    end = F.col("pos") + F.length("m")
+    bare = F.regexp_replace("m", f"^[{CAPITAL_UNITS.replace('拾', '')}]+", "")
+    bare = F.when((F.length(bare) == F.length("m")) & F.col("prev").rlike("[0-9.]"), F.regexp_replace(F.substr(bare, F.lit(2)), f"^[{CAPITAL_UNITS.replace('拾', '')}]+", "")).otherwise(bare)
+    change = f"^([元圆])(?:([{CAPITALS}])角)?(?:([{CAPITALS}])分)?(?:整|正)?"
+    digit = lambda i: F.nullif(F.translate(F.regexp_extract("after", change, i), CAPITALS, "0123456789"), F.lit(""))
+    rows = rows.withColumns({"c_bare": F.when(F.col("anchor") == "capital", bare), "c_jiao": digit(2), "c_fen": digit(3), "c_end": F.length(F.regexp_extract("after", change, 0))})
+    rows = rows.withColumn("c_rmb", F.when(F.length("c_bare") == F.length("m"), F.length(F.regexp_extract("lead", rf"(?U)({RMB}\s*)$", 1))).otherwise(0))
+    rows = rows.withColumn("c_unit", F.regexp_extract("after", rf"^(天|个月|年|日(?=[{DAY_ENDS}]))(?![{NO_DURATION_AFTER}])", 1))
+    start, capital = end - F.length("c_bare") - F.col("c_rmb"), F.coalesce(F.col("c_bare") != "", F.lit(False))
+    rest = F.when(F.col("c_fen").isNotNull(), F.concat(F.lit("."), F.coalesce("c_jiao", F.lit("0")), "c_fen")).when(F.col("c_jiao").isNotNull(), F.concat(F.lit("."), "c_jiao")).otherwise("")
+    count = zh_number(F.when(F.col("anchor") == "numeral", F.col("m")))
+    lasting = (F.col("anchor") == "numeral") & (F.col("c_unit") != "") & ~F.col("prev").rlike(f"[{NO_DURATION_BEFORE}]") & (count != "0")
+    return rows, [
+        _entity("money", capital, start, end + F.col("c_end"), F.concat(zh_number(F.col("c_bare")), rest)),
+        _entity("currency", capital & zh_number(F.col("c_bare")).isNotNull(), start, end + F.col("c_end"), F.lit("CNY"), F.when(F.col("c_rmb") > 0, RMB).otherwise(F.substr("after", F.lit(1), F.lit(1)))),
+        _entity("duration", lasting, F.col("pos"), end + F.length("c_unit"), F.concat_ws(" ", count, _look_up(UNITS, F.col("c_unit")))),
+        _entity("percentage", F.col("anchor") == "percent", F.col("pos"), end, zh_number(F.substr("m", F.lit(len(ZH_PERCENT) + 1)))),
+    ]
+
+
+def _found(anchor: str) -> Column:
+    """Matches of one anchor as array of (pos, m); none where the cheap test fails."""
+    _, test, pattern = ANCHORS[anchor]
+    return F.when(F.col("text").rlike(test), matches(F.col("text"), pattern)).otherwise(F.array().cast("array<struct<pos:int,m:string>>"))
+
+
+def extract(clauses: DataFrame, keys: list[str], kinds: Iterable[str] = KINDS) -> DataFrame:
+    """ENT-01 to ENT-10, WIN-04: entities (keys, kind, pos, text, value, entity_id) of rows (keys, text), of the wanted kinds.
 
     Dates that are no calendar days go, and so do durations that overlap a date of their text (JN-06). Money in Chinese units gives its currency too.
     """
-    rows = clauses.where(F.col("text").rlike("[0-9%¥￥$€£年月天元圆]|(?i:party|USD|EUR|GBP|HKD|RMB|CNY|JPY|CHF|SGD|AUD|CAD)|[甲乙丙]方|百分之|日")).select(*keys, "text")
-    rows = rows.select(*keys, *[_found(f).alias(f) for f in FORMS])
-    dates = F.concat("iso_date", "zh_date", "md_date", "dm_date")
-    plain = [f for f in FORMS if f != "duration"]
-    rows = rows.select(*keys, F.array_sort(F.concat(*plain, anti_overlap(F.col("duration"), dates), _zh_currency("zh_money"), _zh_currency("capital_money"))).alias("all"))
-    nth = lambda x, i: F.size(F.filter(F.slice("all", 1, i), lambda y: (y["kind"] == x["kind"]) & (y["value"] == x["value"])))
-    numbered = F.transform("all", lambda x, i: F.struct(x["kind"].alias("kind"), x["pos"].alias("pos"), x["text"].alias("text"), x["value"].alias("value"), nth(x, i).alias("nth")))
-    out = rows.select(*keys, F.inline(numbered))
-    return out.withColumn("entity_id", stable_id("entity", *[F.col(k).cast("string") for k in keys], F.col("kind"), F.col("value"), F.col("nth").cast("string"))).drop("nth")
+    wanted = set(kinds)
+    used = [a for a, (gives, _, _) in ANCHORS.items() if wanted & set(gives) or (a in _DATES and "duration" in wanted)]
+    tests = "|".join(f"(?:{ANCHORS[a][1]})" for a in used)
+    rows = clauses.where(F.col("text").rlike(tests)).select(*keys, "text", *[_found(a).alias(a) for a in used])
+    # A date counts only if it is a calendar day; durations look at those of their text.
+    days = lambda a: F.filter(F.transform(F.col(f"`{a}`"), lambda x: F.struct(F.lit(a).alias("anchor"), x["pos"].alias("pos"), x["m"].alias("m"), _date_value(F.lit(a), x["m"]).alias("day"))), lambda x: x["day"].isNotNull())
+    none = F.array().cast("array<struct<anchor:string,pos:int,m:string,day:string>>")
+    dates = [F.when(F.size(F.col(f"`{a}`")) > 0, days(a)).otherwise(none) for a in used if a in _DATES]
+    rows = rows.withColumn("dates", F.concat(*dates) if dates else none)
+    plain = lambda a: F.transform(F.col(a), lambda x: F.struct(F.lit(a).alias("anchor"), x["pos"].alias("pos"), x["m"].alias("m"), F.lit(None).cast("string").alias("day")))
+    others = [plain(a) for a in used if a not in _DATES]
+    rows = rows.withColumn("x", F.explode(F.concat(F.col("dates"), *others))).select(*keys, "text", "dates", "x.*")
+    rows = rows.withColumn("after", F.substr("text", F.col("pos") + F.length("m") + 1)).withColumn("lead", F.substr("text", F.lit(1), F.col("pos"))).withColumn("prev", F.when(F.col("pos") > 0, F.substr("text", F.col("pos"), F.lit(1))).otherwise(""))
+    found: list[Column] = []
+    for part, anchors in ((_of_number, {"number"}), (_of_token, {"token"}), (_of_chinese, {"capital", "numeral", "percent"})):
+        if anchors & set(used):
+            rows, more = part(rows)
+            found += more
+    end, party = F.col("pos") + F.length("m"), F.regexp_replace(F.regexp_extract("m", r"(?U)^[^:：]*?(?:[（(][^）)\n\r]{1,20}[）)])?\s*[:：]\s*([^;；\n\r]+)", 1), r"(?U)^\s+|\s+$", "")
+    found += [_entity("party", F.col("anchor") == "party", F.col("pos"), end, F.nullif(party, F.lit(""))), _entity("date", F.col("day").isNotNull(), F.col("pos"), end, F.col("day"))]
+    rows = rows.select(*keys, "text", "dates", F.explode(F.array_compact(F.array(*found))).alias("e")).select(*keys, "text", "dates", "e.*")
+    rows = rows.where(F.col("value").isNotNull() & F.col("kind").isin(*wanted))
+    over = F.exists("dates", lambda d: (F.col("pos") < d["pos"] + F.length(d["m"])) & (d["pos"] < F.col("end")))
+    of_digits = F.substr("text", F.col("pos") + 1, F.lit(1)).rlike(r"(?U)\d")
+    rows = rows.where(~((F.col("kind") == "duration") & of_digits & over))
+    text = F.coalesce("own", F.substr("text", F.col("pos") + 1, F.col("end") - F.col("pos")))
+    out = rows.select(*keys, "kind", "pos", text.alias("text"), "value")
+    nth = F.row_number().over(W.Window.partitionBy(*keys, "kind", "value").orderBy("pos", "text"))
+    return out.withColumn("entity_id", stable_id("entity", *[F.col(k).cast("string") for k in keys], F.col("kind"), F.col("value"), nth.cast("string")))
 
 
 def entity_counts(entities: DataFrame, keys: list[str]) -> DataFrame:

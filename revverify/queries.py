@@ -232,7 +232,7 @@ def ent_forms(spark, sf_dir):
 SELECT contract_id, kind, value, count(*) AS n FROM e GROUP BY ALL""")
 def agg_date_counts(spark, sf_dir):
     """AGG-05: dates of each contract with their counts."""
-    e = entities.extract(contract_paragraphs(spark, sf_dir), ["contract_id", "ordinal"]).where("kind = 'date'")
+    e = entities.extract(contract_paragraphs(spark, sf_dir), ["contract_id", "ordinal"], ["date"])
     return entities.entity_counts(e, ["contract_id"])
 
 
@@ -325,7 +325,7 @@ def set_block_diff(spark, sf_dir):
 def set_entity_changes(spark, sf_dir):
     """SET-04: changed durations between every contract and its authorized edit."""
     p = contract_paragraphs(spark, sf_dir)
-    e = lambda df: entities.extract(_pair(df), ["pair_id", "ordinal"]).withColumnRenamed("ordinal", "b")
+    e = lambda df: entities.extract(_pair(df), ["pair_id", "ordinal"], ["duration"]).withColumnRenamed("ordinal", "b")
     return diff.entity_diff(e(p), e(mutate.authorized(p, declared_edits(p)))).where("kind = 'duration'").select("pair_id", "before", "after")
 
 
