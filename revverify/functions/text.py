@@ -233,9 +233,10 @@ def latin1_replaced(text: Column) -> Column:
     return F.regexp_count(F.replace(F.translate(text, "‘’“”–—", "''\"\"--"), F.lit("…"), F.lit("...")), F.lit(r"[^\x00-\xFF]"))
 
 
-def scrub(text: Column, places: str = r"(?:/tmp|/var/folders|[A-Za-z]:\\\\(?:Temp|Users))[^\s:;,'\"]*") -> Column:
-    """FN-23: temporary paths in warnings made one sign."""
-    return F.regexp_replace(text, places, "<temp>")
+def scrub(text: Column, app: str = "revverify") -> Column:
+    """FN-23: paths of temporary folders in warnings made one sign: those with a folder that is named after the application and its verify or visual step, with what lies in it."""
+    slash, name = r"[\\/]", r"[^\\/\"']+"
+    return F.regexp_replace(text, rf"(?:[A-Za-z]:)?(?:{slash}{name})*{slash}\Q{app}\E-(?:verify|visual)-{name}(?:{slash}{name})*", "<temporary>")
 
 
 def restated(text: Column, value: Column) -> Column:

@@ -131,11 +131,19 @@ def win_clause_tree(spark, sf_dir):
     return clauses.clauses_of(contract_paragraphs(spark, sf_dir), "contract_id").select("contract_id", "clause_no", "parent_no")
 
 
-@query()
+@query(f"""WITH {PARAGRAPHS_SQL}, {MARKER_SQL}, {SEG_SQL},
+cl AS (SELECT contract_id, clause_no, lower(trim(regexp_replace(string_agg(text, chr(10) ORDER BY ordinal), '\\s+', ' ', 'g'))) AS norm, min_by(coalesce(printed, ''), ordinal) AS label, min_by(text, ordinal) AS first, min_by(scheme, ordinal) = 'decimal' AS below FROM seg GROUP BY 1, 2),
+h AS (SELECT *, CASE WHEN clause_no = 0 THEN '' ELSE trim(substr(first, length(label) + 1)) END AS heading FROM cl),
+u AS (SELECT *, CASE WHEN below THEN coalesce(last_value(CASE WHEN below IS DISTINCT FROM true AND clause_no > 0 THEN heading END IGNORE NULLS) OVER w, '') ELSE '' END AS path, CASE WHEN below THEN last_value(CASE WHEN below IS DISTINCT FROM true AND clause_no > 0 THEN clause_no END IGNORE NULLS) OVER w END AS parent
+  FROM h WINDOW w AS (PARTITION BY contract_id ORDER BY clause_no)),
+b AS (SELECT *, 'clause-' || left(sha256(concat_ws(chr(0), label, path, heading, left(norm, 160))), 24) AS base FROM u),
+i AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY contract_id, base) = 1 THEN base ELSE 'clause-' || left(sha256(concat_ws(chr(0), base, sha256(norm), (row_number() OVER (PARTITION BY contract_id, base, norm ORDER BY clause_no) - 1)::VARCHAR)), 24) END AS clause_id FROM b),
+k AS (SELECT contract_id, parent, string_agg(clause_id, ',' ORDER BY clause_no) AS child_ids FROM i WHERE parent IS NOT NULL GROUP BY 1, 2)
+SELECT i.contract_id, clause_no, clause_id, child_ids FROM i LEFT JOIN k ON k.contract_id = i.contract_id AND k.parent = i.clause_no""")
 def win_clause_ids(spark, sf_dir):
     """WIN-03, AGG-03: ids of all clauses and of their children."""
-    c = clauses.clauses_of(contract_paragraphs(spark, sf_dir), "contract_id")
-    return c.join(clauses.child_ids(c, "contract_id"), ["contract_id", "clause_no"], "left").select("contract_id", "clause_no", "clause_id", "child_ids")
+    c = kept(clauses.clauses_of(contract_paragraphs(spark, sf_dir), "contract_id"))
+    return c.join(clauses.child_ids(c, "contract_id"), ["contract_id", "clause_no"], "left").select("contract_id", "clause_no", "clause_id", F.array_join("child_ids", ",").alias("child_ids"))
 
 
 @query("""SELECT doc_id, sum(len(regexp_replace(text, '[^\\x{3400}-\\x{9FFF}]', '', 'g')))::BIGINT AS han, sum(len(regexp_replace(text, '[^A-Za-z]', '', 'g')))::BIGINT AS latin,
@@ -294,12 +302,23 @@ def _mutation_sql(language: str) -> dict[str, str]:
 MUTATION_SQL, ZH_MUTATION_SQL = _mutation_sql("en"), _mutation_sql("zh")
 
 
+def whole_texts(paragraphs: DataFrame) -> DataFrame:
+    """(contract_id, paragraphs, digest): each contract's ordinals and texts in order, as one digest."""
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
+    text = F.array_join(F.transform(rows, lambda r: F.concat_ws("|", r["ordinal"].cast("string"), r["text"])), "\n")
+    return paragraphs.groupBy("contract_id").agg(F.count("*").alias("paragraphs"), F.sha2(text, 256).alias("digest"))
+
+
+def _whole_texts_sql(sql: str) -> str:
+    return f"SELECT contract_id, count(*) AS paragraphs, sha256(string_agg(ordinal || '|' || text, chr(10) ORDER BY ordinal, text)) AS digest FROM ({sql}) GROUP BY 1"
+
+
 def _mutation(operator: str, language: str, sql: str) -> None:
     def run(spark, sf_dir):
         p = contract_paragraphs(spark, sf_dir, language)
-        return mutate.candidates(p, declared_edits(p, language), operator, language).select("contract_id", "ordinal", "text")
+        return whole_texts(mutate.candidates(p, declared_edits(p, language), operator, language))
 
-    named(f"mut_{'' if language == 'en' else 'zh_'}{operator}", f"Candidate paragraphs of operator {operator} over the contract corpus.", sql, run)
+    named(f"mut_{'' if language == 'en' else 'zh_'}{operator}", f"Candidate contracts of operator {operator} over the contract corpus, each with the digest of its paragraphs.", _whole_texts_sql(sql), run)
 
 
 for _name in mutate.OPERATORS:

@@ -48,7 +48,7 @@ def _paragraphs_sql(head: list[str], item: list[str]) -> str:
     rows += [f"SELECT l_orderkey, {5 + i} + 2 * k, {t} FROM li" for i, t in enumerate(item)]
     return f"""li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS k FROM lineitem
   WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
-ord AS (SELECT *, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n, coalesce(replace(c_name, '#', ' No.'), 'Unnamed') AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+ord AS (SELECT orders.*, customer.*, coalesce(n, 0) AS n, coalesce(replace(c_name, '#', ' No.'), 'Unnamed') AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
 para AS (SELECT contract_id, ordinal::INTEGER AS ordinal, text FROM ({" UNION ALL ".join(rows)}))"""
 
 
