@@ -17,8 +17,8 @@ takes its metric on restrictions first, and whole pivots inside the regions that
 3. *Inside the ball*: where |e(x)| + |e(y)| <= D the pair links for certain. For connectivity it is enough to link every document
    with the most central document of each size within the size window (the chain x - c(|y|) - c(|x|) - y holds).
 4. *Recursion* outside it: a linked pair must share (|e(x)| + |e(y)| - D) / 2 residual shingles, so it meets in the sub-region of one of
-   the first D + 1 residual shingles of both, those that are rare in the region first, and k more of these bring k more meetings. Pairs that meet
-   so often, are not yet connected and pass the bounds are compared exactly.
+   the first D + 1 residual shingles of both, those that are rare in the region first, and k more of these bring k more meetings. In a crowded sub-region every document is
+   first compared with a centre, round by round with another, which joins crowds of near copies. Pairs that meet so often, are not yet connected and pass the bounds are compared exactly.
 
 Nothing is dropped: a pair is skipped only when the bounds prove it unlinked or it is already connected, so
 components are exact. Equal shingle sets are joined first as one, so copies are never compared.
@@ -52,6 +52,8 @@ _SETS = T.StructType(
 )
 
 
+#: Documents of a sub-region from which on they are compared with a centre before one another, and how often at most.
+CROWD, CENTRE_ROUNDS = 16, 4
 #: Beyond the first, a linked pair shares one more of its first residual shingles for so many of its shingles.
 SHARED = 16
 
@@ -233,6 +235,19 @@ def _shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "b").join(y, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long, either long")
 
 
+def _near_centres(met: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, n1, n2) of each document with the centre of each sub-region (g, key) of more than ``CROWD`` documents that it lies in, where the bounds let them link.
+
+    The centre is the document nearest to the pivot, in later turns one drawn anew. So in a crowd of near copies most become one component by as many comparisons as there are documents.
+    """
+    draw = F.struct("e", "id", "n", "comp") if not turn else F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "e", "id", "n", "comp")
+    centres = met.groupBy("g", "key").agg(F.count("*").alias("size"), F.min(draw).alias("c")).where(F.col("size") > CROWD)
+    both = met.join(centres, ["g", "key"]).where("id <> c.id AND comp <> c.comp")
+    both = both.select(F.col("id").alias("a"), F.col("c.id").alias("b"), F.col("n").alias("n1"), F.col("c.n").alias("n2"), F.col("e").alias("e1"), F.col("c.e").alias("e2"))
+    close = f"least(n1, n2) * {den}L >= greatest(n1, n2) * {num}L AND abs(e1 - e2) * {den + num}L <= (n1 + n2) * {den - num}L"
+    return both.where(close).select("a", "b", "n1", "n2").distinct()
+
+
 def _pivots(sets: DataFrame, sample: int) -> DataFrame:
     """A row (g, pivot, common) for each region of sets (g, id, shingles): what most of at most ``sample`` documents hold, and what others of at least two hold."""
     place = F.row_number().over(W.Window.partitionBy("g").orderBy(F.xxhash64("id"), "id"))
@@ -345,6 +360,22 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     met = met.withColumn("c0", F.min("comp").over(shared)).withColumn("c1", F.max("comp").over(shared)).where("c0 <> c1").drop("c0", "c1")
     met = settled(met, passing[1])
     dropped(spark, passing[0])
+    need = lambda n1, n2: ((F.col(n1) + F.col(n2)) * num).cast("long")
+    hists = whole.groupBy("id").agg(F.when(F.count("*") == 1, F.min("hist")).alias("hist"))  # an id of several texts is not judged by one
+    for turn in range(CENTRE_ROUNDS):
+        near, path = _near_centres(met, turn, num, den), shared_dir(spark)
+        near = settled(_can_link(near.select("a", "b", F.lit(0).cast("long").alias("c"), need("n1", "n2").alias("need")), hists, num, den), path)
+        with arrow_rows(spark, 512):
+            more = settled(_shared(near.select("a", "b"), whole).where(f"both * {den}L >= either * {num}L").select("a", "b"))
+        dropped(spark, path)
+        if more.isEmpty():
+            break
+        links = settled(links.union(more))
+        comp = graph(links)
+        last, passing = passing[1], (passing[0], shared_dir(spark))
+        again = met.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+        met = settled(again.withColumn("c0", F.min("comp").over(shared)).withColumn("c1", F.max("comp").over(shared)).where("c0 <> c1").drop("c0", "c1"), passing[1])
+        dropped(spark, last)
     released(spark)
     left, right = side(met, "1", "key", F.col("at").alias("at1"), F.col("comp").alias("comp1")), side(met, "2", "key", F.col("at").alias("at2"), F.col("comp").alias("comp2"))
     # Twice the shared residual shingles that a linked pair needs, and those that can still come from this one on.
@@ -354,9 +385,7 @@ def jaccard_join(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, s
     pairs = pairs.where(f"2 * (e1 - at1) * {den + num}L >= {needed} AND 2 * (e2 - at2) * {den + num}L >= {needed}")
     pairs = pairs.where(f"c >= 1 + least(n1, n2) div {SHARED} OR 2 * c * {den + num}L >= {needed}")
     # A class of many near copies needs few of its pairs: each document's best partner is compared first, then what is still apart.
-    need = ((F.col("n1") + F.col("n2")) * num).cast("long")
-    hists = whole.groupBy("id").agg(F.when(F.count("*") == 1, F.min("hist")).alias("hist"))  # an id of several texts is not judged by one
-    todo = settled(_can_link(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "c", need.alias("need")), hists, num, den))
+    todo = settled(_can_link(pairs.select(F.col("id1").alias("a"), F.col("id2").alias("b"), "c", need("n1", "n2").alias("need")), hists, num, den))
     dropped(spark, passing[1])
     for all_left in (False, True):
         best = F.row_number().over(W.Window.partitionBy("a").orderBy(F.desc("c"), "b"))
