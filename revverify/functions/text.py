@@ -33,6 +33,20 @@ def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
+def ratio_from(least: float):
+    """UDF-03 where only ratios of at least so much count: 0 for texts whose signs alone, in any order, tell that it is less."""
+
+    @F.arrow_udf(T.DoubleType())
+    def over(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+            m = None if x is None or y is None else difflib.SequenceMatcher(None, x, y, autojunk=False)
+            out.append(None if m is None else m.ratio() if m.quick_ratio() >= least else 0.0)
+        return pa.array(out, pa.float64())
+
+    return over
+
+
 def ratio_bound(a: Column, b: Column) -> Column:
     """The most that ratio can be, from the lengths alone."""
     total = F.length(a) + F.length(b)

@@ -92,6 +92,11 @@ def _entity(kind: str, ok: Column, start: Column, end: Column, value: Column, te
     return F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(kind).alias("kind"), start.alias("pos"), end.alias("end"), value.alias("value"), own.alias("own")))
 
 
+def _only(rows: DataFrame, anchor: str, columns: dict[str, Column]) -> DataFrame:
+    """Columns that only rows of one anchor have."""
+    return rows.withColumns({k: F.when(F.col("anchor") == anchor, c) for k, c in columns.items()})
+
+
 def _of_number(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
     """What a cluster of digits can be with what follows it. Of "1,2.5" only the last number is next to what follows."""
     m, after, end = F.col("m"), F.col("after"), F.col("pos") + F.length("m")
@@ -102,14 +107,14 @@ def _of_number(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
     suffix, scale = F.regexp_extract(after, rf"(?iU)^{_SCALE}\s*({_TOKEN})", 2), F.regexp_extract(after, rf"(?iU)^{_SCALE}\s*{_TOKEN}", 1)
     money_end = F.length(F.regexp_extract(after, rf"(?iU)^{_SCALE}\s*{_TOKEN}", 0))
     zh = rf"(?U)^\s*([{''.join(ZH_SCALES)}])?({_ONE_OF(ZH_CURRENCIES)})"
-    rows = rows.withColumns({
+    rows = _only(rows, "number", {
         "n_plain": plain, "n_amount": signed, "n_unit": unit, "n_unit_text": bracket, "n_suffix": suffix, "n_scale": F.lower(scale), "n_money_end": money_end,
         "n_zh": F.regexp_extract(after, zh, 2), "n_zh_scale": F.regexp_extract(after, zh, 1), "n_zh_end": F.length(F.regexp_extract(after, zh, 0)), "n_percent": F.length(F.regexp_extract(after, r"(?U)^\s*%(?!\d)", 0)),
     })
     # The yuan's name before an amount belongs to it, if nothing of the cluster stands between.
     at, zh_value = end - F.length("n_amount"), _look_up(ZH_CURRENCIES, F.col("n_zh"))
     own = F.length(F.regexp_extract(F.substr("text", F.lit(1), at), rf"(?U)({RMB}\s*)$", 1))
-    rows = rows.withColumn("n_rmb", F.when(F.length("n_amount") >= F.length("m"), own).otherwise(0))
+    rows = rows.withColumn("n_rmb", F.when((F.col("n_zh") != "") & (F.length("n_amount") >= F.length("m")), own).otherwise(0))
     start = at - F.col("n_rmb")
     here = F.col("anchor") == "number"
     return rows, [
@@ -126,7 +131,7 @@ def _of_token(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
     end = F.col("pos") + F.length("m")
     given = rf"(?U)^(\s*)([+-]?)({CLUSTER})"
     part = lambda i: F.regexp_extract("after", given, i)
-    rows = rows.withColumns({"t_gap": F.length(part(1)) + F.length(part(2)), "t_sign": part(2), "t_cluster": part(3)})
+    rows = _only(rows, "token", {"t_gap": F.length(part(1)) + F.length(part(2)), "t_sign": part(2), "t_cluster": part(3)})
     rows = rows.withColumn("t_amount", F.regexp_extract("t_cluster", r"^(\d+(?:,\d{3})*(?:[.]\d+)?)", 1))
     rest = F.substr("after", F.col("t_gap") + F.length("t_amount") + 1)
     rows = rows.withColumn("t_scale", F.when(F.length("t_amount") == F.length("t_cluster"), F.regexp_extract(rest, rf"(?iU)^\s+({_ONE_OF(SCALES)})\b", 0)).otherwise(""))
@@ -145,9 +150,9 @@ def _of_chinese(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
     bare = F.when((F.length(bare) == F.length("m")) & F.col("prev").rlike("[0-9.]"), F.regexp_replace(F.substr(bare, F.lit(2)), f"^[{CAPITAL_UNITS.replace('拾', '')}]+", "")).otherwise(bare)
     change = f"^([元圆])(?:([{CAPITALS}])角)?(?:([{CAPITALS}])分)?(?:整|正)?"
     digit = lambda i: F.nullif(F.translate(F.regexp_extract("after", change, i), CAPITALS, "0123456789"), F.lit(""))
-    rows = rows.withColumns({"c_bare": F.when(F.col("anchor") == "capital", bare), "c_jiao": digit(2), "c_fen": digit(3), "c_end": F.length(F.regexp_extract("after", change, 0))})
+    rows = _only(rows, "capital", {"c_bare": bare, "c_jiao": digit(2), "c_fen": digit(3), "c_end": F.length(F.regexp_extract("after", change, 0))})
     rows = rows.withColumn("c_rmb", F.when(F.length("c_bare") == F.length("m"), F.length(F.regexp_extract("lead", rf"(?U)({RMB}\s*)$", 1))).otherwise(0))
-    rows = rows.withColumn("c_unit", F.regexp_extract("after", rf"^(天|个月|年|日(?=[{DAY_ENDS}]))(?![{NO_DURATION_AFTER}])", 1))
+    rows = _only(rows, "numeral", {"c_unit": F.regexp_extract("after", rf"^(天|个月|年|日(?=[{DAY_ENDS}]))(?![{NO_DURATION_AFTER}])", 1)})
     start, capital = end - F.length("c_bare") - F.col("c_rmb"), F.coalesce(F.col("c_bare") != "", F.lit(False))
     rest = F.when(F.col("c_fen").isNotNull(), F.concat(F.lit("."), F.coalesce("c_jiao", F.lit("0")), "c_fen")).when(F.col("c_jiao").isNotNull(), F.concat(F.lit("."), "c_jiao")).otherwise("")
     count = zh_number(F.when(F.col("anchor") == "numeral", F.col("m")))
@@ -184,6 +189,9 @@ def extract(clauses: DataFrame, keys: list[str], kinds: Iterable[str] = KINDS) -
     others = [plain(a) for a in used if a not in _DATES]
     rows = rows.withColumn("x", F.explode(F.concat(F.col("dates"), *others))).select(*keys, "text", "dates", "x.*")
     rows = rows.withColumn("after", F.substr("text", F.col("pos") + F.length("m") + 1)).withColumn("lead", F.substr("text", F.lit(1), F.col("pos"))).withColumn("prev", F.when(F.col("pos") > 0, F.substr("text", F.col("pos"), F.lit(1))).otherwise(""))
+    # Most numbers have nothing behind them that could make them a value.
+    near = rf"(?iU)^[)）]?\s*(?:[%a-z{_SIGNS}{''.join(ZH_SCALES)}]|{_ONE_OF(ZH_CURRENCIES)}|{_ONE_OF(UNITS)})"
+    rows = rows.where((F.col("anchor") != "number") | F.col("after").rlike(near))
     found: list[Column] = []
     for part, anchors in ((_of_number, {"number"}), (_of_token, {"token"}), (_of_chinese, {"capital", "numeral", "percent"})):
         if anchors & set(used):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from ..plans.materialize import kept
 from .clauses import segment
 
 # The greatest distance of a word's top from its line's first one; when a page has two columns; how far a title may reach; how long it may be.
@@ -162,6 +163,7 @@ def display_headings(blocks: DataFrame, clauses: DataFrame, pages: DataFrame) ->
     root = F.col("parent_no").isNull() | typed
     annex = F.col("clean").rlike(rf"(?U)^(?:{'|'.join(ANNEXES)})\s*[A-Za-z0-9{NUMERALS}]*$")
     b = b.select("doc_id", "ordinal", "clause_no", "parent_no", annex.alias("annex"), told.alias("heading"), (labelled & ~root).alias("waits"), (F.col("own").isNotNull() & (listed | (labelled & root))).alias("sure"))
+    b = kept(b)
     # A clause that waits for its parent counts when the chain above it ends in one that is sure; chains are as deep as the levels of the tree.
     sure = b.where("sure").select("doc_id", "clause_no")
     waiting = b.where("waits").select("doc_id", "clause_no", "parent_no")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from ..functions.text import ratio, ratio_bound
+from ..functions.text import ratio_bound, ratio_from
 from ..plans.materialize import kept
 
 #: Least similarity of a link, in hundredths (fixed value), and signs of a gram.
@@ -48,7 +48,7 @@ def similar_texts(texts: DataFrame, least: int = LEAST) -> DataFrame:
     short, both = F.least("l_len", "r_len"), F.col("l_len") + F.col("r_len")
     near = a.join(b, ["doc_id", "gram", "occ"]).where(200 * short >= least * both).select("doc_id", "l", "r").distinct()
     near = near.join(left, ["doc_id", "l"]).join(right, ["doc_id", "r"]).where("l_norm <> r_norm")
-    near = near.where(ratio_bound(F.col("l_norm"), F.col("r_norm")) >= least / 100).withColumn("similarity", ratio(F.col("l_norm"), F.col("r_norm")))
+    near = near.where(ratio_bound(F.col("l_norm"), F.col("r_norm")) >= least / 100).withColumn("similarity", ratio_from(least / 100)(F.col("l_norm"), F.col("r_norm")))
     return equal.union(near.where(F.col("similarity") >= least / 100).select("doc_id", "l", "r", "similarity"))
 
 

@@ -44,8 +44,8 @@ SELECT contract_id AS pair_id, 0::BIGINT AS added, 0::BIGINT AS removed, count(*
 )
 def clause_changes_by_kind(spark, sf_dir):
     """Minimum slice: contracts with a money change to clauses, pairs and counts of changes by kind."""
-    p = contract_paragraphs(spark, sf_dir)
-    cand = mutate.candidates(p, declared_edits(p), "money_change")
+    p = kept(contract_paragraphs(spark, sf_dir))
+    cand = kept(mutate.candidates(p, declared_edits(p), "money_change"))
     base = _pair(p.join(cand.select("contract_id").distinct(), "contract_id", "left_semi"))
     return diff.change_summary(diff.clause_changes(kept(clauses.clauses_of(base, "pair_id")), kept(clauses.clauses_of(_pair(cand), "pair_id"))))
 
@@ -315,7 +315,7 @@ def _whole_texts_sql(sql: str) -> str:
 
 def _mutation(operator: str, language: str, sql: str) -> None:
     def run(spark, sf_dir):
-        p = contract_paragraphs(spark, sf_dir, language)
+        p = kept(contract_paragraphs(spark, sf_dir, language))
         return whole_texts(mutate.candidates(p, declared_edits(p, language), operator, language))
 
     named(f"mut_{'' if language == 'en' else 'zh_'}{operator}", f"Candidate contracts of operator {operator} over the contract corpus, each with the digest of its paragraphs.", _whole_texts_sql(sql), run)
@@ -333,8 +333,8 @@ j AS (SELECT coalesce(b.contract_id, a.contract_id) AS pair_id, CASE WHEN a.ordi
 SELECT j.* FROM j JOIN (SELECT DISTINCT contract_id FROM c) k ON k.contract_id = j.pair_id""")
 def set_block_diff(spark, sf_dir):
     """SET-01, SET-02: block changes of every contract with a date change."""
-    p = contract_paragraphs(spark, sf_dir)
-    cand = mutate.candidates(p, declared_edits(p), "date_change")
+    p = kept(contract_paragraphs(spark, sf_dir))
+    cand = kept(mutate.candidates(p, declared_edits(p), "date_change"))
     base = p.join(cand.select("contract_id").distinct(), "contract_id", "left_semi")
     side = lambda df: _pair(df).withColumnRenamed("text", "key")
     return diff.block_diff(side(base), side(cand)).select("pair_id", "kind", "b", "a")
@@ -343,7 +343,7 @@ def set_block_diff(spark, sf_dir):
 @query(f"""WITH {PARAGRAPHS_SQL}, {EDITS_SQL} SELECT contract_id AS pair_id, split_part(before, ' ', 1) || ' day' AS before, split_part(after, ' ', 1) || ' day' AS after FROM edits""")
 def set_entity_changes(spark, sf_dir):
     """SET-04: changed durations between every contract and its authorized edit."""
-    p = contract_paragraphs(spark, sf_dir)
+    p = kept(contract_paragraphs(spark, sf_dir))
     e = lambda df: entities.extract(_pair(df), ["pair_id", "ordinal"], ["duration"]).withColumnRenamed("ordinal", "b")
     return diff.entity_diff(e(p), e(mutate.authorized(p, declared_edits(p)))).where("kind = 'duration'").select("pair_id", "before", "after")
 

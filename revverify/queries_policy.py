@@ -232,8 +232,8 @@ def rul_integrity(spark, sf_dir):
 
 def _verdict(operator: str) -> None:
     def run(spark, sf_dir):
-        p = contract_paragraphs(spark, sf_dir)
-        e = declared_edits(p)
+        p = kept(contract_paragraphs(spark, sf_dir))
+        e = kept(declared_edits(p))
         cand = kept(mutate.candidates(p, e, operator))
         base = p.join(cand.select("contract_id").distinct(), "contract_id", "left_semi")
         _, v = rules.verdicts(_pair(base), _pair(cand), _pair(e).join(_pair(cand).select("pair_id").distinct(), "pair_id", "left_semi"))
