@@ -18,7 +18,7 @@ takes its metric on restrictions first, and whole pivots inside the regions that
    with the most central document of each size within the size window (the chain x - c(|y|) - c(|x|) - y holds).
 4. *Recursion* outside it: a linked pair must share (|e(x)| + |e(y)| - D) / 2 residual shingles, so it meets in the sub-region of one of
    the first D + 1 residual shingles of both, those that are rare in the region first, and k more of these bring k more meetings. In a crowded sub-region every document is
-   first compared with a centre, round by round with another, which joins crowds of near copies. Pairs that meet so often, are not yet connected and pass the bounds are compared exactly.
+   first compared with a centre, which joins crowds of near copies. Pairs that meet so often, are not yet connected and pass the bounds are compared exactly.
 
 Nothing is dropped: a pair is skipped only when the bounds prove it unlinked or it is already connected, so
 components are exact. Equal shingle sets are joined first as one, so copies are never compared.
@@ -53,7 +53,7 @@ _SETS = T.StructType(
 
 
 #: Documents of a sub-region from which on they are compared with a centre before one another, and how often at most.
-CROWD, CENTRE_ROUNDS = 16, 4
+CROWD, CENTRE_ROUNDS = 16, 1
 #: Beyond the first, a linked pair shares one more of its first residual shingles for so many of its shingles.
 SHARED = 16
 
