@@ -286,7 +286,7 @@ def _ranked(nodes: DataFrame, path: str) -> DataFrame:
 
 def ranked_paths(arcs: DataFrame) -> tuple[DataFrame, list[DataFrame], list[str]]:
     """Of arcs (src, dst or null at an end, letter, need): the letter of each node's least arc, the pointers (src, dst) over 1, 2, 4, ... letters along least
-    paths, and their folders. ``need``: rounds after which the node's graph is done. Shorter audits come before longer ones that they begin."""
+    paths, and their folders. The arcs of one node have different letters, as edits do. ``need``: rounds after which the node's graph is done. Shorter audits come before longer ones that they begin."""
     spark = arcs.sparkSession
     paths = [shared_dir(spark)]
     top = arcs.agg(F.max("need")).first()[0] or 0
@@ -416,8 +416,10 @@ damaged AS (
 placed AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS pos FROM damaged),
 judged AS (
   SELECT cid, pos, turn, role, text, lead(role) OVER (PARTITION BY cid ORDER BY pos) AS following,
-    CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY pos) > 1 THEN 'duplicate'
-      WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE 'fine' END AS fault
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY pos) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE 'fine' END AS fault
   FROM placed
 ),
 facts AS (

@@ -90,13 +90,13 @@ def test_op11(spark, tmp_path, monkeypatch, shift):
 
 
 def test_op11_paths_of_any_graph(spark):
-    """Ranks decide between arcs of equal letters, and shorter labels come first."""
-    arcs = [(1, 2, "a"), (1, 3, "a"), (2, 4, "b"), (3, 4, "a"), (4, None, "c"), (5, 6, "a"), (5, 7, "a"), (6, None, "b"), (7, 8, "b"), (8, None, "a")]
+    """Pointers over 1, 2, 4, ... letters along least paths, past the ends of short ones, and ranks that order all audits."""
+    arcs = [(1, 2, "b"), (1, 3, "a"), (2, 4, "b"), (3, 4, "c"), (3, 2, "b"), (4, None, "c"), (5, 6, "a"), (6, 7, "b"), (7, 8, "b"), (8, None, "a")]
     df = spark.createDataFrame([(s, d, ord(x), 3) for s, d, x in arcs], "src long, dst long, letter int, need int")
     letters, pointers, _ = conversations.ranked_paths(df)
     starts = spark.createDataFrame([(1, 1), (5, 5)], "root long, node long")
     nodes = conversations.followed(starts, pointers).join(letters.withColumnRenamed("src", "node"), "node").orderBy("root", "at").collect()
-    assert [(r["root"], r["node"], chr(r["letter"])) for r in nodes] == [(1, 1, "a"), (1, 3, "a"), (1, 4, "c"), (5, 5, "a"), (5, 6, "b")]
+    assert [(r["root"], r["node"], chr(r["letter"])) for r in nodes] == [(1, 1, "a"), (1, 3, "b"), (1, 2, "b"), (1, 4, "c"), (5, 5, "a"), (5, 6, "b"), (5, 7, "b"), (5, 8, "a")]
 
 
 def kept_told_slowly(rows, width=13):
