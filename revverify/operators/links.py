@@ -25,9 +25,9 @@ def _signature(texts: DataFrame, least: int) -> DataFrame:
     GRAM x edits + 1 at least one is common. Texts too short for a single edit have no signature: they are similar only to their equals.
     """
     t = texts.withColumn("edits", _edits(F.col("len"), least)).where("edits > 0")
-    at = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("len") - (GRAM - 1)), lambda i: F.substr("norm", i, F.lit(GRAM)))).alias("at", "gram")
-    g = t.select("doc_id", "side", "id", "len", "edits", at)
-    g = g.withColumn("occ", F.row_number().over(W.Window.partitionBy("doc_id", "side", "id", "gram").orderBy("at"))).drop("at")
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.col("len") - (GRAM - 1)), lambda i: F.substr("norm", i, F.lit(GRAM)))).alias("gram")
+    g = t.select("doc_id", "side", "id", "len", "edits", each).groupBy("doc_id", "side", "id", "len", "edits", "gram").agg(F.count("*").alias("times"))
+    g = g.withColumn("occ", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
     often = g.groupBy("doc_id", "gram", "occ").agg(F.count("*").alias("often"))
     g = g.join(often, ["doc_id", "gram", "occ"])
     rare = F.row_number().over(W.Window.partitionBy("doc_id", "side", "id").orderBy("often", "gram", "occ"))
