@@ -70,18 +70,16 @@ def scripts_told_slowly(rows):
 def talk(rnd):
     rows = []
     for c in [None, *range(40)]:
-        for t in range(150 if c == 7 else rnd.choice([1, 2, 3, 5, 9, 20])):
+        for t in range(300 if c == 7 else rnd.choice([1, 2, 3, 5, 9, 20])):
             role = rnd.choice(["user", "assistant", "user", "assistant", "system", "tool", "", None, "admin"])
             rows.append((c, rnd.choice([t, t, t, 2 * t, None]), role, rnd.choice(["a b.", "x", "hi there!", "what?", " \t", "", None, "ü.", "ok. \n", f"{t}.", f"{t}?"])))
     return rows + rows[:3]
 
 
-@pytest.mark.parametrize("shift", [8, 1])
-def test_op11(spark, tmp_path, monkeypatch, shift):
-    monkeypatch.setattr(conversations, "SHIFT", shift)
-    monkeypatch.setattr(sys, "setrecursionlimit", sys.setrecursionlimit)
-    sys.setrecursionlimit(20_000)
-    rows = talk(random.Random(shift))
+def test_op11(spark, tmp_path):
+    """One conversation is longer than a block."""
+    sys.setrecursionlimit(max(20_000, sys.getrecursionlimit()))
+    rows = talk(random.Random(8))
     clash = spark.createDataFrame([(*r, "own", 5) for r in rows], CONVERSATIONS + ", root string, g int")
     clash.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     got = queries.QUERIES["op11_conversation_repair"](spark, str(tmp_path))

@@ -28,22 +28,3 @@ def test_far_sizes_link(spark, num, den):
     docs = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)], "id long, text string")
     members, _ = jaccard.jaccard_join(docs, 1, num, den)
     assert {r["id"]: r["component"] for r in members.collect()} == dict(enumerate(components(sets, num, den)))
-
-
-def test_crowds_are_joined_by_centres(spark, monkeypatch):
-    """Crowds of near copies, compared with centres first, have the components of all pairs."""
-    rnd = random.Random(9)
-    base = [[rnd.choice("abcdefghijklmnop") + str(rnd.randrange(60)) for _ in range(120)] for _ in range(3)]
-    texts = []
-    for _ in range(40):
-        w = list(rnd.choice(base))
-        for _ in range(rnd.choice([1, 2, 3, 4])):
-            w[rnd.randrange(len(w))] = f"x{rnd.randrange(5)}"
-        texts.append(" ".join(w))
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
-    want = dict(enumerate(components(sets, 8, 10)))
-    assert 3 <= len(set(want.values())) < 40
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    monkeypatch.setattr(jaccard, "CROWD", 2)
-    members, _ = jaccard.jaccard_join(df)
-    assert {r["id"]: r["component"] for r in members.collect()} == want
