@@ -47,3 +47,9 @@ def test_clauses_exchange_texts_once(spark, folder, sorted_joins):
     assert _above_texts(df) == 1
     norms = {r["norm"] for r in clauses.clauses_of(contract_paragraphs(spark, folder, "zh"), "contract_id").where("label = '第三条'").select("norm").distinct().collect()}
     assert any(n.startswith("第三条 费用 每月费用为人民币1001元") for n in norms)
+
+
+@pytest.mark.parametrize("name,language", [("mut_missing_edit", "en"), ("mut_zh_missing_edit", "zh")])
+def test_missing_edit_gives_all_paragraphs(spark, folder, name, language):
+    got = sorted(map(tuple, catalog.QUERIES[name](spark, folder).select("contract_id", "ordinal", "text").collect()))
+    assert got == sorted(map(tuple, contract_paragraphs(spark, folder, language).collect())) and len(got) == 40 * 7 + 39 * 3 * 2
