@@ -5,7 +5,7 @@ import datetime
 import pytest
 
 from revverify import catalog
-from revverify.operators import clauses
+from revverify.operators import clauses, diff
 from revverify.sources.corpus import contract_paragraphs
 
 
@@ -53,3 +53,14 @@ def test_clauses_exchange_texts_once(spark, folder, sorted_joins):
 def test_missing_edit_gives_all_paragraphs(spark, folder, name, language):
     got = sorted(map(tuple, catalog.QUERIES[name](spark, folder).select("contract_id", "ordinal", "text").collect()))
     assert got == sorted(map(tuple, contract_paragraphs(spark, folder, language).collect())) and len(got) == 40 * 7 + 39 * 3 * 2
+
+
+def test_pairs_carry_what_differs(spark):
+    row = lambda n, label, path, fp: (1, n, label, path, "h" + label, fp * 32)
+    schema = "pair_id long, clause_no int, label string, ancestor_path array<string>, heading string, fp string"
+    before = spark.createDataFrame([row(1, "1", ["A"], "aa"), row(2, "2", ["A"], "bb"), row(3, "3", ["A"], "cc"), row(4, "4", [], "dd")], schema)
+    after = spark.createDataFrame([row(1, "1", ["A"], "aa"), row(2, "2", ["a"], "ee"), row(3, "9", ["A"], "cc"), row(4, "5", [], "ff")], schema)
+    pairs, rest_b, rest_a = diff.matched_clauses(before, after)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 1, 1, True, True), (1, 2, 2, False, False), (1, 3, 3, True, True)]
+    assert [sorted(r["clause_no"] for r in d.collect()) for d in (rest_b, rest_a)] == [[3, 4], [3, 4]]
+    assert sorted((r["kind"], r["b"] or 0, r["a"] or 0) for r in diff.clause_changes(before, after).collect()) == [("added", 0, 4), ("modified", 2, 2), ("removed", 4, 0)]
