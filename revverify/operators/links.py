@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions.text import ratio_bound, ratio_from
 from ..plans.materialize import kept
+from ..sources.corpus import spread
 
 #: Least similarity of a link, in hundredths (fixed value), and signs of a gram.
 LEAST, GRAM = 98, 3
@@ -18,20 +22,37 @@ def _edits(length: Column, least: int) -> Column:
     return F.floor(2 * (100 - least) * length / least).cast("int")
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def gram_keys(texts: pa.Array) -> pa.Array:
+    """The grams of each text as 64-bit keys, repeats told apart by their number. Grams that share a key only bring more texts together, which are compared afterwards."""
+    out = []
+    for t in texts.to_pylist():
+        signs = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = max(len(signs) - GRAM + 1, 0)
+        grams = np.zeros(n, np.uint64)
+        for i in range(GRAM):
+            grams = grams << np.uint64(21) | signs[i : i + n]  # 21 bits a sign
+        grams.sort()
+        new = np.r_[True, grams[1:] != grams[:-1]] if n else np.zeros(0, bool)
+        at = np.arange(n, dtype=np.uint64)
+        occ = at - np.maximum.accumulate(np.where(new, at, np.uint64(0))) if n else at
+        keys = (grams ^ (occ * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+        out.append((keys ^ (keys >> np.uint64(32))).view(np.int64))
+    sizes = np.r_[0, np.cumsum([len(k) for k in out])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64()))
+
+
 def _signature(texts: DataFrame, least: int) -> DataFrame:
-    """(doc_id, side, id, len, gram, occ): the rarest grams of each text, one more than its edits can destroy.
+    """(doc_id, side, id, len, key): the rarest grams of each text, one more than its edits can destroy.
 
     An edit destroys at most ``GRAM`` grams, so similar texts share all but GRAM x edits of them (repeats are told apart by their number), and of both texts' rarest
     GRAM x edits + 1 at least one is common. Texts too short for a single edit have no signature: they are similar only to their equals.
     """
-    t = texts.withColumn("edits", _edits(F.col("len"), least)).where("edits > 0")
-    each = F.explode(F.transform(F.sequence(F.lit(1), F.col("len") - (GRAM - 1)), lambda i: F.substr("norm", i, F.lit(GRAM)))).alias("gram")
-    g = t.select("doc_id", "side", "id", "len", "edits", each).groupBy("doc_id", "side", "id", "len", "edits", "gram").agg(F.count("*").alias("times"))
-    g = g.withColumn("occ", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
-    often = g.groupBy("doc_id", "gram", "occ").agg(F.count("*").alias("often"))
-    g = g.join(often, ["doc_id", "gram", "occ"])
-    rare = F.row_number().over(W.Window.partitionBy("doc_id", "side", "id").orderBy("often", "gram", "occ"))
-    return g.withColumn("k", rare).where(F.col("k") <= GRAM * F.col("edits") + 1).select("doc_id", "side", "id", "len", "gram", "occ")
+    t = spread(texts.withColumn("edits", _edits(F.col("len"), least)).where("edits > 0"), "doc_id", "side", "id")
+    g = t.select("doc_id", "side", "id", "len", "edits", F.explode(gram_keys(F.col("norm"))).alias("key"))
+    g = g.withColumn("often", F.count("*").over(W.Window.partitionBy("doc_id", "key")))
+    rare = F.row_number().over(W.Window.partitionBy("doc_id", "side", "id").orderBy("often", "key"))
+    return g.withColumn("k", rare).where(F.col("k") <= GRAM * F.col("edits") + 1).select("doc_id", "side", "id", "len", "key")
 
 
 def similar_texts(texts: DataFrame, least: int = LEAST) -> DataFrame:
@@ -43,12 +64,12 @@ def similar_texts(texts: DataFrame, least: int = LEAST) -> DataFrame:
     left, right = side(0, "l"), side(1, "r")
     equal = left.join(right.withColumnRenamed("r_norm", "l_norm"), ["doc_id", "l_norm"]).select("doc_id", "l", "r", F.lit(1.0).alias("similarity"))
     s = kept(_signature(texts, least))
-    a = s.where("side = 0").select("doc_id", "gram", "occ", F.col("id").alias("l"), F.col("len").alias("l_len"))
-    b = s.where("side = 1").select("doc_id", "gram", "occ", F.col("id").alias("r"), F.col("len").alias("r_len"))
+    a = s.where("side = 0").select("doc_id", "key", F.col("id").alias("l"), F.col("len").alias("l_len"))
+    b = s.where("side = 1").select("doc_id", "key", F.col("id").alias("r"), F.col("len").alias("r_len"))
     short, both = F.least("l_len", "r_len"), F.col("l_len") + F.col("r_len")
-    near = a.join(b, ["doc_id", "gram", "occ"]).where(200 * short >= least * both).select("doc_id", "l", "r").distinct()
+    near = a.join(b, ["doc_id", "key"]).where(200 * short >= least * both).select("doc_id", "l", "r").distinct()
     near = near.join(left, ["doc_id", "l"]).join(right, ["doc_id", "r"]).where("l_norm <> r_norm")
-    near = near.where(ratio_bound(F.col("l_norm"), F.col("r_norm")) >= least / 100).withColumn("similarity", ratio_from(least / 100)(F.col("l_norm"), F.col("r_norm")))
+    near = spread(near.where(ratio_bound(F.col("l_norm"), F.col("r_norm")) >= least / 100), "doc_id", "l", "r").withColumn("similarity", ratio_from(least / 100)(F.col("l_norm"), F.col("r_norm")))
     return equal.union(near.where(F.col("similarity") >= least / 100).select("doc_id", "l", "r", "similarity"))
 
 
