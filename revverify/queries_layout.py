@@ -9,7 +9,7 @@ from .operators import layout
 from .operators.clauses import clauses_of
 from .plans.materialize import kept
 from .registry import query
-from .sources.corpus import table
+from .sources.corpus import spread, table
 
 WIDTH = 600.0
 
@@ -99,7 +99,7 @@ _PAGED = (0, 1, 2, 3)
 
 def documents_of_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Blocks and pages of a document for each order, paged for remainders 0 to 3."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 6).alias("kind"))
+    o = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 6).alias("kind")), "doc_id")
     paged = F.col("kind").isin(*_PAGED)
     rows = [
         F.when(F.col("kind").isin(*kinds), F.struct(F.lit(i).alias("ordinal"), F.lit(type_).alias("content_type"), F.lit(text).alias("text") if text else F.concat(F.lit("特别约定 "), F.col("doc_id").cast("string")).alias("text"), F.lit(float(x0)).alias("x0"), F.lit(float(x1)).alias("x1"), F.lit(page).alias("page_index"), F.lit(fill).alias("fill")))
@@ -127,7 +127,10 @@ _LIKE = """CASE WHEN fill THEN false WHEN content_type = 'heading' THEN {0} <> '
 def prj_title_like(spark, sf_dir):
     """PRJ-14 over the derived documents' blocks."""
     blocks, pages = documents_of_orders(spark, sf_dir)
-    return blocks.join(pages, ["doc_id", "page_index"], "left").select("doc_id", "ordinal", layout.title_like(F.col("text")).alias("title_like"))
+    # The widths of a document's pages go to it as one map, so blocks and pages stay where orders were dealt and no text is exchanged.
+    widths = pages.groupBy("doc_id", "page_index").agg(F.max("width").alias("width")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page_index", "width"))).alias("widths"))
+    b = blocks.join(widths, "doc_id", "left").withColumn("width", F.try_element_at("widths", F.col("page_index")))
+    return b.select("doc_id", "ordinal", layout.title_like(F.col("text")).alias("title_like"))
 
 
 PARTS_SQL = """part AS (SELECT *, CASE WHEN regexp_matches(clean, '^第[一二三四五六七八九十]+章') THEN 'chapter' WHEN regexp_matches(clean, '^[一二三四五六七八九十]+、') THEN 'list' END AS part_kind,
