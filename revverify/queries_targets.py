@@ -124,7 +124,7 @@ def _draft_sql(language: str) -> str:
 def _chosen(language: str):
     def run(spark, sf_dir):
         p = kept(drafted_paragraphs(spark, sf_dir, language))
-        return targets.choose_edit(p, kept(clauses_of(p, "contract_id")))
+        return targets.choose_edit(p, kept(clauses_of(p, "contract_id", ids=False)))
 
     return run
 
@@ -132,7 +132,7 @@ def _chosen(language: str):
 def _places(language: str):
     def run(spark, sf_dir):
         p = kept(drafted_paragraphs(spark, sf_dir, language))
-        places = targets.first_places(targets.edit_places(p, kept(clauses_of(p, "contract_id"))))
+        places = targets.first_places(targets.edit_places(p, kept(clauses_of(p, "contract_id", ids=False))))
         return places.select("contract_id", "place_no", "clause_no", "kind", "before", "after", "anchor", "rejected")
 
     return run
