@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import window as W
 
 from ..functions.text import ratio_bound, ratio_from
 from ..plans.materialize import kept
@@ -22,37 +21,50 @@ def _edits(length: Column, least: int) -> Column:
     return F.floor(2 * (100 - least) * length / least).cast("int")
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def gram_keys(texts: pa.Array) -> pa.Array:
-    """The grams of each text as 64-bit keys, repeats told apart by their number. Grams that share a key only bring more texts together, which are compared afterwards."""
-    out = []
-    for t in texts.to_pylist():
-        signs = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        n = max(len(signs) - GRAM + 1, 0)
-        grams = np.zeros(n, np.uint64)
-        for i in range(GRAM):
-            grams = grams << np.uint64(21) | signs[i : i + n]  # 21 bits a sign
-        grams.sort()
-        new = np.r_[True, grams[1:] != grams[:-1]] if n else np.zeros(0, bool)
-        at = np.arange(n, dtype=np.uint64)
-        occ = at - np.maximum.accumulate(np.where(new, at, np.uint64(0))) if n else at
-        keys = (grams ^ (occ * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
-        out.append((keys ^ (keys >> np.uint64(32))).view(np.int64))
-    sizes = np.r_[0, np.cumsum([len(k) for k in out])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64()))
+def gram_keys(text: str) -> np.ndarray:
+    """The grams of a text as 64-bit keys, repeats told apart by their number. Grams that share a key only bring more texts together, which are compared afterwards."""
+    signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(len(signs) - GRAM + 1, 0)
+    grams = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        grams = grams << np.uint64(21) | signs[i : i + n]  # 21 bits a sign
+    grams.sort()
+    new = np.r_[True, grams[1:] != grams[:-1]] if n else np.zeros(0, bool)
+    at = np.arange(n, dtype=np.uint64)
+    occ = at - np.maximum.accumulate(np.where(new, at, np.uint64(0))) if n else at
+    keys = (grams ^ (occ * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64)
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def rare_keys(texts: pa.Array, edits: pa.Array) -> pa.Array:
+    """Of each text of a document the rarest grams in that document, one more than its edits can destroy."""
+    out, inner, outer = [], [0], [0]
+    for i in range(len(texts)):
+        keys = [gram_keys(t or "") for t in texts[i].as_py()]
+        all_, often = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
+        for own, n in zip(keys, edits[i].as_py(), strict=True):
+            rare = own[np.lexsort((own, often[np.searchsorted(all_, own)]))[: GRAM * n + 1]]
+            out.append(rare)
+            inner.append(inner[-1] + len(rare))
+        outer.append(outer[-1] + len(keys))
+    lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists)
 
 
 def _signature(texts: DataFrame, least: int) -> DataFrame:
     """(doc_id, side, id, len, key): the rarest grams of each text, one more than its edits can destroy.
 
     An edit destroys at most ``GRAM`` grams, so similar texts share all but GRAM x edits of them (repeats are told apart by their number), and of both texts' rarest
-    GRAM x edits + 1 at least one is common. Texts too short for a single edit have no signature: they are similar only to their equals.
+    GRAM x edits + 1 at least one is common. Texts too short for a single edit have no signature: they are similar only to their equals. A document's texts come together, as it came; only
+    the rare grams leave it.
     """
-    t = spread(texts.withColumn("edits", _edits(F.col("len"), least)).where("edits > 0"), "doc_id", "side", "id")
-    g = t.select("doc_id", "side", "id", "len", "edits", F.explode(gram_keys(F.col("norm"))).alias("key"))
-    g = g.withColumn("often", F.count("*").over(W.Window.partitionBy("doc_id", "key")))
-    rare = F.row_number().over(W.Window.partitionBy("doc_id", "side", "id").orderBy("often", "key"))
-    return g.withColumn("k", rare).where(F.col("k") <= GRAM * F.col("edits") + 1).select("doc_id", "side", "id", "len", "key")
+    t = spread(texts.withColumn("edits", _edits(F.col("len"), least)).where("edits > 0").select("doc_id", "side", "id", "len", "edits", "norm"), "doc_id")
+    g = t.groupBy("doc_id").agg(F.collect_list(F.struct("side", "id", "len", "edits", "norm")).alias("rows"))
+    g = g.withColumn("keys", rare_keys(F.transform("rows", lambda r: r["norm"]), F.transform("rows", lambda r: r["edits"])))
+    rows = F.transform("rows", lambda r: F.struct(r["side"].alias("side"), r["id"].alias("id"), r["len"].alias("len")))
+    g = g.select("doc_id", F.explode(F.arrays_zip(rows.alias("row"), F.col("keys"))).alias("x"))
+    return g.select("doc_id", "x.row.*", F.explode("x.keys").alias("key"))
 
 
 def similar_texts(texts: DataFrame, least: int = LEAST) -> DataFrame:
