@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from ..plans.materialize import kept
-from .clauses import segment
+from .clauses import parse_marker
 
 # The greatest distance of a word's top from its line's first one; when a page has two columns; how far a title may reach; how long it may be.
 LINE_STEP = 3.0
@@ -146,11 +146,16 @@ def display_headings(blocks: DataFrame, clauses: DataFrame, pages: DataFrame) ->
     A clause's heading counts if it is title-like and its parent's counted, or if it is a heading by type; chapters and Chinese list items count by their own text. Reading begins at the body and ends
     at an annex that follows a heading.
     """
-    starts = segment(blocks, "doc_id").where("starts = 1").select("doc_id", "ordinal", F.col("marker.scheme").alias("scheme"), "clause_no")
-    own = clauses.where("heading <> ''").select("doc_id", "clause_no", "label", F.col("heading").alias("own"), "parent_no")
-    b = heading_parts(blocks.join(starts, ["doc_id", "ordinal"], "left").join(own, ["doc_id", "clause_no"], "left"))
-    b = b.join(pages.select("doc_id", "page_index", "width"), ["doc_id", "page_index"], "left")
+    # What clauses and pages say goes to a document's blocks as maps, so blocks are dealt by document once and their texts are not exchanged for each join.
     order = W.Window.partitionBy("doc_id").orderBy("ordinal")
+    counted = F.coalesce(~F.col("content_type").isin("header", "footer"), F.lit(False))
+    b = blocks.withColumn("marker", parse_marker(F.col("text"))).withColumn("starts", F.coalesce(counted & ((F.col("content_type") == "heading") | F.col("marker").isNotNull()), F.lit(False)))
+    number = F.sum(F.col("starts").cast("int")).over(order.rowsBetween(W.Window.unboundedPreceding, 0)).cast("int")
+    b = b.withColumn("clause_no", F.when(F.col("starts"), number)).withColumn("scheme", F.when(F.col("starts"), F.col("marker.scheme"))).drop("marker", "starts")
+    own = clauses.where("heading <> ''").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("clause_no", F.struct("label", F.col("heading").alias("own"), "parent_no")))).alias("owns"))
+    widths = pages.groupBy("doc_id", "page_index").agg(F.max("width").alias("width")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page_index", "width"))).alias("widths"))
+    b = b.join(own, "doc_id", "left").join(widths, "doc_id", "left").withColumn("told_", F.try_element_at("owns", F.col("clause_no"))).withColumn("width", F.try_element_at("widths", F.col("page_index")))
+    b = heading_parts(b.withColumns({c: F.col(f"told_.{c}") for c in ("label", "own", "parent_no")}).drop("owns", "widths", "told_"))
     ahead = F.coalesce((F.lead("page_index").over(order).eqNullSafe(F.col("page_index"))) & (F.lead("own").over(order).isNotNull()) & (F.lead("label").over(order) != ""), F.lit(False))
     b = b.withColumn("ahead", ahead).join(body_start(b), "doc_id", "left")
     b = b.where((F.col("ordinal") >= F.coalesce("body", F.lit(0))) & ~F.col("content_type").isin("header", "footer"))

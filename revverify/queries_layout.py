@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import layout
-from .operators.clauses import clauses_of
+from .operators.clauses import outline_of
 from .plans.materialize import kept
 from .registry import query
 from .sources.corpus import spread, table
@@ -168,4 +168,4 @@ def win_display_headings(spark, sf_dir):
     """WIN-13 over the derived documents: usage notes with and without the cover title again, chapters, lists, spaced signs, parents that do not count, annexes before and after the first heading."""
     blocks, pages = documents_of_orders(spark, sf_dir)
     b = kept(blocks)
-    return layout.display_headings(b, kept(clauses_of(b)), pages)
+    return layout.display_headings(b, kept(outline_of(b)), pages)
